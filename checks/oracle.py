@@ -278,7 +278,7 @@ def lexical(chosen: str) -> str:
 
 
 DUCK_VIEWS["o_lexical"] = lexical("o_distinctive")
-DUCK_VIEWS["o_lexical_all"] = lexical("o_all_terms")
+DUCK_VIEWS["o_lexical_config"] = lexical("o_config_terms")
 DUCK_VIEWS["o_relevance"] = f"""
 select path, max(case
     when regexp_matches(st, '(?:^|[_\\-.])' || regexp_escape(s) || '(?:$|[_\\-.])') then 1.0
@@ -574,7 +574,7 @@ select service from expected_services where service not in (select service from
 
 # ---------------------------------------------------------------- ranking --
 
-_SQL["r1_lexical_ranking"] = "select path, round(lexical, 6) as lexical from o_lexical_all where lexical >= 0.1"
+_SQL["r1_lexical_ranking"] = "select path, round(lexical, 6) as lexical from o_lexical_config where lexical >= 0.1"
 _SQL["r2_combined_ranking"] = "select path, round(lexical, 6) as lexical, service_score, score from o_ranked"
 _SQL["r3_extreme_terms"] = """
 select side, term, df, round(idf, 6) as idf from (

@@ -13,7 +13,7 @@ from ripplemark.functions import paths as P
 from ripplemark.functions import words as W
 from ripplemark.operators import configs, folds, lookups, scoring, selection, services, terms
 from ripplemark.plans import impact
-from ripplemark.session import spread, stage_path
+from ripplemark.session import spread, stage, stage_path
 from ripplemark.sources import bodies, corpus, reports
 from ripplemark.streaming import streams
 
@@ -35,7 +35,7 @@ def _revisions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _changes(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.reviewable(corpus.changed_files(*_revisions(spark, sf)))
+    return stage(corpus.reviewable(corpus.changed_files(*_revisions(spark, sf))), "changes")
 
 
 def _config_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -44,12 +44,12 @@ def _config_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _facts(spark: SparkSession, sf: str, revision: str) -> DataFrame:
-    return configs.config_facts(spread(view(spark, sf, revision), "path"))
+    return configs.config_facts(view(spark, sf, revision))
 
 
 def _facts_of(spark: SparkSession, sf: str, suffix: str) -> DataFrame:
     files = view(spark, sf, "config_new").filter(F.col("path").endswith(suffix))
-    return configs.config_facts(spread(files, "path"))
+    return configs.config_facts(files)
 
 
 def _config_changes(spark: SparkSession, sf: str) -> DataFrame:
@@ -237,7 +237,8 @@ def c1_flatten(spark, sf):
         F.lit('{"event":{"id":'), "event_id", F.lit(',"props":'), "props", F.lit(',"by":{"user":{"id":'),
         "user_id", F.lit('}}},"type":"'), "event_type", F.lit('","list":[1,{"a":2}],"empty":{}}'),
     )
-    texts = table(spark, sf, "events").select(F.col("event_id").cast("string").alias("path"), nested.alias("content"))
+    events = spread(table(spark, sf, "events"), "event_id")
+    texts = events.select(F.col("event_id").cast("string").alias("path"), nested.alias("content"))
     return configs.flatten_json(texts)
 
 
@@ -365,16 +366,16 @@ def a7_run_summary(spark, sf):
 # ------------------------------------------------------------------ joins --
 
 
-def _lexical(spark: SparkSession, sf: str, weighted: bool) -> DataFrame:
-    wanted = terms.union_terms(terms.distinct_terms(_changed_of(spark, sf, "source")), _config_terms(spark, sf))
+def _lexical(spark: SparkSession, sf: str, changed: DataFrame, idf: DataFrame | None) -> DataFrame:
     tests = corpus.find_tests(view(spark, sf, "files_new"))
-    distinctive = terms.distinctive_terms(wanted, _idf(spark, sf) if weighted else None)
+    distinctive = terms.distinctive_terms(changed, idf)
     return scoring.lexical_scores(terms.term_rows(tests), tests, distinctive)
 
 
 @query
 def j1_lexical_scores(spark, sf):
-    return _lexical(spark, sf, weighted=True).select("path", F.round("lexical", 6).alias("lexical"))
+    scores = _lexical(spark, sf, t8_all_terms(spark, sf), _idf(spark, sf))
+    return scores.select("path", F.round("lexical", 6).alias("lexical"))
 
 
 @query
@@ -436,7 +437,7 @@ def j11_failing_services(spark, sf):
 
 @query
 def r1_lexical_ranking(spark, sf):
-    ranked = scoring.rank_lexical(_lexical(spark, sf, weighted=False))
+    ranked = scoring.rank_lexical(_lexical(spark, sf, _config_terms(spark, sf), None))
     return ranked.select("path", F.round("lexical", 6).alias("lexical"))
 
 

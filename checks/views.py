@@ -12,7 +12,7 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ripplemark.session import spread
+from ripplemark.session import spread, stage
 
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -254,17 +254,29 @@ def _closure(name: str) -> tuple[str, ...]:
     return (*order, name)
 
 
+# Corpora are tables in their own right: written once per session and input,
+# then read like any stored corpus, with columns and sizes known to the planner.
+STORED = ("files_old", "files_new", "config_old", "config_new")
+_stored: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived view as a DataFrame over the parquet tables of ``sf_dir``."""
-    frames: dict[str, DataFrame] = {}
-    for v in _closure(name):
-        text = _render(VIEWS[v], SPARK)
-        used = {t: table(spark, sf_dir, t) for t in TABLES if re.search(rf"\bfrom\s+{t}\b", text)}
-        used |= {t: df for t, df in frames.items() if re.search(rf"\bfrom\s+{t}\b", text)}
-        for t in used:
-            text = re.sub(rf"\bfrom\s+{t}\b", f"from {{{t}}}", text)
-        frames[v] = _sql(spark, text, used)
-    return frames[name]
+    if name not in STORED:
+        return _build(spark, sf_dir, name)
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _stored:
+        _stored[key] = stage(spread(_build(spark, sf_dir, name), "path"), name)
+    return _stored[key]
+
+
+def _build(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    text = _render(VIEWS[name], SPARK)
+    used: dict[str, DataFrame] = {}
+    for source in [*_needs(text), *(t for t in TABLES if re.search(rf"\b(?:from|join)\s+{t}\b", text))]:
+        used[source] = view(spark, sf_dir, source) if source in VIEWS else table(spark, sf_dir, source)
+        text = re.sub(rf"\b(from|join)\s+{source}\b", rf"\1 {{{source}}}", text)
+    return _sql(spark, text, used)
 
 
 def _sql(spark: SparkSession, text: str, used: dict[str, DataFrame]) -> DataFrame:
@@ -276,8 +288,7 @@ def _sql(spark: SparkSession, text: str, used: dict[str, DataFrame]) -> DataFram
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df, "doc_id") if name == "documents" else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def duck(sql: str) -> str:

@@ -146,9 +146,14 @@ def json_depth(text: Column) -> Column:
     return F.when(brackets == "", F.lit(0)).otherwise(walked.top)
 
 
-def is_native_json(text: Column) -> Column:
-    """Whether the unrolled reader gives the whole answer for a text."""
-    return F.try_parse_json(text).isNotNull() & (json_depth(text) <= JSON_LEVELS)
+def is_shallow_json(text: Column) -> Column:
+    """Whether the unrolled levels reach every leaf.
+
+    Most texts have too few brackets to be deep, which is cheap to see;
+    only the others are walked.
+    """
+    n_brackets = F.length(text) - F.length(F.translate(text, "{[", ""))
+    return F.when(n_brackets <= JSON_LEVELS, F.lit(True)).otherwise(json_depth(text) <= JSON_LEVELS)
 
 
 def is_object(node: Column) -> Column:
@@ -156,13 +161,12 @@ def is_object(node: Column) -> Column:
 
 
 def json_children(node: Column) -> Column:
-    """Entries of an object: ``array<struct<key, value variant>>``."""
+    """Entries of an object, ``array<struct<key, value variant>>``; else NULL."""
     return F.map_entries(node.try_cast("map<string,variant>"))
 
 
-def json_leaf(key: Column, node: Column) -> Column:
-    """A leaf as a fact; lists stay whole, as JSON text."""
-    shape = F.schema_of_variant(node)
+def json_leaf(key: Column, node: Column, shape: Column) -> Column:
+    """A leaf as a fact, given its variant schema; lists stay whole, as JSON text."""
     kind = (
         F.when(shape.isNull() | (shape == "VOID"), "null")
         .when(shape.startswith("ARRAY"), "list")

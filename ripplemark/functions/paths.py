@@ -105,26 +105,43 @@ def parents(path: Column | str) -> Column:
 
 
 def file_name(path: Column | str) -> Column:
-    return F.regexp_extract(_col(path), "([^/]*)$", 1)
+    return F.substring_index(_col(path), "/", -1)
 
 
 def directory(path: Column | str) -> Column:
     """Everything before the last slash; '' for a file at the root."""
-    return F.regexp_replace(_col(path), "/?[^/]*$", "")
+    p = _col(path)
+    return F.substring(p, F.lit(1), F.length(p) - F.length(file_name(p)) - 1)
+
+
+def _suffix(path: Column | str) -> Column:
+    """Text after the last dot of the name, '' when only a leading dot is there."""
+    name = file_name(path)
+    dotted = F.contains(F.substr(name, F.lit(2)), F.lit("."))
+    return F.when(dotted, F.substring_index(name, ".", -1)).otherwise("")
 
 
 def extension(path: Column | str) -> Column:
     """Last suffix in lower case without its dot; '.env' has none."""
-    return F.lower(F.regexp_extract(file_name(path), "^.+\\.([^.]+)$", 1))
+    return F.lower(_suffix(path))
 
 
 def stem(path: Column | str) -> Column:
     """File name without its last suffix."""
-    return F.regexp_replace(file_name(path), "^(.+)\\.[^.]+$", "$1")
+    name, suffix = file_name(path), _suffix(path)
+    return F.when(suffix == "", name).otherwise(
+        F.substring(name, F.lit(1), F.length(name) - F.length(suffix) - 1)
+    )
 
 
 def has_part(path: Column | str, names: list[str]) -> Column:
-    return F.arrays_overlap(segments(path), F.array(*[F.lit(n) for n in names]))
+    """Whether a directory or the file itself has one of the names."""
+    return _col(path).rlike("(?:^|/)" + _any_of(names) + "(?:/|$)")
+
+
+def has_parent(path: Column | str, names: list[str]) -> Column:
+    """Whether a directory has one of the names, in any case."""
+    return F.lower(_col(path)).rlike("(?:^|/)" + _any_of(names) + "/")
 
 
 def is_source_file(path: Column | str) -> Column:
@@ -133,9 +150,8 @@ def is_source_file(path: Column | str) -> Column:
 
 def is_config_file(path: Column | str) -> Column:
     name = F.lower(file_name(path))
-    in_config_dir = F.exists(parents(path), lambda p: F.lower(p).isin(CONFIG_DIRS))
     return (
-        in_config_dir
+        has_parent(path, CONFIG_DIRS)
         | name.isin(CONFIG_FILE_NAMES)
         | name.rlike(CONFIG_MARKER_RE)
         | (extension(path).isin(CONFIG_EXTENSIONS) & ~is_source_file(path))

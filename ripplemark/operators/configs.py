@@ -36,14 +36,24 @@ HOST_RE = "^([a-z][a-z0-9\\-]*service)(?::[0-9]+)?$"
 
 def config_format(path: Column | str) -> Column:
     """Reader of a file by name; NULL where none applies."""
-    pairs = [F.lit(x) for pair in FORMAT_OF_EXTENSION.items() for x in pair]
-    by_extension = F.try_element_at(F.create_map(*pairs), P.extension(path))
-    return F.when(F.lower(P.file_name(path)).rlike(JS_CONFIG_NAME_RE), "js").otherwise(by_extension)
+    ext = P.extension(path)
+    chosen = F.when(F.lower(P.file_name(path)).rlike(JS_CONFIG_NAME_RE), "js")
+    for fmt in dict.fromkeys(FORMAT_OF_EXTENSION.values()):
+        chosen = chosen.when(ext.isin([e for e, f in FORMAT_OF_EXTENSION.items() if f == fmt]), fmt)
+    return chosen
 
 
 # ------------------------------------------------ formats read natively --
 
 
+def _parsed(files: DataFrame) -> DataFrame:
+    """Files with the JSON tree of JSON texts and whether it is read natively."""
+    json_text = F.when(F.col("format") == "json", F.col("content"))
+    return files.withColumn("tree", F.try_parse_json(json_text)).withColumn(
+        "native", F.col("tree").isNotNull() & F.coalesce(X.is_shallow_json(json_text), F.lit(False))
+    )
+
+
 def _native_facts(files: DataFrame) -> DataFrame:
     """Properties, env, JS and JSON texts in one pass over the files.
 
@@ -64,29 +74,24 @@ def _native_facts(files: DataFrame) -> DataFrame:
         .when(F.col("format") == "env", X.env_facts(text))
         .when(F.col("format") == "js", X.js_facts(text))
     )
-    top = F.try_parse_json(text)
-    from_json = F.when(
-        (F.col("format") == "json") & X.is_object(top) & X.is_native_json(text),
-        F.transform(X.json_children(top), lambda e: entry(e.key, no_text, no_text, e.value)),
-    )
-    rows = files.select(
-        "path",
-        F.inline(
-            F.coalesce(
-                from_json,
-                F.transform(finished, lambda f: entry(f.key, f.value, f.value_type, no_node)),
-            )
-        ),
+    top = F.when(
+        F.col("native"),
+        F.transform(X.json_children(F.col("tree")), lambda e: entry(e.key, no_text, no_text, e.value)),
+    ).when(
+        F.col("format") != "json",
+        F.transform(finished, lambda f: entry(f.key, f.value, f.value_type, no_node)),
     )
+    rows = _parsed(files).select("path", F.inline(top))
     for _ in range(X.JSON_LEVELS - 1):
         kept = F.array(entry(F.col("key"), F.col("value"), F.col("value_type"), F.col("node")))
         below = F.transform(
             X.json_children(F.col("node")),
             lambda e: entry(F.concat(F.col("key"), F.lit("."), e.key), no_text, no_text, e.value),
         )
-        rows = rows.select("path", F.inline(F.when(X.is_object(F.col("node")), below).otherwise(kept)))
+        rows = rows.select("path", F.inline(F.coalesce(below, kept)))
+    rows = rows.withColumn("shape", F.schema_of_variant("node"))
     leaf = F.when(
-        F.col("value_type").isNull(), X.json_leaf(F.col("key"), F.col("node"))
+        F.col("value_type").isNull(), X.json_leaf(F.col("key"), F.col("node"), F.col("shape"))
     ).otherwise(X.fact(F.col("key"), F.col("value"), F.col("value_type")))
     return rows.select("path", leaf.alias("f")).select("path", "f.key", "f.value", "f.value_type")
 
@@ -179,8 +184,8 @@ def _read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _arrow_facts(files: DataFrame) -> DataFrame:
     """YAML, XML, and the JSON texts beyond the native reader."""
-    leftover_json = (F.col("format") == "json") & ~X.is_native_json(F.col("content"))
-    wanted = files.filter(F.col("format").isin("yaml", "xml") | leftover_json)
+    leftover_json = (F.col("format") == "json") & ~F.col("native")
+    wanted = _parsed(files).filter(F.col("format").isin("yaml", "xml") | leftover_json)
     return wanted.select("path", "format", "content").mapInPandas(_read_batches, FACT_ROWS)
 
 

@@ -65,20 +65,21 @@ def media_pages(entries: DataFrame, users: DataFrame, page: int = PAGE) -> DataF
     """Lists per asked user, in pages of bounded length.
 
     An unknown user has one empty page 0. The whole list of a user is its
-    pages in order, however long.
+    pages in order, however long. Pages are the left side of a semi join, so
+    those of one very active user can be split over tasks.
     """
     asked = users.select("user_id").distinct()
     pages = (
-        entries.withColumn("page", F.floor((F.col("pos") - 1) / page))
+        entries.join(asked, "user_id", "left_semi")
+        .withColumn("page", F.floor((F.col("pos") - 1) / page))
         .groupBy("user_id", "page")
         .agg(F.array_sort(F.collect_list(F.struct("pos", "media_id"))).alias("items"))
         .select("user_id", "page", F.col("items.media_id").alias("media_ids"))
     )
-    return asked.join(pages, "user_id", "left").select(
-        "user_id",
-        F.coalesce("page", F.lit(0)).alias("page"),
-        F.coalesce("media_ids", F.array().cast("array<string>")).alias("media_ids"),
+    empty = asked.join(entries.select("user_id").distinct(), "user_id", "left_anti").select(
+        "user_id", F.lit(0).cast("bigint").alias("page"), F.array().cast("array<string>").alias("media_ids")
     )
+    return pages.unionByName(empty)
 
 
 # ---------------------------------------------------------- subscriptions --

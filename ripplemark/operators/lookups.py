@@ -33,15 +33,15 @@ def recommendations(recs: DataFrame, users: DataFrame) -> DataFrame:
     ``recs`` is ``(user_id, pos, media_id)``; so is the result.
     """
     asked = users.select("user_id").distinct()
-    found = asked.join(recs.select("user_id", "pos", "media_id"), "user_id", "left")
-    own = F.array(F.struct(F.col("pos"), F.col("media_id")))
+    own = recs.select("user_id", "pos", "media_id").join(asked, "user_id", "left_semi")
     default = F.array(
         *[
             F.struct(F.lit(i).cast("bigint").alias("pos"), F.lit(m).alias("media_id"))
             for i, m in enumerate(DEFAULT_RECOMMENDATIONS)
         ]
     )
-    return found.select("user_id", F.inline(F.when(F.col("media_id").isNull(), default).otherwise(own)))
+    unknown = asked.join(recs.select("user_id").distinct(), "user_id", "left_anti")
+    return own.unionByName(unknown.select("user_id", F.inline(default)))
 
 
 def catalogue(movies: DataFrame) -> DataFrame:

@@ -77,7 +77,11 @@ def dependency_totals(edges: DataFrame) -> DataFrame:
 
 def dependencies_of(edges: DataFrame, tests: DataFrame) -> DataFrame:
     """Settings of the asked tests; one row with NULL for an unseen test."""
-    return tests.select("test_id").distinct().join(edges, "test_id", "left")
+    asked = tests.select("test_id").distinct()
+    unseen = asked.join(dependency_sizes(edges).select("test_id"), "test_id", "left_anti")
+    return edges.join(asked, "test_id", "left_semi").unionByName(
+        unseen.withColumn("config_key", F.lit(None).cast("string"))
+    )
 
 
 def select_by_config(edges: DataFrame, changed_keys: DataFrame) -> DataFrame:

@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplemark.functions import paths as P
 from ripplemark.operators import configs, scoring, services, terms
 from ripplemark.sources import corpus, reports
 from ripplemark.session import stage
@@ -35,13 +34,12 @@ class ImpactRun:
 
 
 def changed_terms(
-    changes: DataFrame, new: DataFrame, profiles: DataFrame, stop_words: Iterable[str] | None = None
+    changes: DataFrame, new_configs: DataFrame, profiles: DataFrame, stop_words: Iterable[str] | None = None
 ) -> DataFrame:
     """Terms of changed source files and of the keys of changed config files."""
     sources = changes.filter(F.col("category") == "source").select("path")
-    config_paths = changes.filter(F.col("category") == "config").select("path")
     code = terms.profile_rows(profiles.join(sources, "path", "left_semi"))
-    facts = configs.config_facts(new.join(config_paths, "path", "left_semi"))
+    facts = configs.config_facts(new_configs)
     return terms.union_terms(code, terms.key_terms(facts, stop_words))
 
 
@@ -54,30 +52,38 @@ def analyze(
     """Rank the tests a change affects.
 
     ``old`` and ``new`` are ``(path, content)``; ``tests`` defaults to the
-    test files of ``new``. Three tables are staged: the change set and the
-    affected services, whose true size then decides how they are joined,
-    and the term profiles, so the corpus text is split into terms once.
+    test files of ``new``. Intermediates are staged where their true size
+    decides a join or where text would be read again: the change set, the
+    contents of changed config files (a sliver of the corpus that four
+    steps read), the affected services, and the term profiles, so the
+    corpus is split into terms once.
     """
-    spark_files = corpus.corpus_files(new)
+    corpus_files = corpus.corpus_files(new)
     if tests is None:
         tests = corpus.find_tests(new)
     else:
-        spark_files = corpus.with_tests(spark_files, tests)
+        corpus_files = corpus.with_tests(corpus_files, tests)
 
     changes = stage(corpus.reviewable(corpus.changed_files(old, new)), "changes")
-    profiles = stage(
-        terms.file_profiles(spark_files, stop_words).withColumn("is_test", P.is_test_file("path")), "profiles"
+    profiles = stage(terms.file_profiles(corpus_files, stop_words), "profiles")
+
+    config_paths = changes.filter(F.col("category") == "config").select("path")
+    both = old.select("path", "content", F.lit("old").alias("side")).unionByName(
+        new.select("path", "content", F.lit("new").alias("side"))
     )
-    config_changes = changes.filter(F.col("category") == "config")
-    lines = corpus.changed_lines(old, new, config_changes)
-    touched = stage(services.affected_services(changes, lines, new), "affected")
+    touched_configs = stage(both.join(config_paths, "path", "left_semi"), "touched_configs")
+    old_configs = touched_configs.filter("side = 'old'").select("path", "content")
+    new_configs = touched_configs.filter("side = 'new'").select("path", "content")
+
+    lines = corpus.changed_lines(old_configs, new_configs, config_paths)
+    touched = stage(services.affected_services(changes, lines, new_configs), "affected")
 
     idf = terms.idf_of_profiles(profiles)
-    wanted = changed_terms(changes, new, profiles, stop_words)
+    wanted = changed_terms(changes, new_configs, profiles, stop_words)
     relevance = stage(scoring.worth_scoring(scoring.service_relevance(tests, touched)), "relevance")
     distinctive = terms.distinctive_terms(wanted, idf)
-    test_terms = terms.profile_rows(profiles.join(relevance.select("path"), "path", "left_semi"))
-    lexical = scoring.lexical_scores(test_terms, relevance, distinctive)
+    candidates = profiles.join(relevance.select("path"), "path", "left_semi")
+    lexical = scoring.lexical_scores(terms.profile_rows(candidates), relevance, distinctive)
     return ImpactRun(
         changes=changes,
         tests=tests.select("path"),

@@ -71,9 +71,11 @@ def changed_lines(old: DataFrame, new: DataFrame, changes: DataFrame) -> DataFra
 
     Each line counts +1 in the new and -1 in the old revision; what does not
     cancel is the bag difference, which equals a line diff up to moved
-    lines. Counting is one partial aggregation on (path, line).
+    lines. Counting is one partial aggregation on (path, line). ``changes``
+    holds each path once; staged, it is broadcast when small, and contents
+    of unchanged files never leave their scan.
     """
-    only = changes.select("path").distinct()
+    only = changes.select("path")
 
     def lines(files: DataFrame, sign: int) -> DataFrame:
         body = F.regexp_replace("content", "\\n$", "")
