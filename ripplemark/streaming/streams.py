@@ -18,6 +18,9 @@ from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulP
 from ripplemark.operators import folds
 from ripplemark.session import stage_path
 
+# Commands one key of the stateful stream may hold; all of a key are sorted in one task.
+STREAM_CHUNK = 1 << 16
+
 PROVIDER_KEY = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -110,7 +113,7 @@ class ChunkFold(StatefulProcessor):
         pass
 
 
-def subscription_stream(commands: DataFrame, chunk: int = folds.CHUNK) -> DataFrame:
+def subscription_stream(commands: DataFrame, chunk: int = STREAM_CHUNK) -> DataFrame:
     """Subscriptions from a command stream, equal to :func:`folds.subscriptions`.
 
     ``commands`` streams ``(seq, ts, user_id, op, plan)``.
