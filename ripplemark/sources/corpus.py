@@ -12,18 +12,29 @@ from pyspark.sql import functions as F
 from ripplemark.functions import paths as P
 
 
-def scan_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """Whole files below ``root`` as text; undecodable bytes read as ''."""
+def scan_files(
+    spark: SparkSession, root: str, glob: str | None = None, listing: DataFrame | None = None
+) -> DataFrame:
+    """Whole files below ``root`` as text; undecodable bytes read as ''.
+
+    Spark's file scan leaves out files of zero bytes. A ``listing`` of
+    relative paths, such as a repository's index or a store's inventory,
+    adds every path the scan did not return, with '' as its content.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     clean_root = root.rstrip("/")
     prefix = "^(?:[a-z0-9+]+:/*)?/?\\Q" + clean_root.lstrip("/") + "\\E/"
     text = F.try_validate_utf8(F.col("content").cast("string"))
-    return reader.load(clean_root).select(
+    scanned = reader.load(clean_root).select(
         F.regexp_replace("path", prefix, "").alias("path"),
         F.coalesce(text, F.lit("")).alias("content"),
     )
+    if listing is None:
+        return scanned
+    unread = listing.select("path").distinct().join(scanned.select("path"), "path", "left_anti")
+    return scanned.unionByName(unread.withColumn("content", F.lit("")))
 
 
 def corpus_files(files: DataFrame) -> DataFrame:
@@ -98,3 +109,19 @@ def changed_lines(old: DataFrame, new: DataFrame, changes: DataFrame) -> DataFra
             F.abs("net").alias("copies"),
         )
     )
+
+
+def save_bucketed(files: DataFrame, table: str, buckets: int) -> DataFrame:
+    """Save a corpus as a table bucketed by path and return it.
+
+    Joins on path between corpora saved with the same number of buckets,
+    revisions or staged results, then move no content over the network.
+    """
+    (
+        files.select("path", "content")
+        .write.mode("overwrite")
+        .bucketBy(buckets, "path")
+        .sortBy("path")
+        .saveAsTable(table)
+    )
+    return files.sparkSession.table(table)
