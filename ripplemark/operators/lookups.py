@@ -65,6 +65,17 @@ def has_been_notified(users: DataFrame, saved: DataFrame) -> DataFrame:
 
 
 def failing_services(expected: DataFrame, probes: DataFrame) -> DataFrame:
-    """Expected services without a successful probe."""
-    healthy = probes.filter("status = 200").select("service").distinct()
-    return expected.select("service").distinct().join(healthy, "service", "left_anti")
+    """Expected services without a successful probe.
+
+    One aggregation over both inputs: probes collapse to one row per task
+    and service before the shuffle, however often a service is probed.
+    """
+    asked = expected.select("service", F.lit(True).alias("asked"), F.lit(False).alias("healthy"))
+    seen = probes.select("service", F.lit(False).alias("asked"), (F.col("status") == 200).alias("healthy"))
+    return (
+        asked.unionByName(seen)
+        .groupBy("service")
+        .agg(F.bool_or("asked").alias("asked"), F.bool_or("healthy").alias("healthy"))
+        .filter(F.col("asked") & ~F.col("healthy"))
+        .select("service")
+    )
