@@ -532,6 +532,10 @@ _SQL["j4_selected_tests"] = """
 select distinct test_id as test, config_key as setting from config_access
 where config_key in (select config_key from changed_keys)
 """
+_SQL["j4_tests_of_config_change"] = """
+select distinct test_id as test, config_key as setting from config_reads
+where config_key in (select key from o_config_changes)
+"""
 _MARKERS = ", ".join(
     f"({i}, {_text(m)}, {_text(lang)})" for i, (m, lang) in enumerate(selection.LANGUAGE_MARKERS.items())
 )

@@ -12,7 +12,7 @@ from ripplemark.functions import http
 from ripplemark.functions import paths as P
 from ripplemark.functions import words as W
 from ripplemark.operators import configs, folds, lookups, scoring, selection, services, terms
-from ripplemark.plans import impact
+from ripplemark.plans import config_selection, impact
 from ripplemark.session import spread, stage, stage_path
 from ripplemark.sources import bodies, corpus, reports
 from ripplemark.streaming import streams
@@ -91,7 +91,10 @@ def s4_result_entries(spark, sf):
 
 @query
 def s5_result_summary(spark, sf):
-    return _impact(spark, sf).summary()
+    run = _impact(spark, sf)
+    path = stage_path(spark, "report")
+    reports.write_report(run.entries(), run.summary(), path)
+    return reports.report_summary(reports.read_report(spark, path), run.tests)
 
 
 @query
@@ -395,6 +398,13 @@ def j4_selected_tests(spark, sf):
     return selection.select_by_config(_edges(spark, sf), view(spark, sf, "changed_keys"))
 
 
+@query
+def j4_tests_of_config_change(spark, sf):
+    return config_selection.tests_of_config_change(
+        view(spark, sf, "config_old"), view(spark, sf, "config_new"), view(spark, sf, "config_reads")
+    )
+
+
 @query
 def j5_languages(spark, sf):
     found = selection.detect_languages(view(spark, sf, "marker_files"))

@@ -172,6 +172,12 @@ from events where event_type = 'purchase' group by user_id, {K}
 VIEWS["config_access"] = """
 select {ts} as ts, 'Test' || user_id as test_id, event_type || '.k' || {K} as config_key from events
 """
+VIEWS["config_reads"] = """
+select 'Test' || user_id as test_id, case event_type when 'signup' then 'server.timeout'
+  when 'purchase' then 'server.tags' when 'click' then 'timeout' when 'view' then 'OWNER'
+  else 'Deployment/svc' || (user_id % 8) || 'service.spec.replicas' end as config_key
+from events
+"""
 VIEWS["changed_keys"] = """
 select distinct event_type || '.k' || {K} as config_key from events where value > 250
 """

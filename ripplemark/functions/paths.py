@@ -144,8 +144,8 @@ def has_parent(path: Column | str, names: list[str]) -> Column:
     return F.lower(_col(path)).rlike("(?:^|/)" + _any_of(names) + "/")
 
 
-def is_source_file(path: Column | str) -> Column:
-    return extension(path).isin(SOURCE_EXTENSIONS)
+def is_source_file(path: Column | str, extensions: list[str] | None = None) -> Column:
+    return extension(path).isin(SOURCE_EXTENSIONS if extensions is None else extensions)
 
 
 def is_config_file(path: Column | str) -> Column:

@@ -118,27 +118,28 @@ def group_sizes(groups: DataFrame, key: str) -> DataFrame:
     return groups.groupBy(key).agg(F.count("*").alias("n_tests"))
 
 
-def _markers_served(name: Column) -> Column:
+def _markers_served(name: Column, table: dict[str, list[str]]) -> Column:
     """Extensions a marker file is a project root for."""
     served = []
-    for ext, markers in PROJECT_MARKERS.items():
-        plain = [m for m in markers if "*" not in m]
+    for ext, names in table.items():
+        plain = [m for m in names if "*" not in m]
         test = name.isin(plain) if plain else F.lit(False)
-        for wild in (m for m in markers if "*" in m):
+        for wild in (m for m in names if "*" in m):
             test = test | name.endswith(wild[1:])
         served.append(F.when(test, ext))
     return F.array_compact(F.array(*served))
 
 
-def project_roots(tests: DataFrame, files: DataFrame) -> DataFrame:
+def project_roots(
+    tests: DataFrame, files: DataFrame, markers: dict[str, list[str]] | None = None
+) -> DataFrame:
     """Nearest directory with a marker for the test's extension: ``(path, root)``.
 
     Solved per distinct (directory, extension): six ancestors each, joined
     by equality with marker directories. Without a hit, the own directory.
     """
-    markers = files.select(
-        P.directory("path").alias("root"), F.explode(_markers_served(P.file_name("path"))).alias("ext")
-    ).distinct()
+    served = _markers_served(P.file_name("path"), PROJECT_MARKERS if markers is None else markers)
+    marked = files.select(P.directory("path").alias("root"), F.explode(served).alias("ext")).distinct()
     placed = tests.select("path", P.directory("path").alias("dir"), P.extension("path").alias("ext"))
 
     parts = F.filter(F.split("dir", "/"), lambda p: p != "")
@@ -147,7 +148,7 @@ def project_roots(tests: DataFrame, files: DataFrame) -> DataFrame:
         "dir", "ext", F.posexplode(F.transform(levels, lambda i: F.array_join(F.slice(parts, F.lit(1), F.size(parts) - i), "/")))
     ).withColumnsRenamed({"pos": "steps", "col": "root"})
     nearest = (
-        ancestors.join(markers, ["root", "ext"])
+        ancestors.join(marked, ["root", "ext"])
         .groupBy("dir", "ext")
         .agg(F.min_by("root", "steps").alias("root"))
     )
@@ -164,21 +165,22 @@ def group_by_root(rooted: DataFrame) -> DataFrame:
     return rooted.select("root", inside.alias("relative_path"))
 
 
-def detect_languages(files: DataFrame) -> DataFrame:
+def detect_languages(files: DataFrame, markers: dict[str, str] | None = None) -> DataFrame:
     """Languages per directory by its marker files, in marker order.
 
     The list has at most one entry per marker, so collecting it is bounded
     by the marker table.
     """
+    table = LANGUAGE_MARKERS if markers is None else markers
     name = P.file_name("path")
     wild = F.concat(F.lit("*."), F.regexp_extract(name, "\\.([^.]+)$", 1))
-    marker = F.when(name.isin([m for m in LANGUAGE_MARKERS if "*" not in m]), name).when(
-        wild.isin([m for m in LANGUAGE_MARKERS if "*" in m]), wild
+    marker = F.when(name.isin([m for m in table if "*" not in m]), name).when(
+        wild.isin([m for m in table if "*" in m]), wild
     )
-    order = {m: str(i) for i, m in enumerate(LANGUAGE_MARKERS)}
+    order = {m: str(i) for i, m in enumerate(table)}
     ranked = F.struct(
         _lookup(order, F.col("marker")).cast("int").alias("place"),
-        _lookup(LANGUAGE_MARKERS, F.col("marker")).alias("language"),
+        _lookup(table, F.col("marker")).alias("language"),
     )
     return (
         files.select(P.directory("path").alias("root"), marker.alias("marker"))

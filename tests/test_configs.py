@@ -176,3 +176,12 @@ def test_services_in_keys(frame):
 def test_mentions(frame, line, found):
     got = services.service_mentions(frame("path string, line string", ("p", line)))
     assert rows(got, "service") == sorted((s,) for s in found)
+
+
+def test_tests_of_a_config_change(frame):
+    from ripplemark.plans.config_selection import tests_of_config_change
+
+    old = frame(FILES, ("a.json", '{"server":{"timeout":30},"retry":3}'), ("b.env", "HOST=a"))
+    new = frame(FILES, ("a.json", '{"server":{"timeout":60},"retry":3}'), ("b.env", "HOST=a"))
+    access = frame("test_id string, config_key string", ("T1", "server.timeout"), ("T1", "retry"), ("T2", "HOST"))
+    assert rows(tests_of_config_change(old, new, access)) == [("T1", "server.timeout")]
