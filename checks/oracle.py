@@ -280,13 +280,13 @@ def lexical(chosen: str) -> str:
 DUCK_VIEWS["o_lexical"] = lexical("o_distinctive")
 DUCK_VIEWS["o_lexical_config"] = lexical("o_config_terms")
 DUCK_VIEWS["o_relevance"] = f"""
-select path, max(case
+select path, max(cast(case
     when regexp_matches(st, '(?:^|[_\\-.])' || regexp_escape(s) || '(?:$|[_\\-.])') then 1.0
     when seg is not null then seg
     when length(root) >= 5 and regexp_matches(st, '(?:^|[_\\-.])' || regexp_escape(root) || '(?:$|[_\\-.])') then 0.7
     when regexp_matches(body, '\\b(?:import|from)\\s+' || regexp_escape(s) || '\\b') then 0.4
     when regexp_matches(body, '/' || regexp_escape(s) || '(?:-service)?/') then 0.3
-    else 0.0 end) as service_score
+    else 0.0 end as double)) as service_score
 from (select t.path, lower({stem('t.path')}) as st, lower(t.content) as body, lower(v.service) as s,
         trim(replace(lower(v.service), 'service', ''), '-_') as root,
         list_filter(list_transform(string_split(lower(t.path), '/'), lambda p:
@@ -523,9 +523,9 @@ def _reduced(p: str) -> str:
 
 
 _SQL["j3_filename_bonus"] = f"""
-select t.path, case when exists (
+select t.path, cast(case when exists (
     select 1 from (select distinct {_reduced('path')} as w from o_reviewed) c where c.w <> '' and contains(t.n, c.w))
-  then 0.3 else 0.0 end as bonus
+  then 0.3 else 0.0 end as double) as bonus
 from (select path, {_reduced('path')} as n from o_tests) t
 """
 _SQL["j4_selected_tests"] = """

@@ -67,7 +67,7 @@ def _impact(spark: SparkSession, sf: str) -> impact.ImpactRun:
 def s1_corpus_scan(spark, sf):
     files = view(spark, sf, "files_new")
     whole = corpus.with_tests(corpus.corpus_files(files), corpus.find_tests(files))
-    return whole.select("path", F.length("content").alias("n_chars"), F.sha2("content", 256).alias("digest"))
+    return whole.select("path", F.length("content").cast("bigint").alias("n_chars"), F.sha2("content", 256).alias("digest"))
 
 
 @query
@@ -187,8 +187,8 @@ def t1_document_terms(spark, sf):
 def t2_stop_words(spark, sf):
     return view(spark, sf, "files_new").select(
         "path",
-        F.size(F.array_remove(W.all_words("content"), "")).alias("n_words"),
-        F.size(W.terms("content")).alias("n_terms"),
+        F.size(F.array_remove(W.all_words("content"), "")).cast("bigint").alias("n_words"),
+        F.size(W.terms("content")).cast("bigint").alias("n_terms"),
     )
 
 

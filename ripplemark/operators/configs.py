@@ -122,7 +122,8 @@ def _typed(value: object) -> tuple[str | None, str]:
         return str(value), type(value).__name__
     if isinstance(value, (list, set, tuple)):
         return json.dumps(list(value), separators=(",", ":"), default=str, ensure_ascii=False), "list"
-    return str(value), "string"
+    # a date is not the text that looks like it
+    return str(value), "string" if isinstance(value, str) else type(value).__name__
 
 
 def _yaml_documents(text: str) -> list[object]:

@@ -30,10 +30,10 @@ def test_recommendations(frame):
 def test_movies(frame):
     movies = frame(
         "id string, title string, genre string, year int",
-        ("m1", "Ocean Signal", "Drama", 2026), ("m2", "Night Circuit", "Thriller", 2025),
+        ("m1", "First Film", "Drama", 2026), ("m2", "Second Film", "Thriller", 2025),
     )
     got = lookups.movie_lookup(frame("id string", "m1", "missing"), movies)
-    assert rows(got, "id", "title", "status") == [("m1", "Ocean Signal", 200), ("missing", None, 404)]
+    assert rows(got, "id", "title", "status") == [("m1", "First Film", 200), ("missing", None, 404)]
     assert lookups.catalogue(movies).count() == 2
 
 

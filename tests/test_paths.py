@@ -25,8 +25,8 @@ def test_names(frame):
 
 def test_service_name_examples(frame):
     expected = {
-        "media_streaming_services/auth-service/src/app.py": "auth",
-        "media_streaming_services/notification-service/Service.cs": "notification",
+        "platform_services/auth-service/src/app.py": "auth",
+        "platform_services/notification-service/Service.cs": "notification",
         "rideshare_services/config/driver_config.py": "driver",
         "rideshare_services/driver_service.py": "driver",
         "tests/test_driver_service.py": "driver",
