@@ -29,9 +29,8 @@ def sorted_rows(columns: list[str], rows: list[tuple]) -> list[tuple]:
     return sorted(keyed, key=lambda r: tuple((v is None, str(v)) for v in r))
 
 
-def compare(spark, con, key: str, sf_dir: str) -> str:
-    """'' when equal, else what differs."""
-    df = QUERIES[key](spark, sf_dir)
+def compare(df, con, key: str) -> str:
+    """'' when the frame equals its twin, else what differs."""
     ours = sorted_rows(df.columns, [tuple(r) for r in df.collect()])
     if key not in ORACLE:
         return "" if ours else "no rows"
@@ -69,7 +68,7 @@ def main() -> int:
     for key in keys:
         start = time.time()
         try:
-            problem = compare(spark, con, key, sf_dir)
+            problem = compare(QUERIES[key](spark, sf_dir), con, key)
         except Exception as e:  # report and go on with the next query
             problem = f"{type(e).__name__}: {str(e)[:600]}"
         bad += bool(problem)

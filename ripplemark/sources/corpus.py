@@ -25,7 +25,8 @@ def scan_files(
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     clean_root = root.rstrip("/")
-    prefix = "^(?:[a-z0-9+]+:/*)?/?\\Q" + clean_root.lstrip("/") + "\\E/"
+    # the scheme and authority Spark puts in front of a plain root
+    prefix = "^(?:[a-z0-9+]+:(?://[^/]*)?)?/*\\Q" + clean_root.lstrip("/") + "\\E/"
     text = F.try_validate_utf8(F.col("content").cast("string"))
     scanned = reader.load(clean_root).select(
         F.regexp_replace("path", prefix, "").alias("path"),
