@@ -149,7 +149,7 @@ from (select term, count(*) as df from o_corpus_terms group by term) t,
 
 def diff_lines(files: str) -> str:
     return f"""
-      select path, unnest(string_split(regexp_replace(content, '\\n$', ''), chr(10))) as line
+      select path, unnest(string_split(regexp_replace(content, '\\n\\z', ''), chr(10))) as line
       from {files} where content <> '' and path in (select path from o_reviewed)"""
 
 
@@ -284,7 +284,7 @@ select path, max(cast(case
     when regexp_matches(st, '(?:^|[_\\-.])' || regexp_escape(s) || '(?:$|[_\\-.])') then 1.0
     when seg is not null then seg
     when length(root) >= 5 and regexp_matches(st, '(?:^|[_\\-.])' || regexp_escape(root) || '(?:$|[_\\-.])') then 0.7
-    when regexp_matches(body, '\\b(?:import|from)\\s+' || regexp_escape(s) || '\\b') then 0.4
+    when regexp_matches(body, '(?:^|[^\\p{{L}}\\p{{N}}_])(?:import|from)\\s+' || regexp_escape(s) || '(?:$|[^\\p{{L}}\\p{{N}}_])') then 0.4
     when regexp_matches(body, '/' || regexp_escape(s) || '(?:-service)?/') then 0.3
     else 0.0 end as double)) as service_score
 from (select t.path, lower({stem('t.path')}) as st, lower(t.content) as body, lower(v.service) as s,

@@ -21,8 +21,12 @@ URL_SCORE = 0.3
 MIN_ROOT_LENGTH = 5
 NAME_BONUS = 0.3
 BONUS_STRIPPED = ["_service", "service", "_test", "test", "_spec", "spec"]
+IMPORT_KEYWORDS = ["import", "from"]
 # ---- end of fixed values ----
 
+WORD_CHAR = "[\\p{L}\\p{N}_]"
+IMPORT_RE = f"(?<!{WORD_CHAR})(?:{'|'.join(IMPORT_KEYWORDS)})\\s+"
+
 
 def lexical_scores(test_terms: DataFrame, tests: DataFrame, distinctive: DataFrame) -> DataFrame:
     """Share of the distinctive terms each test holds: ``(path, lexical)``.
@@ -81,17 +85,12 @@ def _prefixes_at_word_ends(run: Column) -> Column:
     """Prefixes of a run that end where a word boundary lies."""
 
     def is_word(i: Column) -> Column:
-        return F.substring(run, i, F.lit(1)).rlike("[A-Za-z0-9_]")
+        return F.substring(run, i, F.lit(1)).rlike(WORD_CHAR)
 
     ends = F.filter(F.sequence(F.lit(1), F.length(run)), lambda i: is_word(i) != is_word(i + 1))
     return F.transform(ends, lambda i: F.substring(run, F.lit(1), i))
 
 
-# ---- fixed values: how content refers to a service ----
-IMPORT_KEYWORDS_RE = "\\b(?:import|from)\\s+"
-# ---- end of fixed values ----
-
-
 def _evidence(tests: DataFrame, services: DataFrame) -> DataFrame:
     """One row per (test, string a service could equal), with rule and score.
 
@@ -111,7 +110,7 @@ def _evidence(tests: DataFrame, services: DataFrame) -> DataFrame:
     )
     # The lookahead leaves what follows unconsumed: "from import x" has two hits.
     ahead = F.concat(
-        F.lit(IMPORT_KEYWORDS_RE + "(?=(\\S(?s:.{0,"), F.col("longest").cast("string"), F.lit("})))")
+        F.lit(IMPORT_RE + "(?=(\\S(?s:.{0,"), F.col("longest").cast("string"), F.lit("})))")
     )
     pieces = F.split("text", "/")
     base = base.select(

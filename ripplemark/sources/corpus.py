@@ -55,14 +55,14 @@ def with_tests(corpus: DataFrame, tests: DataFrame) -> DataFrame:
 
 
 def _digests(files: DataFrame) -> DataFrame:
-    return files.select("path", F.sha2("content", 256).alias("digest"))
+    return files.select("path", F.unhex(F.sha2("content", 256)).alias("digest"))
 
 
 def changed_files(old: DataFrame, new: DataFrame) -> DataFrame:
     """Paths added or modified in ``new``, as ``(path, change_kind)``.
 
-    Contents are reduced to digests inside the scan, so only paths and 64
-    characters per file are shuffled. Deleted files are not listed.
+    Contents are reduced to digests inside the scan, so only paths and 32
+    bytes per file are shuffled. Deleted files are not listed.
     """
     before = _digests(old).withColumnRenamed("digest", "old_digest")
     return (
@@ -90,7 +90,7 @@ def changed_lines(old: DataFrame, new: DataFrame, changes: DataFrame) -> DataFra
     only = changes.select("path")
 
     def lines(files: DataFrame, sign: int) -> DataFrame:
-        body = F.regexp_replace("content", "\\n$", "")
+        body = F.regexp_replace("content", "\\n\\z", "")
         return (
             files.join(only, "path", "left_semi")
             .filter(F.col("content") != "")

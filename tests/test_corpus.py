@@ -62,6 +62,10 @@ def test_changed_lines_are_a_bag_difference(frame):
     changes = corpus.changed_files(old, new)
     got = rows(corpus.changed_lines(old, new, changes))
     assert got == [("f", "+", "d", 2), ("f", "-", "-- c", 1), ("f", "-", "b", 1), ("h", "+", "new", 1)]
+    blank = corpus.changed_lines(
+        frame(FILES, ("f", "a\n\n")), frame(FILES, ("f", "a\n")), frame("path string", "f")
+    )
+    assert rows(blank) == [("f", "-", "", 1)]
 
 
 OLD = [
