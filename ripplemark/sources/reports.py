@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RESULT_SCHEMA = (
@@ -27,7 +27,7 @@ def report_entries(changes: DataFrame, ranked: DataFrame) -> DataFrame:
 def report_summary(entries: DataFrame, total_tests: DataFrame) -> DataFrame:
     """One row: flag, counts and totals of a result."""
 
-    def count(section: str):
+    def count(section: str) -> Column:
         return F.count_if(F.col("section") == section)
 
     return entries.agg(
@@ -48,6 +48,48 @@ def write_report(entries: DataFrame, summary: DataFrame, path: str) -> None:
     summary.coalesce(1).write.mode("overwrite").json(f"{path}/summary")
 
 
+def report_document(entries: DataFrame, summary: DataFrame) -> DataFrame:
+    """A result as one row of RESULT_SCHEMA, tests best first.
+
+    All lists of a run end in this row; see :func:`write_document`.
+    """
+
+    def listed(section: str, order: Column) -> Column:
+        chosen = F.when(F.col("section") == section, F.struct(order.alias("place"), F.col("path").alias("path")))
+        return F.sort_array(F.collect_list(chosen))["path"]
+
+    by_path = F.lit(0.0)
+    lists = entries.agg(
+        listed("affected_tests", -F.col("score")).alias("affected_tests"),
+        listed("changed_files", by_path).alias("changed_files"),
+        listed("source_files", by_path).alias("source_files"),
+        listed("config_files", by_path).alias("config_files"),
+    )
+    total = summary.select(F.max("total_tests_analyzed")).scalar()
+    n_affected = F.size("affected_tests").cast("bigint")
+    return lists.select(
+        "affected_tests",
+        (n_affected > 0).alias("has_affected_tests"),
+        n_affected.alias("test_count"),
+        F.struct(
+            "changed_files", "source_files", "config_files",
+            total.alias("total_tests_analyzed"), n_affected.alias("affected_tests_count"),
+        ).alias("summary"),
+    )
+
+
+def write_document(entries: DataFrame, summary: DataFrame, path: str, limit: int = 100_000) -> None:
+    """The result as one JSON document, for tools that read a single file.
+
+    Only a result of at most ``limit`` entries fits one document; a larger
+    one is refused here and written whole by :func:`write_report`.
+    """
+    n = entries.count()
+    if n > limit:
+        raise ValueError(f"{n} entries do not fit one document of {limit}; use write_report")
+    report_document(entries, summary).coalesce(1).write.mode("overwrite").json(path)
+
+
 def read_report(spark: SparkSession, path: str) -> DataFrame:
     """Entries of a written report."""
     return spark.read.schema(ENTRY_SCHEMA).json(f"{path}/entries")
@@ -61,7 +103,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 def summarize_documents(documents: DataFrame) -> DataFrame:
     """Flag, counts and list sizes of result documents, absent parts as defaults."""
 
-    def length(column: str):
+    def length(column: str) -> Column:
         return F.coalesce(F.when(F.col(column).isNotNull(), F.size(column)), F.lit(0))
 
     return documents.select(

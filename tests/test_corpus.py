@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from ripplemark.plans.impact import analyze
 from ripplemark.sources import corpus, reports
 from tests.conftest import rows
@@ -111,6 +113,14 @@ def test_impact_from_files_to_report(spark, frame, tmp_path):
     assert (summary.has_affected_tests, summary.test_count, summary.total_tests_analyzed) == (True, 1, 2)
     assert (summary.n_changed_files, summary.n_source_files, summary.n_config_files) == (3, 1, 1)
 
+    reports.write_document(run.entries(), run.summary(), str(tmp_path / "document"))
+    document = reports.read_documents(spark, str(tmp_path / "document")).first()
+    assert document.affected_tests == ["services/cart-service/tests/test_app.py"]
+    assert document.summary.changed_files == ["config/cart.properties", "docs/README.md", "services/cart-service/src/app.py"]
+    assert (document.test_count, document.summary.total_tests_analyzed) == (1, 2)
+    with pytest.raises(ValueError):
+        reports.write_document(run.entries(), run.summary(), str(tmp_path / "small"), limit=3)
+
 
 def test_impact_without_changes(frame):
     files = frame(FILES, *OLD)
