@@ -95,7 +95,8 @@ def terms(t: str) -> str:
 
 
 def strip(t: str) -> str:
-    return f"regexp_replace({t}, '^\\s+|\\s+$', '', 'g')"
+    space = "[\\s\\v\\p{{Z}}\\x1c-\\x1f\\x{{85}}]+"
+    return f"regexp_replace({t}, '^{space}|{space}$', '', 'g')"
 
 
 # Service names step by step; q is the frame (path).

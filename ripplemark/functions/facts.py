@@ -16,7 +16,8 @@ FACTS = f"array<{FACT}>"
 
 # ---- fixed values: the expressions that define the formats ----
 LINE_BREAK_RE = "\\r\\n|\\r|\\n"
-OUTER_SPACE_RE = "^\\s+|\\s+$"
+WHITE_SPACE = "[\\s\\p{Z}\\x1c-\\x1f\\x85]"
+OUTER_SPACE_RE = f"^{WHITE_SPACE}+|{WHITE_SPACE}+$"
 JS_EXPORT_RE = "(?s)(?:module\\.exports|export\\s+default)\\s*=\\s*\\{(.*)\\}\\s*;?\\s*$"
 JS_ASSIGNED_RE = "(?s)=\\s*\\{(.*)\\}"
 JS_LINE_COMMENT_RE = "//[^\\n]*"

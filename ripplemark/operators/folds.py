@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as Wd
 from pyspark.sql import functions as F
 
+from ripplemark.functions.facts import WHITE_SPACE
+
 CHUNK = 1 << 20
 PAGE = 1000
 
@@ -200,7 +202,7 @@ def preference_of(preferences: DataFrame, users: DataFrame) -> DataFrame:
 
 def send_results(requests: DataFrame) -> DataFrame:
     """Each request with id and sent flag, or the reason it is rejected."""
-    blank = F.coalesce(F.regexp_replace("user_id", "\\s+", ""), F.lit("")) == ""
+    blank = F.coalesce(F.regexp_replace("user_id", f"{WHITE_SPACE}+", ""), F.lit("")) == ""
     supported = F.coalesce(F.col("channel").isin(CHANNELS), F.lit(False))
     reason = F.when(blank, F.lit("userId is required")).when(
         ~supported, F.concat(F.lit("Unsupported channel: "), F.coalesce("channel", F.lit("")))

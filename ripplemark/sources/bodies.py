@@ -16,7 +16,7 @@ def read_bodies(requests: DataFrame, defaults: dict[str, str]) -> DataFrame:
     default; a body that is not a JSON object is flagged as rejected, not
     dropped.
     """
-    text = F.when(F.trim(F.coalesce("body", F.lit(""))) == "", "{}").otherwise(F.col("body"))
+    text = F.when(F.coalesce("body", F.lit("")) == "", "{}").otherwise(F.col("body"))
     shape = F.try_parse_json(text)
     parsed = requests.withColumn("_text", text).withColumn("rejected", ~is_object(shape))
     parsed = parsed.withColumn("_f", F.when(~F.col("rejected"), F.from_json("_text", BODY_SCHEMA)))

@@ -16,7 +16,7 @@ def facts(frame, path, content):
 
 
 def test_properties(frame):
-    text = "# c\n! d\na=1\n b : x:y\r\nnoline\n\na=2=3\nq=\n=v\n"
+    text = "# c\n! d\na=1\n b : x:y\r\nnoline\n\na=2=3\nq=\u00a0\n=v\n"
     assert facts(frame, "x.properties", text) == {
         "a": ("2=3", "string"), "b": ("x:y", "string"), "q": ("", "string"), "": ("v", "string"),
     }

@@ -122,7 +122,7 @@ def sent(spark, *requests):
 
 
 def test_send_checks_user_before_channel(spark):
-    results = sent(spark, ("u", "email"), (" \t", "pigeon"), (None, "sms"), ("u", "carrier_pigeon"), ("u", "Email"), ("u", None))
+    results = sent(spark, ("u", "email"), (" \t\u00a0", "pigeon"), (None, "sms"), ("u", "carrier_pigeon"), ("u", "Email"), ("u", None))
     assert [r.reason for r in results.orderBy("seq").collect()] == [
         None, "userId is required", "userId is required", "Unsupported channel: carrier_pigeon",
         "Unsupported channel: Email", "Unsupported channel: ",

@@ -64,10 +64,10 @@ def test_playback(frame):
 def test_bodies(frame):
     df = frame(
         "seq int, body string",
-        (1, '{"userId": "u1", "plan": "Premium"}'), (2, '{"userId":"u1"}'), (3, ""), (4, "{bad"), (5, "[1]"), (6, None),
+        (1, '{"userId": "u1", "plan": "Premium"}'), (2, '{"userId":"u1"}'), (3, ""), (4, "{bad"), (5, "[1]"), (6, None), (7, " "),
     )
     got = rows(read_bodies(df, {"userId": "", "plan": "basic"}), "seq", "rejected", "userId", "plan")
     assert got == [
         (1, False, "u1", "Premium"), (2, False, "u1", "basic"), (3, False, "", "basic"),
-        (4, True, None, None), (5, True, None, None), (6, False, "", "basic"),
+        (4, True, None, None), (5, True, None, None), (6, False, "", "basic"), (7, True, None, None),
     ]
