@@ -587,9 +587,8 @@ select side, term, df, round(idf, 6) as idf from (
   union all (select 'most common' as side, * from o_idf order by idf, term limit 10))
 """
 _SQL["r4_newest_first"] = """
-select user_id, row_number() over (partition by user_id order by ts desc, seq) as pos, id as notification_id, channel,
-  epoch_us(ts) as created_at_us
-from o_sent where reason is null
+select user_id, seq, id as notification_id, channel, epoch_us(ts) as created_at_us
+from o_sent where reason is null and user_id in (select user_id from users) order by user_id, ts desc, seq
 """
 
 # ------------------------------------------------------------------- sets --

@@ -465,7 +465,9 @@ def r3_extreme_terms(spark, sf):
 @query
 def r4_newest_first(spark, sf):
     saved = folds.notifications(folds.send_results(view(spark, sf, "notify_requests")))
-    return folds.newest_first(saved).select("user_id", "pos", "notification_id", "channel", _us("created_at"))
+    return folds.newest_first(saved, view(spark, sf, "users")).select(
+        "user_id", "seq", "notification_id", "channel", _us("created_at")
+    )
 
 
 # ------------------------------------------------------------------- sets --

@@ -29,17 +29,15 @@ def chunk_of(seq: str = "seq", size: int = CHUNK) -> Column:
     return F.floor(F.col(seq) / size).cast("bigint")
 
 
-def positions(events: DataFrame, key: str, chunk: Column, order: list[Column], chunk_order: Column) -> DataFrame:
-    """Append ``pos``, the 1-based rank of each row within its key.
+def positions(events: DataFrame, key: str, size: int = CHUNK) -> DataFrame:
+    """Append ``pos``, the 1-based rank of each row by ``seq`` within its key.
 
-    Ranks are taken inside (key, chunk) and shifted by the number of rows in
-    earlier chunks; ``chunk`` must not decrease along ``order``.
+    Ranks are taken inside (key, chunk of seq), at most ``size`` rows, and
+    shifted by the number of rows in the key's earlier chunks.
     """
-    chunked = events.withColumn("_chunk", chunk)
-    local = chunked.withColumn(
-        "_rank", F.row_number().over(Wd.partitionBy(key, "_chunk").orderBy(*order))
-    )
-    before = Wd.partitionBy(key).orderBy(chunk_order).rowsBetween(Wd.unboundedPreceding, -1)
+    chunked = events.withColumn("_chunk", chunk_of(size=size))
+    local = chunked.withColumn("_rank", F.row_number().over(Wd.partitionBy(key, "_chunk").orderBy("seq")))
+    before = Wd.partitionBy(key).orderBy("_chunk").rowsBetween(Wd.unboundedPreceding, -1)
     offsets = (
         chunked.groupBy(key, "_chunk")
         .agg(F.count("*").alias("_n"))
@@ -57,9 +55,7 @@ def positions(events: DataFrame, key: str, chunk: Column, order: list[Column], c
 
 def media_entries(events: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Added items in arrival order, duplicates kept: ``(user_id, pos, media_id)``."""
-    ranked = positions(
-        events.select("user_id", "seq", "media_id"), "user_id", chunk_of(size=chunk), [F.col("seq")], F.col("_chunk")
-    )
+    ranked = positions(events.select("user_id", "seq", "media_id"), "user_id", chunk)
     return ranked.select("user_id", "pos", "media_id")
 
 
@@ -237,13 +233,12 @@ def notifications_by_id(saved: DataFrame, ids: DataFrame | None = None) -> DataF
     return ids.select("notification_id").distinct().join(latest, "notification_id", "left")
 
 
-def newest_first(saved: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
-    """Notifications with ``pos`` per user, newest first, ties by ``seq``.
+def newest_first(saved: DataFrame, users: DataFrame | None = None) -> DataFrame:
+    """Notifications, of the asked users if given, newest first, ties by ``seq``.
 
-    The chunk is a span of creation time; a user with a large share of all
-    rows is ranked span by span.
+    One sort over (user, time, seq). Its ranges are cut between rows, not
+    between users, so the list of a very active user, or of one instant,
+    spreads over as many tasks as it needs.
     """
-    hours = F.floor(F.unix_timestamp(F.col("created_at").cast("timestamp")) / bucket_seconds)
-    return positions(
-        saved, "user_id", hours, [F.desc("created_at"), F.col("seq")], F.desc("_chunk")
-    )
+    wanted = saved if users is None else saved.join(users.select("user_id").distinct(), "user_id", "left_semi")
+    return wanted.orderBy("user_id", F.desc("created_at"), "seq")

@@ -131,19 +131,24 @@ def test_send_checks_user_before_channel(spark):
     assert first.is_sent and first.sent_at == at(0) and len(first.notification_id) == 64
 
 
-def test_notifications_newest_first(spark):
+def test_notifications_newest_first(spark, frame):
     saved = folds.notifications(sent(spark, *[("u", c) for c in ("email", "sms", "push")], ("v", "sms")))
-    for bucket in (1, 3600):
-        ranked = folds.newest_first(saved, bucket_seconds=bucket).filter("user_id = 'u'").orderBy("pos").collect()
-        assert [r.channel for r in ranked] == ["push", "sms", "email"]
-
-
-def test_ties_in_time_keep_arrival_order(spark):
-    saved = folds.notifications(sent(spark, ("u", "email"), ("u", "sms"), ("u", "push"))).withColumn(
-        "created_at", F.lit(START)
-    )
-    ranked = folds.newest_first(saved).orderBy("pos").collect()
-    assert [r.channel for r in ranked] == ["email", "sms", "push"]
+    ranked = folds.newest_first(saved, frame("user_id string", "u", "w", "u")).collect()
+    assert [r.channel for r in ranked] == ["push", "sms", "email"]
+    assert [r.user_id for r in folds.newest_first(saved).collect()] == ["u", "u", "u", "v"]
+
+
+def test_order_holds_across_partitions_and_ties(spark):
+    # one user with most rows, most of them of one instant
+    rng = random.Random(4)
+    data = [(i, at(rng.choice([0, 0, 0, i])), "u" if i % 10 else f"v{i % 3}", "sms", "s", "b") for i in range(500)]
+    saved = folds.notifications(folds.send_results(spark.createDataFrame(rng.sample(data, 500), REQUESTS)))
+    ranked = folds.newest_first(saved)
+    assert [(r.user_id, r.seq) for r in ranked.collect()] == [
+        (d[2], d[0]) for d in sorted(data, key=lambda d: (d[2], -d[1].timestamp(), d[0]))
+    ]
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" in plan and "Window" not in plan
 
 
 def test_lookup_by_id_takes_the_latest_save(spark, frame):
