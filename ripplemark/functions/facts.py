@@ -128,33 +128,20 @@ def js_facts(text: Column) -> Column:
 JSON_LEVELS = 5
 
 
-def json_depth(text: Column) -> Column:
-    """Nesting depth of objects and arrays, read off the brackets.
-
-    Escapes, then strings, then all but brackets are removed by expressions
-    that run without recursion on texts of any length.
-    """
-    plain = F.regexp_replace(F.regexp_replace(text, "(?s)\\\\.", ""), '"[^"]*"', "")
-    brackets = F.regexp_replace(plain, "[^{}\\[\\]]+", "")
-    walked = F.aggregate(
-        F.split(brackets, ""),
-        F.struct(F.lit(0).alias("now"), F.lit(0).alias("top")),
-        lambda acc, b: F.struct(
-            (acc.now + F.when(b.isin("{", "["), 1).otherwise(-1)).alias("now"),
-            F.greatest(acc.top, acc.now + F.when(b.isin("{", "["), 1).otherwise(-1)).alias("top"),
-        ),
-    )
-    return F.when(brackets == "", F.lit(0)).otherwise(walked.top)
-
-
 def is_shallow_json(text: Column) -> Column:
     """Whether the unrolled levels reach every leaf.
 
-    Most texts have too few brackets to be deep, which is cheap to see;
-    only the others are walked.
+    Most texts have too few braces to be deep, which is cheap to see. For
+    the others, escapes, strings and all but braces are removed, by
+    expressions that run without recursion on texts of any length, and the
+    innermost pairs are taken off once per level.
     """
-    n_brackets = F.length(text) - F.length(F.translate(text, "{[", ""))
-    return F.when(n_brackets <= JSON_LEVELS, F.lit(True)).otherwise(json_depth(text) <= JSON_LEVELS)
+    n_braces = F.length(text) - F.length(F.replace(text, F.lit("{"), F.lit("")))
+    plain = F.regexp_replace(F.regexp_replace(text, "(?s)\\\\.", ""), '"[^"]*"', "")
+    braces = F.regexp_replace(plain, "[^{}]+", "")
+    for _ in range(JSON_LEVELS):
+        braces = F.replace(braces, F.lit("{}"), F.lit(""))
+    return F.when(n_braces <= JSON_LEVELS, F.lit(True)).otherwise(braces == "")
 
 
 def is_object(node: Column) -> Column:
