@@ -14,13 +14,6 @@ from pyspark.sql import functions as F
 from ripplemark.functions import facts as X
 from ripplemark.functions import paths as P
 
-try:
-    import yaml
-
-    YAML_LOADER = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
-except ImportError:  # without the library YAML texts have no settings
-    yaml = None
-
 FACT_ROWS = "path string, key string, value string, value_type string"
 SERVICE_ROWS = "path string, service string"
 
@@ -127,10 +120,12 @@ def _typed(value: object) -> tuple[str | None, str]:
 
 
 def _yaml_documents(text: str) -> list[object]:
-    if yaml is None:
+    try:
+        import yaml  # looked up where the text is read
+    except ImportError:  # without the library YAML texts have no settings
         return []
     try:
-        return list(yaml.load_all(text, Loader=YAML_LOADER))
+        return list(yaml.load_all(text, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader)))
     except Exception:  # a text that does not parse has no settings
         return []
 

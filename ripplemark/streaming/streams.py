@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from ripplemark.operators import folds
+from ripplemark.operators.folds import PLANS
 from ripplemark.session import stage_path
 
 # Commands one key of the stateful stream may hold; all of a key are sorted in one task.
@@ -87,7 +88,7 @@ class ChunkFold(StatefulProcessor):
         if self._summary.exists():
             state.update(zip(self.FIELDS, self._summary.get()))
         batch = pd.concat(list(rows)).sort_values("seq")
-        valid = batch["plan"].isin(folds.PLANS)
+        valid = batch["plan"].isin(PLANS)
         creates = batch[valid & (batch["op"] == "create")]
         plans = batch[valid & batch["op"].isin(["create", "upgrade"])]
         cancels = batch[batch["op"] == "cancel"]
