@@ -22,7 +22,7 @@ is taken.
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +31,7 @@ from ripplemark.session import stage
 
 #: Paragraphs of the corpus that stand for ``unknown`` in training, about.
 SAMPLE = 2000
-#: Features of the model at most.
+#: Features of the model at most; they are the n-grams of the notices.
 FEATURES = 4096
 PROBABILITY, CONFIRMED = 0.6, 0.5
 TEMPERATURES = (0.5, 0.7, 1.0, 1.4, 2.0, 3.0)
@@ -180,11 +180,14 @@ def weights_of(rows: DataFrame) -> tuple[DataFrame, list[float]]:
     """``feature, w`` with one weight per family, and the families' intercepts."""
     spark = rows.sparkSession
     label = F.array_position(F.array(*map(F.lit, FAMILIES)), F.col("family")).cast("double") - 1
-    ready = rows.select(features(F.col("text")).alias("words"), label.alias("label")).where(F.size("words") > 0)
-    counted = CountVectorizer(inputCol="words", outputCol="features", vocabSize=FEATURES, minDF=2.0, binary=True).fit(ready)
-    model = LogisticRegression(family="multinomial", regParam=0.002, elasticNetParam=0.5, maxIter=60, standardization=False).fit(counted.transform(ready))
+    ready = rows.select(features(F.col("text")).alias("words"), label.alias("label"))
+    notices = spark.createDataFrame([(n,) for family in NOTICES.values() for n in family], "text string")
+    vocabulary = [r["feature"] for r in notices.select(F.explode(features(F.col("text"))).alias("feature")).distinct().orderBy("feature").limit(FEATURES).collect()]
+    counted = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="words", outputCol="features")
+    ready = counted.setBinary(True).transform(ready).select("label", "features").coalesce(2)
+    model = LogisticRegression(family="multinomial", regParam=0.002, elasticNetParam=0.3, maxIter=30, standardization=False).fit(ready)
     matrix = model.coefficientMatrix.toArray()
-    table = [(word, [float(x) for x in matrix[:, n]]) for n, word in enumerate(counted.vocabulary) if matrix[:, n].any()]
+    table = [(word, [float(x) for x in matrix[:, n]]) for n, word in enumerate(vocabulary) if matrix[:, n].any()]
     return spark.createDataFrame(table, "feature string, w array<double>"), [float(x) for x in model.interceptVector]
 
 
