@@ -241,7 +241,7 @@ def config_facts(version: str) -> str:
             ("'Deployment/' || svc || '.metadata.name'", "svc", "string"),
             ("'Deployment/' || svc || '.spec.replicas'", n, "int"),
             ("'Deployment/' || svc || '.spec.template.spec.containers'",
-             "'[{{\"name\":\"main\",\"env\":[{{\"name\":\"PEER\",\"value\":\"peer' || (n % 10) || 'service:80\"}}]}}]'", "list"),
+             "'[{{\"env\":[{{\"name\":\"PEER\",\"value\":\"peer' || (n % 10) || 'service:80\"}}],\"name\":\"main\"}}]'", "list"),
             ("'doc1/doc1.debug'", "'true'", "bool"), ("'doc1/doc1.owner'", "owner", "string"),
         ]),
     ])
@@ -297,8 +297,9 @@ from (select t.path, lower({stem('t.path')}) as st, lower(t.content) as body, lo
 group by path
 """
 DUCK_VIEWS["o_ranked"] = """
-select * from (select r.path, l.lexical, r.service_score, round(0.3 * l.lexical + 0.7 * r.service_score, 6) as score
-  from o_relevance r join o_lexical l on r.path = l.path) where score > 0 and score >= 0.55
+select path, lexical, service_score, round(sum, 6) as score
+from (select r.path, l.lexical, r.service_score, 0.3::double * l.lexical + 0.7::double * r.service_score as sum
+  from o_relevance r join o_lexical l on r.path = l.path) where sum > 0 and sum >= 0.55::double
 """
 DUCK_VIEWS["o_entries"] = """
 select 'changed_files' as section, path, cast(null as double) as score from o_reviewed

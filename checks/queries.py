@@ -13,7 +13,7 @@ from ripplemark.functions import paths as P
 from ripplemark.functions import words as W
 from ripplemark.operators import configs, folds, lookups, scoring, selection, services, terms
 from ripplemark.plans import config_selection, impact
-from ripplemark.session import spread, stage, stage_path
+from ripplemark.session import stage, stage_path
 from ripplemark.sources import bodies, corpus, reports
 from ripplemark.streaming import streams
 
@@ -240,7 +240,7 @@ def c1_flatten(spark, sf):
         F.lit('{"event":{"id":'), "event_id", F.lit(',"props":'), "props", F.lit(',"by":{"user":{"id":'),
         "user_id", F.lit('}}},"type":"'), "event_type", F.lit('","list":[1,{"a":2}],"empty":{}}'),
     )
-    events = spread(table(spark, sf, "events"), "event_id")
+    events = table(spark, sf, "events").repartition("event_id")
     texts = events.select(F.col("event_id").cast("string").alias("path"), nested.alias("content"))
     return configs.flatten_json(texts)
 

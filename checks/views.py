@@ -12,7 +12,7 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ripplemark.session import spread, stage
+from ripplemark.session import stage
 
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -272,7 +272,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return _build(spark, sf_dir, name)
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _stored:
-        _stored[key] = stage(spread(_build(spark, sf_dir, name), "path"), name)
+        _stored[key] = stage(_build(spark, sf_dir, name).repartition("path"), name)
     return _stored[key]
 
 

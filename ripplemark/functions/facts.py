@@ -122,51 +122,13 @@ def js_facts(text: Column) -> Column:
     return last_per_key(F.transform(pairs, to_fact))
 
 
-# ---------------------------------------------------------------- JSON --
-
-# Levels of objects unrolled natively; deeper texts take the Arrow route.
-JSON_LEVELS = 5
-
-
-def is_shallow_json(text: Column) -> Column:
-    """Whether the unrolled levels reach every leaf.
-
-    Most texts have too few braces to be deep, which is cheap to see. For
-    the others, escapes, strings and all but braces are removed, by
-    expressions that run without recursion on texts of any length, and the
-    innermost pairs are taken off once per level.
-    """
-    n_braces = F.length(text) - F.length(F.replace(text, F.lit("{"), F.lit("")))
-    plain = F.regexp_replace(F.regexp_replace(text, "(?s)\\\\.", ""), '"[^"]*"', "")
-    braces = F.regexp_replace(plain, "[^{}]+", "")
-    for _ in range(JSON_LEVELS):
-        braces = F.replace(braces, F.lit("{}"), F.lit(""))
-    return F.when(n_braces <= JSON_LEVELS, F.lit(True)).otherwise(braces == "")
+# --------------------------------------------------------- comparisons --
 
 
 def is_object(node: Column) -> Column:
     return F.coalesce(F.schema_of_variant(node).startswith("OBJECT"), F.lit(False))
 
 
-def json_children(node: Column) -> Column:
-    """Entries of an object, ``array<struct<key, value variant>>``; else NULL."""
-    return F.map_entries(node.try_cast("map<string,variant>"))
-
-
-def json_leaf(key: Column, node: Column, shape: Column) -> Column:
-    """A leaf as a fact, given its variant schema; lists stay whole, as JSON text."""
-    kind = (
-        F.when(shape.isNull() | (shape == "VOID"), "null")
-        .when(shape.startswith("ARRAY"), "list")
-        .when(shape == "BOOLEAN", "bool")
-        .when((shape == "BIGINT") | shape.rlike("^DECIMAL.*,\\s*0\\)"), "int")
-        .when(shape.startswith("DECIMAL") | (shape == "DOUBLE") | (shape == "FLOAT"), "float")
-        .otherwise("string")
-    )
-    text = F.when(kind == "list", F.to_json(node)).otherwise(node.try_cast("string"))
-    return fact(key, F.when(kind == "null", F.lit(None)).otherwise(text), kind)
-
-
 def comparable(value: Column, value_type: Column) -> Column:
     """Text equal for equal settings: "30" differs from 30, 1 equals 1.0 and true."""
     number = value.try_cast("double")

@@ -6,6 +6,7 @@ import json
 import re
 import xml.etree.ElementTree as ElementTree
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -39,71 +40,109 @@ def config_format(path: Column | str) -> Column:
 # ------------------------------------------------ formats read natively --
 
 
-def _parsed(files: DataFrame) -> DataFrame:
-    """Files with the JSON tree of JSON texts and whether it is read natively."""
-    json_text = F.when(F.col("format") == "json", F.col("content"))
-    return files.withColumn("tree", F.try_parse_json(json_text)).withColumn(
-        "native", F.col("tree").isNotNull() & F.coalesce(X.is_shallow_json(json_text), F.lit(False))
-    )
-
-
 def _native_facts(files: DataFrame) -> DataFrame:
-    """Properties, env, JS and JSON texts in one pass over the files.
-
-    Every row is a key with either a finished fact or a JSON node; each
-    level replaces object nodes by their entries and keeps the rest.
-    """
-    no_node = F.lit(None).cast("variant")
-    no_text = F.lit(None).cast("string")
+    """Properties, env and JS texts."""
     text = F.col("content")
-
-    def entry(key: Column, value: Column, value_type: Column, node: Column) -> Column:
-        return F.struct(
-            key.alias("key"), value.alias("value"), value_type.alias("value_type"), node.alias("node")
-        )
-
     finished = (
         F.when(F.col("format") == "properties", X.properties_facts(text))
         .when(F.col("format") == "env", X.env_facts(text))
         .when(F.col("format") == "js", X.js_facts(text))
     )
-    top = F.when(
-        F.col("native"),
-        F.transform(X.json_children(F.col("tree")), lambda e: entry(e.key, no_text, no_text, e.value)),
-    ).when(
-        F.col("format") != "json",
-        F.transform(finished, lambda f: entry(f.key, f.value, f.value_type, no_node)),
-    )
-    rows = _parsed(files).select("path", F.inline(top))
-    for _ in range(X.JSON_LEVELS - 1):
-        kept = F.array(entry(F.col("key"), F.col("value"), F.col("value_type"), F.col("node")))
-        below = F.transform(
-            X.json_children(F.col("node")),
-            lambda e: entry(F.concat(F.col("key"), F.lit("."), e.key), no_text, no_text, e.value),
-        )
-        rows = rows.select("path", F.inline(F.coalesce(below, kept)))
-    rows = rows.withColumn("shape", F.schema_of_variant("node"))
-    leaf = F.when(
-        F.col("value_type").isNull(), X.json_leaf(F.col("key"), F.col("node"), F.col("shape"))
-    ).otherwise(X.fact(F.col("key"), F.col("value"), F.col("value_type")))
-    return rows.select("path", leaf.alias("f")).select("path", "f.key", "f.value", "f.value_type")
+    wanted = files.filter(F.col("format").isin("properties", "env", "js"))
+    return wanted.select("path", F.explode(finished).alias("f")).select("path", "f.key", "f.value", "f.value_type")
 
 
 # --------------------------------- formats read in Arrow-fed Python tasks --
 
+# Facts of one frame that a Python task hands over.
+FACTS_AT_ONCE = 10_000
 
-def _flatten(tree: object, prefix: str = "") -> dict[str, object]:
-    """Dotted keys of nested mappings; other values are leaves."""
-    flat: dict[str, object] = {}
-    todo = [(prefix, tree)] if isinstance(tree, dict) else []
+
+def _leaves(tree: object, prefix: str = "") -> Iterator[tuple[str, object]]:
+    """Dotted keys of nested mappings in document order; other values are leaves.
+
+    Shared nodes are walked once per path to them and never copied. A node
+    inside itself is an error.
+    """
+    on_path: set[int] = set()
+    todo: list[tuple] = [(prefix, tree, False)] if isinstance(tree, dict) else []
     while todo:
-        parent, node = todo.pop()
-        if isinstance(node, dict):
-            below = [(f"{parent}.{k}" if parent else str(k), v) for k, v in node.items()]
-            todo.extend(reversed(below))
+        parent, node, done = todo.pop()
+        if done:
+            on_path.discard(id(node))
+        elif isinstance(node, dict):
+            if id(node) in on_path:
+                raise ValueError("a mapping contains itself")
+            on_path.add(id(node))
+            todo.append((parent, node, True))
+            todo.extend((f"{parent}.{k}" if parent else str(k), v, False) for k, v in reversed(node.items()))
         else:
-            flat[parent] = node
-    return flat
+            yield parent, node
+
+
+def _may_collide(trees: list[tuple[str, object]]) -> bool:
+    """Whether two leaves can have one dotted key: by a dot in a key, by keys that print alike, or by one prefix."""
+    if len({prefix for prefix, _ in trees}) < len(trees):
+        return True
+    seen: set[int] = set()
+    todo = [tree for _, tree in trees]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, dict) and id(node) not in seen:
+            seen.add(id(node))
+            names = {str(k) for k in node}
+            if len(names) < len(node) or any("." in n for n in names):
+                return True
+            todo.extend(node.values())
+    return False
+
+
+def _facts_of(trees: list[tuple[str, object]]) -> Iterator[tuple[str, object]]:
+    """Leaves of prefixed trees; of equal keys the last one counts.
+
+    Aliases can make a small text have very many leaves, so they are only
+    held together where keys can be equal.
+    """
+    for _, tree in trees:
+        _check_cycles(tree)
+    leaves = ((key, value) for prefix, tree in trees for key, value in _leaves(tree, prefix))
+    yield from dict(leaves).items() if _may_collide(trees) else leaves
+
+
+def _check_cycles(tree: object) -> None:
+    """Raises for a node that contains itself, through mappings or lists; each node is visited once."""
+    finished: set[int] = set()
+    on_path: set[int] = set()
+    todo: list[tuple[object, bool]] = [(tree, False)]
+    while todo:
+        node, done = todo.pop()
+        if done:
+            on_path.discard(id(node))
+            finished.add(id(node))
+        elif isinstance(node, (dict, list, tuple)) and id(node) not in finished:
+            if id(node) in on_path:
+                raise ValueError("a node contains itself")
+            on_path.add(id(node))
+            todo.append((node, True))
+            todo.extend((v, False) for v in (node.values() if isinstance(node, dict) else node))
+
+
+def _canonical(value: object) -> object:
+    """A list's contents with sorted members and one form of whole numbers, so that equal lists print alike."""
+    if isinstance(value, dict):
+        return {k: _canonical(v) for k, v in sorted((str(k), v) for k, v in value.items())}
+    if isinstance(value, (list, tuple)):
+        return [_canonical(v) for v in value]
+    if isinstance(value, (set, frozenset)):
+        return sorted((_canonical(v) for v in value), key=str)
+    if isinstance(value, float) and value.is_integer():
+        return int(value)
+    return value if value is None or isinstance(value, (str, bool, int, float)) else str(value)
+
+
+def _text(value: str) -> str:
+    """The text with lone surrogates replaced, which UTF-8 cannot hold."""
+    return value if value.isascii() else value.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
 def _typed(value: object) -> tuple[str | None, str]:
@@ -114,38 +153,36 @@ def _typed(value: object) -> tuple[str | None, str]:
     if isinstance(value, (int, float)):
         return str(value), type(value).__name__
     if isinstance(value, (list, set, tuple)):
-        return json.dumps(list(value), separators=(",", ":"), default=str, ensure_ascii=False), "list"
+        return _text(json.dumps(_canonical(list(value)), separators=(",", ":"), ensure_ascii=False)), "list"
     # a date is not the text that looks like it
-    return str(value), "string" if isinstance(value, str) else type(value).__name__
+    return _text(str(value)), "string" if isinstance(value, str) else type(value).__name__
 
 
 def _yaml_documents(text: str) -> list[object]:
-    try:
-        import yaml  # looked up where the text is read
-    except ImportError:  # without the library YAML texts have no settings
-        return []
+    """Documents of a YAML text; none where it does not parse. A missing library is an error of the job."""
+    import yaml  # looked up where the text is read
+
     try:
         return list(yaml.load_all(text, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader)))
+    except MemoryError:
+        raise
     except Exception:  # a text that does not parse has no settings
         return []
 
 
-def _yaml_facts(text: str) -> dict[str, object]:
-    merged: dict[str, object] = {}
+def _yaml_facts(text: str) -> Iterator[tuple[str, object]]:
+    trees = []
     for position, doc in enumerate(_yaml_documents(text)):
         if isinstance(doc, dict):
             metadata = doc.get("metadata", {})
             unnamed = f"doc{position}"
             name = metadata.get("name", unnamed) if isinstance(metadata, dict) else unnamed
-            merged.update(_flatten(doc, f"{doc.get('kind', unnamed)}/{name}"))
-    return merged
+            trees.append((f"{doc.get('kind', unnamed)}/{name}", doc))
+    return _facts_of(trees)
 
 
-def _xml_facts(text: str) -> dict[str, object]:
-    try:
-        root = ElementTree.fromstring(text)
-    except (ElementTree.ParseError, ValueError):
-        return {}
+def _xml_facts(text: str) -> Iterator[tuple[str, object]]:
+    root = ElementTree.fromstring(text)
     leaves: dict[str, object] = {}
     todo = [(root.tag, root)]
     while todo:
@@ -155,33 +192,40 @@ def _xml_facts(text: str) -> dict[str, object]:
             todo.extend(reversed(below))
         else:
             leaves[key] = (element.text or "").strip()
-    return leaves
+    return iter(leaves.items())
 
 
-def _json_facts(text: str) -> dict[str, object]:
-    try:
-        return _flatten(json.loads(text))
-    except (ValueError, RecursionError):
-        return {}
+def _json_facts(text: str) -> Iterator[tuple[str, object]]:
+    return _facts_of([("", json.loads(text))])
 
 
 ARROW_READERS = {"yaml": _yaml_facts, "xml": _xml_facts, "json": _json_facts}
 
 
+def _rows_of(path: str, fmt: str, content: str | None) -> Iterator[tuple]:
+    """Facts of one file. A text that cannot be read has none, and costs no other file its own."""
+    try:
+        for key, value in ARROW_READERS[fmt](content or ""):
+            yield path, _text(key), *_typed(value)
+    except (ValueError, TypeError, RecursionError, ElementTree.ParseError):
+        return
+
+
 def _read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = [
-            (path, key, *_typed(value))
-            for path, fmt, content in zip(batch["path"], batch["format"], batch["content"])
-            for key, value in ARROW_READERS[fmt](content).items()
-        ]
-        yield pd.DataFrame(rows, columns=["path", "key", "value", "value_type"])
+    """Facts in frames of bounded length."""
+    rows = (
+        row
+        for batch in batches
+        for path, fmt, content in zip(batch["path"], batch["format"], batch["content"])
+        for row in _rows_of(path, fmt, content)
+    )
+    while part := list(islice(rows, FACTS_AT_ONCE)):
+        yield pd.DataFrame(part, columns=["path", "key", "value", "value_type"])
 
 
 def _arrow_facts(files: DataFrame) -> DataFrame:
-    """YAML, XML, and the JSON texts beyond the native reader."""
-    leftover_json = (F.col("format") == "json") & ~F.col("native")
-    wanted = _parsed(files).filter(F.col("format").isin("yaml", "xml") | leftover_json)
+    """YAML, XML and JSON texts: one reader for each, so a setting reads alike at any depth."""
+    wanted = files.filter(F.col("format").isin("yaml", "xml", "json"))
     return wanted.select("path", "format", "content").mapInPandas(_read_batches, FACT_ROWS)
 
 
@@ -197,7 +241,7 @@ def config_facts(files: DataFrame) -> DataFrame:
 def flatten_json(texts: DataFrame) -> DataFrame:
     """Settings of JSON texts given as ``(path, content)`` whatever their names."""
     known = texts.withColumn("format", F.lit("json"))
-    return _native_facts(known).unionByName(_arrow_facts(known))
+    return _arrow_facts(known)
 
 
 def config_changes(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -249,16 +293,17 @@ def _services_in(documents: list[object]) -> Iterator[str]:
                     yield host.group(1)
 
 
+def _manifest_rows(path: str, content: str | None) -> list[tuple[str, str]]:
+    try:
+        return [(path, _text(service)) for service in set(_services_in(_yaml_documents(content or "")))]
+    except TypeError:  # containers or env of another shape
+        return []
+
+
 def _manifest_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for path, content in zip(batch["path"], batch["content"]):
-            try:
-                found = set(_services_in(_yaml_documents(content)))
-            except TypeError:  # containers or env of another shape
-                found = set()
-            rows.extend((path, service) for service in found)
-        yield pd.DataFrame(rows, columns=["path", "service"])
+    rows = (row for b in batches for path, content in zip(b["path"], b["content"]) for row in _manifest_rows(path, content))
+    while part := list(islice(rows, FACTS_AT_ONCE)):
+        yield pd.DataFrame(part, columns=["path", "service"])
 
 
 def manifest_services(files: DataFrame) -> DataFrame:

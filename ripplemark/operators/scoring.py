@@ -245,23 +245,28 @@ def filename_bonus(changed: DataFrame, tests: DataFrame) -> DataFrame:
     )
 
 
-def worth_scoring(relevance: DataFrame) -> DataFrame:
+def worth_scoring(relevance: DataFrame, threshold: float = RANK_THRESHOLD) -> DataFrame:
     """Tests the threshold leaves a chance.
 
-    The lexical part adds at most 0.3, so a service score below
-    (0.55 - 0.3) / 0.7 can never rank; dropping those first spares the
-    large term join and changes no result.
+    The lexical part adds at most its weight, so a service score below
+    (threshold - 0.3) / 0.7 can never rank; dropping those first spares the
+    large term join and changes no result at the same threshold.
     """
-    floor = (RANK_THRESHOLD - LEXICAL_WEIGHT) / SERVICE_WEIGHT
+    floor = (threshold - LEXICAL_WEIGHT) / SERVICE_WEIGHT
     return relevance.filter(F.col("service_score") >= floor - 1e-9)
 
 
 def combined_ranking(lexical: DataFrame, relevance: DataFrame, threshold: float = RANK_THRESHOLD) -> DataFrame:
-    """0.3 lexical + 0.7 service, kept at the threshold, best first."""
-    score = F.round(LEXICAL_WEIGHT * F.col("lexical") + SERVICE_WEIGHT * F.col("service_score"), 6)
-    return (
-        relevance.join(lexical, "path")
-        .select("path", "lexical", "service_score", score.alias("score"))
-        .filter((F.col("score") > 0) & (F.col("score") >= threshold))
-        .orderBy(F.desc("score"), "path")
-    )
+    """0.3 lexical + 0.7 service, kept at the threshold; see :func:`best_first` for an order.
+
+    The unrounded sum meets the threshold; the score shown has six digits.
+    """
+    score = LEXICAL_WEIGHT * F.col("lexical") + SERVICE_WEIGHT * F.col("service_score")
+    kept = relevance.join(lexical, "path").withColumn("score", score)
+    kept = kept.filter((F.col("score") > 0) & (F.col("score") >= threshold))
+    return kept.select("path", "lexical", "service_score", F.round("score", 6).alias("score"))
+
+
+def best_first(ranked: DataFrame) -> DataFrame:
+    """A ranking in its order, ties by path."""
+    return ranked.orderBy(F.desc("score"), "path")

@@ -11,12 +11,22 @@ from ripplemark.functions import words as W
 from ripplemark.session import stage
 
 
-def term_rows(files: DataFrame, stop_words: Iterable[str] | None = None) -> DataFrame:
+# A list of words becomes a literal of the plan; a DataFrame of ``word`` takes an anti join.
+StopWords = Iterable[str] | DataFrame | None
+
+
+def _exploded(rows: DataFrame, text: str, stop_words: StopWords, *kept: str) -> DataFrame:
+    if not isinstance(stop_words, DataFrame):
+        return rows.select(*kept, F.explode(W.terms(text, stop_words)).alias("term"))
+    return W.without_stop_words(rows.select(*kept, F.explode(W.terms(text, [])).alias("term")), stop_words)
+
+
+def term_rows(files: DataFrame, stop_words: StopWords = None) -> DataFrame:
     """Distinct ``(path, term)``; distinct inside each row, so no shuffle."""
-    return files.select("path", F.explode(W.terms("content", stop_words)).alias("term"))
+    return _exploded(files, "content", stop_words, "path")
 
 
-def distinct_terms(files: DataFrame, stop_words: Iterable[str] | None = None) -> DataFrame:
+def distinct_terms(files: DataFrame, stop_words: StopWords = None) -> DataFrame:
     """Union of the term sets of many files."""
     return term_rows(files, stop_words).select("term").distinct()
 
@@ -34,13 +44,18 @@ def common_terms(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.select("term").intersect(right.select("term"))
 
 
-def file_profiles(files: DataFrame, stop_words: Iterable[str] | None = None) -> DataFrame:
+def file_profiles(files: DataFrame, stop_words: StopWords = None) -> DataFrame:
     """``(path, terms array)`` of every non-empty file.
 
     Staged by the impact plan: texts are split into terms once, and corpus
     weights, change terms and test terms all read the much smaller table.
     """
-    return files.filter(F.col("content") != "").select("path", W.terms("content", stop_words).alias("terms"))
+    texts = files.filter(F.col("content") != "")
+    if not isinstance(stop_words, DataFrame):
+        return texts.select("path", W.terms("content", stop_words).alias("terms"))
+    kept = term_rows(texts, stop_words).groupBy("path").agg(F.collect_list("term").alias("terms"))
+    none = F.array().cast("array<string>")
+    return texts.select("path").join(kept, "path", "left").select("path", F.coalesce("terms", none).alias("terms"))
 
 
 def profile_rows(profiles: DataFrame) -> DataFrame:
@@ -72,7 +87,7 @@ def idf_of_profiles(profiles: DataFrame) -> DataFrame:
     )
 
 
-def corpus_idf(files: DataFrame, stop_words: Iterable[str] | None = None) -> DataFrame:
+def corpus_idf(files: DataFrame, stop_words: StopWords = None) -> DataFrame:
     """Term weights over a corpus of files."""
     return idf_of_profiles(file_profiles(files, stop_words))
 
@@ -84,19 +99,19 @@ def extreme_terms(idf: DataFrame, n: int = 10) -> DataFrame:
     return top.unionByName(bottom).select("side", "term", "df", "idf")
 
 
-def key_terms(facts: DataFrame, stop_words: Iterable[str] | None = None) -> DataFrame:
+def key_terms(facts: DataFrame, stop_words: StopWords = None) -> DataFrame:
     """Terms of configuration keys."""
     keys = facts.select("key").distinct()
-    return keys.select(F.explode(W.terms("key", stop_words)).alias("term")).distinct()
+    return _exploded(keys, "key", stop_words).distinct()
 
 
-def change_terms(changes: DataFrame, stop_words: Iterable[str] | None = None) -> DataFrame:
+def change_terms(changes: DataFrame, stop_words: StopWords = None) -> DataFrame:
     """Terms of changed keys and of their old and new values."""
     none = F.lit("None")  # a missing value is compared and printed as None
     texts = changes.select(
         F.explode(F.array("key", F.coalesce("old_value", none), F.coalesce("new_value", none))).alias("text")
     ).distinct()
-    return texts.select(F.explode(W.terms("text", stop_words)).alias("term")).distinct()
+    return _exploded(texts, "text", stop_words).distinct()
 
 
 def distinctive_terms(changed: DataFrame, idf: DataFrame | None, threshold: float = 1.5) -> DataFrame:

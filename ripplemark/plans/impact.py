@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -23,7 +22,7 @@ class ImpactRun:
     idf: DataFrame
     changed_terms: DataFrame
     relevance: DataFrame
-    lexical: DataFrame
+    candidate_lexical: DataFrame  # of the tests that the threshold leaves a chance
     ranked: DataFrame
 
     def entries(self) -> DataFrame:
@@ -34,7 +33,7 @@ class ImpactRun:
 
 
 def changed_terms(
-    changes: DataFrame, new_configs: DataFrame, profiles: DataFrame, stop_words: Iterable[str] | None = None
+    changes: DataFrame, new_configs: DataFrame, profiles: DataFrame, stop_words: terms.StopWords = None
 ) -> DataFrame:
     """Terms of changed source files and of the keys of changed config files."""
     sources = changes.filter(F.col("category") == "source").select("path")
@@ -47,7 +46,8 @@ def analyze(
     old: DataFrame,
     new: DataFrame,
     tests: DataFrame | None = None,
-    stop_words: Iterable[str] | None = None,
+    stop_words: terms.StopWords = None,
+    threshold: float = scoring.RANK_THRESHOLD,
 ) -> ImpactRun:
     """Rank the tests a change affects.
 
@@ -80,10 +80,12 @@ def analyze(
 
     idf = terms.idf_of_profiles(profiles)
     wanted = changed_terms(changes, new_configs, profiles, stop_words)
-    relevance = stage(scoring.worth_scoring(scoring.service_relevance(tests, touched)), "relevance")
+    relevance = stage(scoring.service_relevance(tests, touched), "relevance")
+    candidates = scoring.worth_scoring(relevance, threshold)
     distinctive = terms.distinctive_terms(wanted, idf)
-    candidates = profiles.join(relevance.select("path"), "path", "left_semi")
-    lexical = scoring.lexical_scores(terms.profile_rows(candidates), relevance, distinctive)
+    texts = profiles.join(candidates.select("path"), "path", "left_semi")
+    lexical = scoring.lexical_scores(terms.profile_rows(texts), candidates, distinctive)
+    ranked = stage(scoring.combined_ranking(lexical, candidates, threshold), "ranked")
     return ImpactRun(
         changes=changes,
         tests=tests.select("path"),
@@ -91,6 +93,6 @@ def analyze(
         idf=idf,
         changed_terms=wanted,
         relevance=relevance,
-        lexical=lexical,
-        ranked=scoring.combined_ranking(lexical, relevance),
+        candidate_lexical=lexical,
+        ranked=ranked,
     )

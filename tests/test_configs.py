@@ -54,12 +54,71 @@ def test_json(frame):
     assert facts(frame, "a.json", "{broken") == {}
 
 
-def test_json_beyond_the_native_reader(frame):
+def test_json_at_any_depth(frame):
     deep = '{"a":{"b":{"c":{"d":{"e":{"f":{"g":1}}}}}}}'
     assert facts(frame, "a.json", deep) == {"a.b.c.d.e.f.g": ("1", "int")}
     assert facts(frame, "a.json", '{"a":1,"a":2}') == {"a": ("2", "int")}  # the last one wins
 
 
+def test_json_literals_read_alike_at_any_depth(frame):
+    literals = {
+        "1.0": ("1.0", "float"), "-0.0": ("-0.0", "float"), "1E-7": ("1e-07", "float"), "1e400": ("inf", "float"),
+        "12345678901234567.25": ("1.2345678901234568e+16", "float"), "123456789012345678901234567890": ("123456789012345678901234567890", "int"),
+        '[{"b":1,"a":[2.0,{"d":1,"c":2}]}]': ('[{"a":[2,{"c":2,"d":1}],"b":1}]', "list"),
+    }
+    for depth in (1, 7, 50):
+        text = "".join('{"k":' for _ in range(depth)) + "{" + ",".join(f'"x{i}":{t}' for i, t in enumerate(literals)) + "}" + "}" * depth
+        key = "k." * depth
+        assert facts(frame, "a.json", text) == {f"{key}x{i}": v for i, v in enumerate(literals.values())}
+
+
+def test_colliding_keys(frame):
+    assert facts(frame, "a.json", '{"a.b":1,"a":{"b":2}}') == {"a.b": ("2", "int")}
+    assert facts(frame, "a.json", '{"a":{"b":2},"a.b":1}') == {"a.b": ("1", "int")}
+    one = configs.config_facts(frame(FILES, ("a.json", '{"a.b":1,"a":{"b":2}}')))
+    assert configs.config_changes(one, one).count() == 0
+
+
+def test_order_and_form_in_lists_is_no_change(frame):
+    old = configs.config_facts(frame(FILES, ("a.json", '{"l":[{"a":1,"b":2}]}')))
+    new = configs.config_facts(frame(FILES, ("a.json", '{"l":[{"b":2,"a":1.0}],"deep":{"a":{"b":{"c":{"d":{"e":{"f":null}}}}}}}')))
+    assert configs.config_changes(old, new).count() == 0
+
+
+def test_odd_texts_cost_no_other_file(frame):
+    odd = {
+        "date.yaml": "a: [{2024-01-01: x}]", "self.yaml": "a: &x [*x]", "loop.yaml": "&x {a: 1, b: *x}", "bad.yaml": "a: [",
+        "half.json": '{"a":"\\ud800","b":1}', "deep.json": "[" * 100_000, "bad.json": "{", "keys.yaml": "[1, 2]: x\n", "bad.xml": "<a", "none.yaml": None,
+        "laugh.yaml": "a: &a {x: 1, y: 2}\nb: &b {x: *a, y: *a}\nc: &c {x: *b, y: *b}\nd: {x: *c, y: *c}\n",
+    }
+    files = frame(FILES, *odd.items(), ("ok.yaml", "a: 1"))
+    found = {}
+    for r in configs.config_facts(files).collect():
+        found.setdefault(r.path, {})[r.key] = r.value
+    assert found.pop("ok.yaml") == {"doc0/doc0.a": "1"}
+    assert found.pop("half.json") == {"a": "\ufffd", "b": "1"}
+    assert found.pop("date.yaml") == {"doc0/doc0.a": '[{"2024-01-01":"x"}]'}
+    assert len(found.pop("laugh.yaml")) == 2 + 4 + 8 + 16
+    assert found == {}
+    assert {r.path for r in configs.manifest_services(files).collect()} == set()
+
+
+def test_a_missing_library_is_loud(monkeypatch):
+    import builtins
+
+    real = builtins.__import__
+    monkeypatch.setattr(builtins, "__import__", lambda name, *a, **k: (_ for _ in ()).throw(ImportError(name)) if name == "yaml" else real(name, *a, **k))
+    with pytest.raises(ImportError):
+        list(configs._rows_of("a.yaml", "yaml", "a: 1"))
+
+
+def test_aliases_are_read_lazily():
+    """2^40 leaves: the first ones come at once."""
+    text = "a0: &a0 {x: 1, y: 2}\n" + "".join(f"a{i}: &a{i} {{x: *a{i - 1}, y: *a{i - 1}}}\n" for i in range(1, 40))
+    rows = configs._rows_of("a.yaml", "yaml", text)
+    assert [next(rows)[1] for _ in range(3)] == ["doc0/doc0.a0.x", "doc0/doc0.a0.y", "doc0/doc0.a1.x.x"]
+
+
 trees = st.recursive(
     st.none() | st.booleans() | st.integers(-(10**6), 10**6) | st.text("ab{}[]\"\\:,é ", max_size=6),
     lambda inner: st.lists(inner, max_size=3) | st.dictionaries(st.text("kxyz", min_size=1, max_size=3), inner, max_size=4),
@@ -75,7 +134,7 @@ def test_json_equals_the_plain_reader(spark, values):
     got = {(r.path, r.key, r.value, r.value_type) for r in configs.config_facts(df).collect() if r.value_type != "list"}
     want = set()
     for i, text in enumerate(texts):
-        for key, value in configs._json_facts(text).items():
+        for key, value in dict(configs._json_facts(text)).items() if isinstance(json.loads(text), dict) else ():
             typed = configs._typed(value)
             if typed[1] != "list":
                 want.add((f"{i}.json", key, *typed))

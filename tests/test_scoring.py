@@ -138,11 +138,15 @@ def test_lexical_ranking(frame):
 def test_combined_ranking(frame):
     lex = frame("path string, lexical double", ("a", 1.0), ("b", 0.2), ("c", 0.19), ("d", 1.0), ("e", 0.0))
     rel = frame("path string, service_score double", ("a", 0.4), ("b", 0.7), ("c", 0.7), ("d", 0.3), ("e", 0.9))
-    ranked = scoring.combined_ranking(lex, rel)
-    assert [(r.path, r.score) for r in ranked.collect()] == [("e", 0.63), ("a", 0.58), ("b", 0.55)]
+    ranked = scoring.best_first(scoring.combined_ranking(lex, rel))
+    # b reaches 0.3 * 0.2 + 0.7 * 0.7 = 0.5499999999999999 only
+    assert [(r.path, r.score) for r in ranked.collect()] == [("e", 0.63), ("a", 0.58)]
     # dropping tests that cannot rank changes nothing
-    again = scoring.combined_ranking(lex, scoring.worth_scoring(rel))
-    assert again.collect() == ranked.collect()
+    for threshold in (0.55, 0.3, 0.05):
+        whole = scoring.best_first(scoring.combined_ranking(lex, rel, threshold))
+        again = scoring.combined_ranking(lex, scoring.worth_scoring(rel, threshold), threshold)
+        assert scoring.best_first(again).collect() == whole.collect()
+    assert whole.count() == 5
 
 
 def reduced(path):

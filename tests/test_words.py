@@ -1,4 +1,3 @@
-import keyword
 import re
 
 from hypothesis import given, settings
@@ -35,15 +34,23 @@ def test_terms_equal_brute_force(spark, texts):
     assert got == {(str(i), w) for i, t in enumerate(texts) for w in brute(t, stop)}
 
 
-def test_default_stop_words_hold_the_rule():
-    stop = set(W.default_stop_words())
-    assert {k.lower() for k in keyword.kwlist if len(k) > 2} <= stop
-    assert {"catalog", "watchlist", "none", "true"} <= stop
+def test_default_stop_words(frame):
+    stop = W.default_stop_words()
+    assert len(stop) == len(set(stop)) == 462 and sum(len(w) > 2 for w in stop) == 442
+    assert {"token", "session", "endpoint", "user", "catalog", "watchlist", "none", "jsonify", "overridden"} <= set(stop)
+    assert not {"filter", "range", "format", "compile", "match", "print", "timeoutms", "cart", "password"} & set(stop)
+    got = terms.term_rows(frame("path string, content string", ("a", "Token session filter range cart user ENDPOINT")))
+    assert {r.term for r in got.collect()} == {"filter", "range", "cart"}
 
 
-def test_stop_words_from_a_file(spark, tmp_path):
+def test_stop_words_from_a_file(spark, frame, tmp_path):
     (tmp_path / "stop.txt").write_text("Alpha\n beta \n\nalpha\n")
-    assert W.read_stop_words(spark, str(tmp_path / "stop.txt")) == ["alpha", "beta"]
+    words = W.read_stop_words(spark, str(tmp_path / "stop.txt"))
+    assert {r.word for r in words.collect()} == {"alpha", "beta"}
+    files = frame("path string, content string", ("a", "alpha gamma delta"), ("b", "beta"), ("c", "gamma user"))
+    assert {tuple(r) for r in terms.term_rows(files, words).collect()} == {("a", "gamma"), ("a", "delta"), ("c", "gamma"), ("c", "user")}
+    profiles = {r.path: sorted(r.terms) for r in terms.file_profiles(files, words).collect()}
+    assert profiles == {"a": ["delta", "gamma"], "b": [], "c": ["gamma", "user"]}
 
 
 def test_idf_counts_files_with_text(frame):
