@@ -1,9 +1,9 @@
 """State of the media platform folded from its event tables.
 
 One user may hold a large share of all events, so no operator gathers a
-user's events in one task. Events carry a unique, growing ``seq``; work
-that needs order is done per ``(user, chunk of seq)``, which holds at most
-CHUNK rows, and chunks are then combined from one small row each.
+user's events in one task. Events carry a unique, growing ``seq``, dense
+or sparse; work that needs order is done per range of (user, seq), and
+ranges are then combined from one small row each.
 """
 
 from __future__ import annotations
@@ -13,8 +13,8 @@ from pyspark.sql import Window as Wd
 from pyspark.sql import functions as F
 
 from ripplemark.functions.facts import WHITE_SPACE
+from ripplemark.session import stage
 
-CHUNK = 1 << 20
 PAGE = 1000
 
 # ---- fixed values ----
@@ -25,37 +25,35 @@ DEFAULT_CHANNEL = "email"
 # ---- end of fixed values ----
 
 
-def chunk_of(seq: str = "seq", size: int = CHUNK) -> Column:
-    return F.floor(F.col(seq) / size).cast("bigint")
-
-
-def positions(events: DataFrame, key: str, size: int = CHUNK) -> DataFrame:
+def positions(events: DataFrame, key: str) -> DataFrame:
     """Append ``pos``, the 1-based rank of each row by ``seq`` within its key.
 
-    Ranks are taken inside (key, chunk of seq), at most ``size`` rows, and
-    shifted by the number of rows in the key's earlier chunks.
+    Rows are cut into ranges of (key, seq) of about equal size, whatever the
+    values of ``seq`` are, and written once. Ranks are taken inside
+    (key, range) and shifted by the number of rows in the key's earlier
+    ranges, so the rows of a very active key are ranked by many tasks.
     """
-    chunked = events.withColumn("_chunk", chunk_of(size=size))
-    local = chunked.withColumn("_rank", F.row_number().over(Wd.partitionBy(key, "_chunk").orderBy("seq")))
-    before = Wd.partitionBy(key).orderBy("_chunk").rowsBetween(Wd.unboundedPreceding, -1)
+    ranged = stage(events.repartitionByRange(F.col(key), F.col("seq")).withColumn("_range", F.spark_partition_id()), "ranges")
+    local = ranged.withColumn("_rank", F.row_number().over(Wd.partitionBy(key, "_range").orderBy("seq")))
+    before = Wd.partitionBy(key).orderBy("_range").rowsBetween(Wd.unboundedPreceding, -1)
     offsets = (
-        chunked.groupBy(key, "_chunk")
+        ranged.groupBy(key, "_range")
         .agg(F.count("*").alias("_n"))
-        .select(key, "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+        .select(key, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     )
     return (
-        local.join(offsets, [key, "_chunk"])
+        local.join(offsets, [key, "_range"])
         .withColumn("pos", F.col("_before") + F.col("_rank"))
-        .drop("_chunk", "_rank", "_before")
+        .drop("_range", "_rank", "_before")
     )
 
 
 # ------------------------------------------------- watchlist and history --
 
 
-def media_entries(events: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def media_entries(events: DataFrame) -> DataFrame:
     """Added items in arrival order, duplicates kept: ``(user_id, pos, media_id)``."""
-    ranked = positions(events.select("user_id", "seq", "media_id"), "user_id", chunk)
+    ranked = positions(events.select("user_id", "seq", "media_id"), "user_id")
     return ranked.select("user_id", "pos", "media_id")
 
 
@@ -87,58 +85,63 @@ def is_known_plan() -> Column:
     return F.coalesce(F.col("plan").isin(PLANS), F.lit(False))
 
 
-def subscription_chunks(commands: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """One row per (user, chunk) that is enough to fold any later state.
+def _is_create() -> Column:
+    return (F.col("op") == "create") & is_known_plan()
 
-    Holds the last accepted-or-pending create and plan, the first cancel
-    after that create inside the chunk, and the first cancel of the chunk.
-    """
-    is_create = (F.col("op") == "create") & is_known_plan()
-    sets_plan = F.col("op").isin("create", "upgrade") & is_known_plan()
-    is_cancel = F.col("op") == "cancel"
-    whole = Wd.partitionBy("user_id", "chunk")
-    marked = commands.withColumn("chunk", chunk_of(size=chunk)).withColumn(
-        "last_create", F.max(F.when(is_create, F.col("seq"))).over(whole)
-    )
-    cancel = F.struct("seq", "ts")
-    return marked.groupBy("user_id", "chunk").agg(
-        F.max("last_create").alias("create_seq"),
-        F.max_by("ts", F.when(is_create, F.col("seq"))).alias("create_ts"),
-        F.max(F.when(sets_plan, F.struct("seq", "plan"))).alias("last_plan"),
-        F.min(F.when(is_cancel & (F.col("seq") > F.col("last_create")), cancel)).alias("cancel_after_create"),
-        F.min(F.when(is_cancel, cancel)).alias("first_cancel"),
-    )
 
+def _sets_plan() -> Column:
+    return F.col("op").isin("create", "upgrade") & is_known_plan()
 
-def subscriptions_from_chunks(chunks: DataFrame) -> DataFrame:
-    """Current subscription per user from its chunk rows."""
-    per_user = Wd.partitionBy("user_id")
-    placed = chunks.withColumn(
-        "create_chunk", F.max(F.when(F.col("create_seq").isNotNull(), F.col("chunk"))).over(per_user)
-    ).filter(F.col("chunk") >= F.col("create_chunk"))
-    in_place = F.col("chunk") == F.col("create_chunk")
-    cancelled = F.when(in_place, F.col("cancel_after_create")).otherwise(F.col("first_cancel"))
-    folded = placed.groupBy("user_id").agg(
-        F.max("last_plan").alias("plan"),
-        F.max(F.when(in_place, F.col("create_ts"))).alias("started_at"),
-        F.min(cancelled).alias("cancel"),
-    )
-    return folded.select(
-        "user_id",
-        F.col("plan.plan").alias("plan_name"),
-        "started_at",
-        F.col("cancel.ts").alias("cancelled_at"),
-        F.col("cancel").isNull().alias("is_active"),
+
+def _marks(commands: DataFrame) -> DataFrame:
+    """Per user the ``seq`` of the last valid create and of the last valid plan."""
+    return commands.groupBy("user_id").agg(
+        F.max(F.when(_is_create(), F.col("seq"))).alias("create_seq"),
+        F.max(F.when(_sets_plan(), F.col("seq"))).alias("plan_seq"),
     )
 
 
-def subscriptions(commands: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Subscription per user after all commands in ``seq`` order.
+def subscription_relevant(commands: DataFrame) -> DataFrame:
+    """The commands that can still count, whatever commands arrive later.
+
+    Those are the last valid create and the last valid plan, and every
+    cancel after that create: smaller cancels are void for good, and a
+    larger create that is yet to come can only void more of them.
+    """
+    marks = _marks(commands)
+    cancels = (F.col("op") == "cancel") & (F.col("create_seq").isNull() | (F.col("seq") > F.col("create_seq")))
+    counts = _is_create() & (F.col("seq") == F.col("create_seq")) | _sets_plan() & (F.col("seq") == F.col("plan_seq")) | cancels
+    return commands.join(marks, "user_id").filter(counts).select("seq", "ts", "user_id", "op", "plan")
+
+
+def subscriptions(commands: DataFrame) -> DataFrame:
+    """Subscription per user after all commands in ``seq`` order, given in any order.
 
     A valid create replaces the record, a valid upgrade changes its plan,
-    the first cancel after the create is kept.
+    the first cancel after the create is kept. Two hash aggregations of
+    numbers, merged within tasks first; a plan is carried as its place in
+    the list of plans.
     """
-    return subscriptions_from_chunks(subscription_chunks(commands, chunk))
+    cancel = F.when((F.col("op") == "cancel") & (F.col("seq") > F.col("create_seq")), F.col("seq"))
+    plans = F.array(*[F.lit(p) for p in PLANS])
+    place = F.array_position(plans, F.col("plan"))
+    return (
+        commands.join(_marks(commands).filter("create_seq is not null"), "user_id")
+        .groupBy("user_id")
+        .agg(
+            F.max(F.when(_sets_plan() & (F.col("seq") == F.col("plan_seq")), place)).alias("place"),
+            F.max(F.when(_is_create() & (F.col("seq") == F.col("create_seq")), F.col("ts"))).alias("started_at"),
+            F.min_by("ts", cancel).alias("cancelled_at"),
+            F.min(cancel).alias("cancel_seq"),
+        )
+        .select(
+            "user_id",
+            F.element_at(plans, F.col("place").cast("int")).alias("plan_name"),
+            "started_at",
+            "cancelled_at",
+            F.col("cancel_seq").isNull().alias("is_active"),
+        )
+    )
 
 
 def subscription_of(current: DataFrame, users: DataFrame) -> DataFrame:
@@ -173,9 +176,8 @@ def command_results(commands: DataFrame) -> DataFrame:
 def latest_value(events: DataFrame, key: str, value: str, default: str | None = None) -> DataFrame:
     """Last write per key by ``seq``; a missing value takes the default."""
     written = F.col(value) if default is None else F.coalesce(F.col(value), F.lit(default))
-    return events.groupBy(key).agg(F.max(F.struct(F.col("seq"), written.alias(value))).alias("last")).select(
-        key, F.col(f"last.{value}").alias(value)
-    )
+    last = events.groupBy(key).agg(F.max("seq").alias("seq"))
+    return events.select(key, "seq", written.alias(value)).join(last, [key, "seq"], "left_semi").select(key, value)
 
 
 def plan_preferences(events: DataFrame) -> DataFrame:
@@ -222,12 +224,9 @@ def notifications(results: DataFrame) -> DataFrame:
 
 def notifications_by_id(saved: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """Latest save of each id; with ``ids``, a lookup with NULLs for misses."""
-    others = [c for c in saved.columns if c not in ("notification_id", "seq")]
-    latest = (
-        saved.groupBy("notification_id")
-        .agg(F.max(F.struct("seq", *others)).alias("n"))
-        .select("notification_id", "n.*")
-    )
+    last = saved.groupBy("notification_id").agg(F.max("seq").alias("seq"))
+    latest = saved.join(last, ["notification_id", "seq"], "left_semi")
+    latest = latest.select("notification_id", "seq", *[c for c in saved.columns if c not in ("notification_id", "seq")])
     if ids is None:
         return latest
     return ids.select("notification_id").distinct().join(latest, "notification_id", "left")

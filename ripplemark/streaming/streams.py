@@ -1,195 +1,122 @@
 """Continuous versions of the folds; each ends in the table of its batch twin.
 
-Streams write to folders of the shared directory. In update mode every
-micro-batch overwrites its own sub-folder, so a batch that runs again after
-a failure leaves one copy; readers take the latest row per key.
+A stream is given the folder of its table and of its checkpoint, and its
+trigger. Called again with the same folders it goes on where it stopped, so
+new files are read once. Every micro-batch writes what it contributes to a
+sub-folder of its own, overwritten if the batch runs again; now and then
+the folders so far are folded into one, and readers take the last folded
+folder and the batches after it. What a batch contributes does not depend
+on other batches, so commands may arrive in any order.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from ripplemark.operators import folds
-from ripplemark.operators.folds import PLANS
 from ripplemark.session import stage_path
 
-# Commands one key of the stateful stream may hold; all of a key are sorted in one task.
-STREAM_CHUNK = 1 << 16
+# Batches between two folds of a table.
+COMPACT_EVERY = 16
 
-PROVIDER_KEY = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-CHUNK_STATE = (
-    "create_seq bigint, create_us bigint, plan_seq bigint, plan string, "
-    "after_seq bigint, after_us bigint, cancel_seq bigint, cancel_us bigint"
-)
-CHUNK_OUTPUT = "user_id bigint, chunk bigint, " + CHUNK_STATE
+class Updates:
+    """A table of contributions: ``kind=batch|folded/id=n/`` below one folder."""
 
+    def __init__(self, spark: SparkSession, path: str, schema: str, reduce: Callable[[DataFrame], DataFrame]):
+        self.spark, self.path, self.schema, self.reduce = spark, path.rstrip("/"), schema, reduce
 
-@contextmanager
-def _rocksdb(spark: SparkSession) -> Iterator[None]:
-    before = spark.conf.get(PROVIDER_KEY, None)
-    spark.conf.set(PROVIDER_KEY, ROCKSDB)
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(PROVIDER_KEY)
-        else:
-            spark.conf.set(PROVIDER_KEY, before)
+    def rows(self) -> DataFrame:
+        """The contributions that count, without the folders that were folded."""
+        try:
+            every = self.spark.read.schema(f"{self.schema}, kind string, id bigint").parquet(self.path)
+        except AnalysisException as missing:  # no batch has come yet
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], self.schema)
+        folded = every.filter("kind = 'folded'").agg(F.max("id")).first()[0]
+        if folded is not None:
+            kept = (F.col("kind") == "folded") & (F.col("id") == folded) | (F.col("kind") == "batch") & (F.col("id") > folded)
+            every = every.filter(kept)
+        return every.drop("kind", "id")
 
+    def save(self, batch: DataFrame, number: int, every: int) -> None:
+        self.reduce(batch).write.mode("overwrite").parquet(f"{self.path}/kind=batch/id={number}")
+        if number % every == every - 1:
+            self.reduce(self.rows()).write.mode("overwrite").parquet(f"{self.path}/kind=folded/id={number}")
 
-def _drain(writer: DataStreamWriter, checkpoint: str) -> None:
-    """Process what is there, then stop."""
-    query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
 
-
-def _write_updates(stream: DataFrame, label: str) -> DataFrame:
-    spark = stream.sparkSession
-    base = stage_path(spark, label)
-    table = f"{base}/table"
-
-    def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
-
-    _drain(stream.writeStream.outputMode("update").foreachBatch(save), f"{base}/checkpoint")
-    return spark.read.schema(f"{_ddl(stream)}, batch_id bigint").parquet(table)
+def _run(stream: DataFrame, updates: Updates, checkpoint: str, trigger: dict | None, every: int):
+    writer = stream.writeStream.foreachBatch(lambda batch, number: updates.save(batch, number, every))
+    return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
-# ------------------------------------------------- ST1 subscriptions --
+def _kept(
+    stream: DataFrame, reduce: Callable[[DataFrame], DataFrame], label: str, path: str | None, checkpoint: str | None,
+    trigger: dict | None, compact_every: int,
+) -> Updates:
+    """Runs a stream of contributions. A trigger that ends is waited for; any other query goes on beside the caller."""
+    spark = stream.sparkSession
+    base = stage_path(spark, label) if path is None or checkpoint is None else ""
+    updates = Updates(spark, path or f"{base}/table", _ddl(stream), reduce)
+    query = _run(stream, updates, checkpoint or f"{base}/checkpoint", trigger, compact_every)
+    if not trigger or trigger.get("availableNow") or trigger.get("once"):
+        query.awaitTermination()
+    return updates
 
 
-class ChunkFold(StatefulProcessor):
-    """Folds the commands of one (user, chunk) into its summary row.
+# ------------------------------------------------- ST1 subscriptions --
 
-    Commands of a chunk are expected in ``seq`` order across batches; inside
-    a batch they are sorted. The key holds at most one chunk of commands,
-    so neither a batch nor the state of a key grows with its user.
-    """
 
-    FIELDS = ("create_seq", "create_us", "plan_seq", "plan", "after_seq", "after_us", "cancel_seq", "cancel_us")
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._summary = handle.getValueState("summary", CHUNK_STATE)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        state = dict.fromkeys(self.FIELDS)
-        if self._summary.exists():
-            state.update(zip(self.FIELDS, self._summary.get()))
-        batch = pd.concat(list(rows)).sort_values("seq")
-        valid = batch["plan"].isin(PLANS)
-        creates = batch[valid & (batch["op"] == "create")]
-        plans = batch[valid & batch["op"].isin(["create", "upgrade"])]
-        cancels = batch[batch["op"] == "cancel"]
-
-        if len(creates):
-            last = creates.iloc[-1]
-            state.update(create_seq=int(last["seq"]), create_us=int(last["us"]), after_seq=None, after_us=None)
-        if len(plans):
-            state.update(plan_seq=int(plans.iloc[-1]["seq"]), plan=str(plans.iloc[-1]["plan"]))
-        if state["cancel_seq"] is None and len(cancels):
-            state.update(cancel_seq=int(cancels.iloc[0]["seq"]), cancel_us=int(cancels.iloc[0]["us"]))
-        if state["create_seq"] is not None and state["after_seq"] is None:
-            later = cancels[cancels["seq"] > state["create_seq"]]
-            if len(later):
-                state.update(after_seq=int(later.iloc[0]["seq"]), after_us=int(later.iloc[0]["us"]))
-
-        self._summary.update(tuple(state[f] for f in self.FIELDS))
-        row = pd.DataFrame([[key[0], key[1], *state.values()]], columns=["user_id", "chunk", *self.FIELDS])
-        whole = [c for c in row.columns if c != "plan"]
-        yield row.astype({c: "Int64" for c in whole})
-
-    def close(self) -> None:
-        pass
-
-
-def subscription_stream(commands: DataFrame, chunk: int = STREAM_CHUNK) -> DataFrame:
+def subscription_stream(
+    commands: DataFrame, path: str | None = None, checkpoint: str | None = None, trigger: dict | None = None,
+    compact_every: int = COMPACT_EVERY,
+) -> DataFrame:
     """Subscriptions from a command stream, equal to :func:`folds.subscriptions`.
 
-    ``commands`` streams ``(seq, ts, user_id, op, plan)``.
+    ``commands`` streams ``(seq, ts, user_id, op, plan)`` in any order. Each
+    batch keeps the commands that can still count; the batch twin folds what
+    the batches kept.
     """
-    spark = commands.sparkSession
-    keyed = commands.select(
-        "user_id",
-        folds.chunk_of(size=chunk).alias("chunk"),
-        "seq",
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
-        "op",
-        "plan",
-    )
-    with _rocksdb(spark):
-        updates = _write_updates(
-            keyed.groupBy("user_id", "chunk").transformWithStateInPandas(
-                statefulProcessor=ChunkFold(),
-                outputStructType=CHUNK_OUTPUT,
-                outputMode="Update",
-                timeMode="None",
-            ),
-            "subscription_stream",
-        )
-    latest = updates.groupBy("user_id", "chunk").agg(F.max_by(F.struct(*ChunkFold.FIELDS), "batch_id").alias("s"))
-
-    def moment(seq: str, us: str) -> Column:
-        at = F.struct(F.col(f"s.{seq}").alias("seq"), F.timestamp_micros(f"s.{us}").alias("ts"))
-        return F.when(F.col(f"s.{seq}").isNotNull(), at)
-
-    chunks = latest.select(
-        "user_id",
-        "chunk",
-        F.col("s.create_seq").alias("create_seq"),
-        F.timestamp_micros("s.create_us").alias("create_ts"),
-        F.when(
-            F.col("s.plan_seq").isNotNull(),
-            F.struct(F.col("s.plan_seq").alias("seq"), F.col("s.plan").alias("plan")),
-        ).alias("last_plan"),
-        moment("after_seq", "after_us").alias("cancel_after_create"),
-        moment("cancel_seq", "cancel_us").alias("first_cancel"),
-    )
-    return folds.subscriptions_from_chunks(chunks)
+    chosen = commands.select("seq", F.col("ts").cast("timestamp").alias("ts"), "user_id", "op", "plan")
+    updates = _kept(chosen, folds.subscription_relevant, "subscription_stream", path, checkpoint, trigger, compact_every)
+    return folds.subscriptions(updates.rows())
 
 
 # ---------------------------------------------- ST2 dependency edges --
 
 
-def dependency_edge_stream(access: DataFrame) -> DataFrame:
-    """Distinct (test_id, config_key) of an access stream, first seen first written.
-
-    Without a watermark no late access is lost; the state holds each edge
-    once, as the result does, and lives in RocksDB rather than the heap.
-    """
-    spark = access.sparkSession
-    base = stage_path(spark, "edge_stream")
-    edges = access.select("test_id", "config_key").dropDuplicates(["test_id", "config_key"])
-    with _rocksdb(spark):
-        _drain(
-            edges.writeStream.outputMode("append").format("parquet").option("path", f"{base}/table"),
-            f"{base}/checkpoint",
-        )
-    return spark.read.schema(edges.schema).parquet(f"{base}/table")
+def dependency_edge_stream(
+    access: DataFrame, path: str | None = None, checkpoint: str | None = None, trigger: dict | None = None,
+    compact_every: int = COMPACT_EVERY,
+) -> DataFrame:
+    """Distinct (test_id, config_key) of an access stream; no late access is lost."""
+    edges = access.select("test_id", "config_key")
+    updates = _kept(edges, lambda rows: rows.distinct(), "edge_stream", path, checkpoint, trigger, compact_every)
+    return updates.rows().distinct()
 
 
 # --------------------------------------------------- ST3 last writes --
 
 
-def last_write_stream(events: DataFrame, key: str, value: str, default: str | None = None) -> DataFrame:
-    """Last write per key of a stream, equal to :func:`folds.latest_value`.
+def last_write_stream(
+    events: DataFrame, key: str, value: str, default: str | None = None, path: str | None = None,
+    checkpoint: str | None = None, trigger: dict | None = None, compact_every: int = COMPACT_EVERY,
+) -> DataFrame:
+    """Last write per key of a stream, equal to :func:`folds.latest_value`."""
 
-    The maximum merges map-side, so a hot key reaches its state as one row
-    per task.
-    """
-    written = F.col(value) if default is None else F.coalesce(F.col(value), F.lit(default))
-    running = events.groupBy(key).agg(F.max(F.struct(F.col("seq"), written.alias(value))).alias("last"))
-    with _rocksdb(events.sparkSession):
-        updates = _write_updates(running, f"last_{value}_stream")
-    return updates.groupBy(key).agg(F.max("last").alias("last")).select(key, F.col(f"last.{value}").alias(value))
+    def last(rows: DataFrame) -> DataFrame:
+        top = rows.groupBy(key).agg(F.max("seq").alias("seq"))
+        return rows.join(top, [key, "seq"], "left_semi").select(key, "seq", value)
+
+    chosen = events.select(key, "seq", value)
+    updates = _kept(chosen, last, f"last_{value}_stream", path, checkpoint, trigger, compact_every)
+    return folds.latest_value(updates.rows(), key, value, default)

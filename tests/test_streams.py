@@ -1,4 +1,5 @@
-from pyspark.sql import functions as F
+import random
+from datetime import datetime
 
 from ripplemark.operators import folds
 from ripplemark.streaming import streams
@@ -22,13 +23,34 @@ def as_stream(spark, tmp_path, data, schema, batches=4):
 
 
 def test_subscription_stream_equals_batch(spark, tmp_path):
+    """Commands come in any order, and the table is folded on the way."""
     commands = random_commands(400)
-    stream = as_stream(spark, tmp_path, commands, COMMANDS)
-    got = streams.subscription_stream(stream, chunk=50)
+    random.Random(7).shuffle(commands)
+    stream = as_stream(spark, tmp_path, commands, COMMANDS, batches=6)
+    got = streams.subscription_stream(stream, compact_every=2)
     want = folds.subscriptions(spark.createDataFrame(commands, COMMANDS))
     assert rows(got) == rows(want) and len(rows(want)) == 8
 
 
+def test_late_create_and_older_plan(spark, tmp_path):
+    at = datetime(2024, 1, 1)
+    late = [(5, at, 1, "cancel", None), (3, at, 1, "create", "Basic"), (9, at, 1, "upgrade", "Premium"), (7, at, 1, "upgrade", "Basic")]
+    got = streams.subscription_stream(as_stream(spark, tmp_path, late, COMMANDS, batches=4))
+    assert [(r.plan_name, r.is_active) for r in got.collect()] == [("Premium", False)]
+
+
+def test_streams_go_on_where_they_stopped(spark, tmp_path):
+    commands = random_commands(300)
+    kept = {"path": str(tmp_path / "table"), "checkpoint": str(tmp_path / "checkpoint"), "compact_every": 2}
+    for part in (commands[200:], commands[:100], commands[100:200]):
+        stream = as_stream(spark, tmp_path, part, COMMANDS, batches=2)
+        got = streams.subscription_stream(stream, **kept)
+    assert rows(got) == rows(folds.subscriptions(spark.createDataFrame(commands, COMMANDS)))
+    # Every file was read once: six batches, numbered on through the calls.
+    assert sorted(p.name for p in (tmp_path / "table" / "kind=batch").glob("id=*")) == [f"id={i}" for i in range(6)]
+    assert sorted(p.name for p in (tmp_path / "table" / "kind=folded").glob("id=*")) == ["id=1", "id=3", "id=5"]
+
+
 def test_edge_stream_equals_distinct(spark, tmp_path):
     access = [(f"T{i % 7}", f"k{i % 11}") for i in range(300)]
     stream = as_stream(spark, tmp_path, access, "test_id string, config_key string")
@@ -42,11 +64,3 @@ def test_last_write_stream_equals_batch(spark, tmp_path):
     stream = as_stream(spark, tmp_path, writes, schema)
     got = streams.last_write_stream(stream, "user_id", "plan", folds.DEFAULT_PLAN)
     assert rows(got) == rows(folds.plan_preferences(spark.createDataFrame(writes, schema)))
-
-
-def test_provider_setting_is_restored(spark):
-    before = spark.conf.get(streams.PROVIDER_KEY, None)
-    with streams._rocksdb(spark):
-        assert spark.conf.get(streams.PROVIDER_KEY) == streams.ROCKSDB
-    assert spark.conf.get(streams.PROVIDER_KEY, None) == before
-    assert spark.range(1).select(F.lit(1)).count() == 1

@@ -6,21 +6,20 @@ import sys
 from pyspark import cloudpickle
 
 from ripplemark.operators import configs
-from ripplemark.streaming import streams
 
 LOAD = """
 import pickle, sys
 import pandas as pd
-read, processor = pickle.loads(open(sys.argv[1], "rb").read())
+read, leaves = pickle.loads(open(sys.argv[1], "rb").read())
 batch = pd.DataFrame({"path": ["a"], "format": ["xml"], "content": ["<r><v>1</v></r>"]})
-print(next(read(iter([batch]))).values.tolist(), type(processor).__name__, "ripplemark" in sys.modules)
+print(next(read(iter([batch]))).values.tolist(), leaves.__name__, "ripplemark" in sys.modules)
 """
 
 
 def test_worker_code_needs_no_package(tmp_path):
     payload = tmp_path / "code.pkl"
-    payload.write_bytes(cloudpickle.dumps((configs._read_batches, streams.ChunkFold())))
+    payload.write_bytes(cloudpickle.dumps((configs._read_batches, configs._leaves)))
     done = subprocess.run(
         [sys.executable, "-c", LOAD, str(payload)], cwd=tmp_path, capture_output=True, text=True, timeout=60
     )
-    assert done.stdout.strip() == "[['a', 'r.v', '1', 'string']] ChunkFold False", done.stderr
+    assert done.stdout.strip() == "[['a', 'r.v', '1', 'string']] _leaves False", done.stderr
