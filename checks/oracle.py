@@ -589,7 +589,7 @@ select side, term, df, round(idf, 6) as idf from (
 """
 _SQL["r4_newest_first"] = """
 select user_id, seq, id as notification_id, channel, epoch_us(ts) as created_at_us
-from o_sent where reason is null and user_id in (select user_id from users) order by user_id, ts desc, seq
+from o_sent where reason is null and user_id in (select user_id from all_users) order by user_id, ts desc, seq
 """
 
 # ------------------------------------------------------------------- sets --

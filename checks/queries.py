@@ -465,7 +465,7 @@ def r3_extreme_terms(spark, sf):
 @query
 def r4_newest_first(spark, sf):
     saved = folds.notifications(folds.send_results(view(spark, sf, "notify_requests")))
-    return folds.newest_first(saved, view(spark, sf, "users")).select(
+    return folds.newest_first(saved, view(spark, sf, "all_users")).select(
         "user_id", "seq", "notification_id", "channel", _us("created_at")
     )
 
@@ -605,7 +605,6 @@ def st3_plan_stream(spark, sf):
         spark, sf,
         "event_id as seq; 'u' || user_id as user_id;"
         "case {K} % 3 when 0 then 'premium' when 1 then 'trial' end as plan",
-        "event_type in ('signup', 'purchase')",
     )
     return streams.last_write_stream(writes, "user_id", "plan", folds.DEFAULT_PLAN)
 
@@ -616,6 +615,5 @@ def st3_channel_stream(spark, sf):
         spark, sf,
         "event_id as seq; 'u' || user_id as user_id;"
         "case {K} % 4 when 0 then 'sms' when 1 then 'push' when 2 then 'fax' end as channel",
-        "event_type in ('click', 'view')",
     )
     return streams.last_write_stream(writes, "user_id", "channel", folds.DEFAULT_CHANNEL)

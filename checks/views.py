@@ -2,7 +2,10 @@
 
 Each view is one SELECT over the whole of its table, written once for Spark
 and DuckDB; the few spellings that differ are the {…} fields. The views
-say which file, event or user a row stands for; none of them samples.
+say which file, event or user a row stands for; none of them samples. The
+newer corpus holds every document; the older one lacks what was added since
+and has other names for what was moved. A view of one kind of event leaves
+the other kinds out.
 """
 
 from __future__ import annotations
@@ -59,7 +62,8 @@ from documents
 # Files of one source and language appear with the newer revision only, of
 # another with the older one only.
 VIEWS["files_old"] = """
-select path, case when n_chars % 4 = 1 then 'port=8000' || NL || body else body end as content
+select case when source = 'src4' and lang = 'de' then 'legacy/' || path else path end as path,
+  case when n_chars % 4 = 1 then 'port=8000' || NL || body else body end as content
 from corpus_base where not (source = 'src3' and lang <> 'en')
 """
 VIEWS["files_new"] = """
@@ -68,7 +72,7 @@ select path,
          || case when touched then NL || 'app: checkoutservice' || NL || 'name: doc' || (doc_id - 1) || 'service' || NL else '' end
        when touched then body || NL || 'payment_total = 1' || NL
        else body end as content
-from corpus_base where not (source = 'src4' and lang = 'de')
+from corpus_base
 """
 # A directory of every source with a marker file of some kind, and the root.
 VIEWS["marker_files"] = """
@@ -127,12 +131,12 @@ from events where event_type in ('signup', 'purchase', 'error')
 VIEWS["plan_writes"] = """
 select event_id as seq, 'u' || user_id as user_id,
   case {K} % 3 when 0 then 'premium' when 1 then 'trial' end as plan
-from events where event_type in ('signup', 'purchase')
+from events
 """
 VIEWS["channel_writes"] = """
 select event_id as seq, 'u' || user_id as user_id,
   case {K} % 4 when 0 then 'sms' when 1 then 'push' when 2 then 'fax' end as channel
-from events where event_type in ('click', 'view')
+from events
 """
 VIEWS["media_events"] = """
 select event_id as seq, 'u' || user_id as user_id,
