@@ -36,6 +36,7 @@ BLOCKS = frozenset(
 )
 PROSE = frozenset("p pre blockquote td li dd h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCKS - {"tbody", "td", "tfoot", "th", "thead", "tr", "body", "html", "caption"}
+HOLDERS = frozenset("#root html body main article section div center details".split())
 # An opening tag closes an open one of these, up to the fence.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -228,8 +229,7 @@ def measured(root: Node) -> list[Node]:
 def chosen(order: list[Node]) -> list[Node]:
     """The container with the most points, and the siblings to keep, in page order."""
     weight = lambda n: n.points * (1 - n.linked / n.chars) * (2 if n.main else 1) if n.chars else 0.0
-    holders = [n for n in order if n.tag in BLOCKS and n.tag not in PROSE or n.tag == "#root"]
-    best = max(holders, key=weight, default=order[0])
+    best = max((n for n in order if n.tag in HOLDERS), key=weight)
     if not weight(best):
         mains = [n for n in order if n.main and n.chars]
         return mains[:1] or [order[0]]

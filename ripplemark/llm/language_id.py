@@ -38,6 +38,8 @@ BUCKETS = 1 << 16
 ENOUGH = 60.0
 ACCEPT, HOST_WEIGHT, SMOOTH = 0.5, 20.0, 1.0
 UND = "und"
+#: Log-odds that a text must gain before it is no known language; a few odd words are not enough.
+DOUBT = 10.0
 
 
 def grams(data: bytes) -> np.ndarray:
@@ -118,7 +120,7 @@ def evidence(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
                 for at in range(0, len(found), 1 << 16):
                     sums += logs[found[at : at + (1 << 16)]].sum(axis=0, dtype=np.float64)
                 temper = min(1.0, ENOUGH / len(found))
-                out.append([len(found) * bucket_bits * temper, *(sums * temper)])
+                out.append([len(found) * bucket_bits * temper - DOUBT, *(sums * temper)])
             columns = [batch.column(c) for c in kept] + [pa.array(out, pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, [*kept, "likelihood"])
 
@@ -187,9 +189,9 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], accept: float
     prior = F.transform(F.coalesce("host_prior", "suffix_prior", base), lambda p: F.log(p))
     logs = F.zip_with(F.zip_with("likelihood", prior, lambda a, b: a + b), F.coalesce("by_declared", zero), lambda a, b: a + b)
     done = fused.withColumn("fused", F.array_max(F.transform(normal(logs), lambda p, k: F.struct(p.alias("p"), (-k).alias("k")))))
-    language = F.coalesce(F.element_at(F.array(*map(F.lit, names)), 1 - F.col("fused.k")), F.lit(UND))
+    language = F.when(F.col("likelihood").isNull(), UND).otherwise(F.element_at(F.array(*map(F.lit, names)), 1 - F.col("fused.k")))
     kept = [c for c in rows.columns if c not in ("body", "declared", "host")]
-    done = done.select(*kept, language.alias("language"), F.coalesce(F.round("fused.p", 4), F.lit(0.0)).alias("certainty"))
+    done = done.select(*kept, language.alias("language"), F.when(F.col("likelihood").isNull(), 0.0).otherwise(F.round("fused.p", 4)).alias("certainty"))
     return done.select(*kept, "language", F.col("certainty").alias("posterior"), ((F.col("language") != UND) & (F.col("certainty") >= accept)).alias("accepted"))
 
 

@@ -45,7 +45,7 @@ def test_evidence_beside_the_text(spark, corpus):
     """A text that says nothing follows its host; a host that is unknown its suffix; a wrong declaration gives way to the text."""
     odd = [
         (900, "42 zzz", None, "fr.example.fr"), (901, "42 zzz", None, "new.example.de"), (902, sentence(random.Random(1), "en"), "de", "fr.example.fr"),
-        (903, None, "en", "en.example.org"), (904, "", None, None), (905, "123 ... !!", "de", "de.example.de"), (906, "ТЕКСТ на другом языке " * 20, "en", "en.example.org"),
+        (903, None, "en", "en.example.org"), (904, "", None, None), (905, "123 ... !!", "de", "de.example.de"), (906, "ТЕКСТ на другом языке " * 20, None, "en.example.org"),
         (907, sentence(random.Random(2), "fr", 60000), None, None),
     ]
     docs = docs_of(spark, corpus + odd + [corpus[0]])
