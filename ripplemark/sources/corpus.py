@@ -13,22 +13,32 @@ from ripplemark.functions import paths as P
 
 
 def scan_files(
-    spark: SparkSession, root: str, glob: str | None = None, listing: DataFrame | None = None
+    spark: SparkSession, root: str, glob: str | None = None, listing: DataFrame | None = None, skip: bool = False
 ) -> DataFrame:
     """Whole files below ``root`` as text; undecodable bytes read as ''.
 
+    With ``skip``, files in directories that corpus and test scans leave out
+    are not opened: the test is on the file's own path, which prunes files
+    before they are read. Files that cannot be opened are passed over by the
+    scan; a ``listing`` brings them back with '' as their content.
+
     Spark's file scan leaves out files of zero bytes. A ``listing`` of
     relative paths, such as a repository's index or a store's inventory,
     adds every path the scan did not return, with '' as its content.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    reader = reader.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     clean_root = root.rstrip("/")
     # the scheme and authority Spark puts in front of a plain root
     prefix = "^(?:[a-z0-9+]+:(?://[^/]*)?)?/*\\Q" + clean_root.lstrip("/") + "\\E/"
     text = F.try_validate_utf8(F.col("content").cast("string"))
-    scanned = reader.load(clean_root).select(
+    loaded = reader.load(clean_root)
+    if skip:
+        encoded = F.regexp_replace(F.col("_metadata.file_path"), "\\+", "%2B")
+        loaded = loaded.filter(~P.is_skipped_by_scan(F.regexp_replace(F.url_decode(encoded), prefix, "")))
+    scanned = loaded.select(
         F.regexp_replace("path", prefix, "").alias("path"),
         F.coalesce(text, F.lit("")).alias("content"),
     )

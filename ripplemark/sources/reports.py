@@ -10,6 +10,7 @@ RESULT_SCHEMA = (
     "summary struct<changed_files:array<string>, source_files:array<string>, config_files:array<string>, "
     "total_tests_analyzed:bigint, affected_tests_count:bigint>"
 )
+SECTIONS = ["affected_tests", "changed_files", "source_files", "config_files"]
 ENTRY_SCHEMA = "section string, path string, score double"
 
 
@@ -48,46 +49,49 @@ def write_report(entries: DataFrame, summary: DataFrame, path: str) -> None:
     summary.coalesce(1).write.mode("overwrite").json(f"{path}/summary")
 
 
-def report_document(entries: DataFrame, summary: DataFrame) -> DataFrame:
-    """A result as one row of RESULT_SCHEMA, tests best first.
+def document_lines(entries: DataFrame, summary: DataFrame) -> DataFrame:
+    """The lines of one JSON document of RESULT_SCHEMA, tests best first: ``(part, place, path, line)``.
 
-    All lists of a run end in this row; see :func:`write_document`.
+    Every entry is a line of its own; sorted by the first three columns the
+    lines are the document. Its lists are never gathered, whatever their
+    length.
     """
-
-    def listed(section: str, order: Column) -> Column:
-        chosen = F.when(F.col("section") == section, F.struct(order.alias("place"), F.col("path").alias("path")))
-        return F.sort_array(F.collect_list(chosen))["path"]
-
-    by_path = F.lit(0.0)
-    lists = entries.agg(
-        listed("affected_tests", -F.col("score")).alias("affected_tests"),
-        listed("changed_files", by_path).alias("changed_files"),
-        listed("source_files", by_path).alias("source_files"),
-        listed("config_files", by_path).alias("config_files"),
-    )
-    total = summary.select(F.max("total_tests_analyzed")).scalar()
-    n_affected = F.size("affected_tests").cast("bigint")
-    return lists.select(
-        "affected_tests",
-        (n_affected > 0).alias("has_affected_tests"),
-        n_affected.alias("test_count"),
-        F.struct(
-            "changed_files", "source_files", "config_files",
-            total.alias("total_tests_analyzed"), n_affected.alias("affected_tests_count"),
-        ).alias("summary"),
-    )
-
-
-def write_document(entries: DataFrame, summary: DataFrame, path: str, limit: int = 100_000) -> None:
-    """The result as one JSON document, for tools that read a single file.
-
-    Only a result of at most ``limit`` entries fits one document; a larger
-    one is refused here and written whole by :func:`write_report`.
+    place = F.when(F.col("section") == "affected_tests", -F.col("score")).otherwise(0.0)
+    kept = entries.filter(F.col("section").isin(SECTIONS))
+    part = F.array_position(F.array(*[F.lit(s) for s in SECTIONS]), F.col("section")).cast("int") * 2 - 1
+    placed = kept.select("section", part.alias("part"), place.alias("place"), "path")
+    first = placed.groupBy("section").agg(F.min(F.struct("place", "path")).alias("first"))
+    text = F.to_json(F.array("path"))
+    quoted = F.substr(text, F.lit(2), F.length(text) - 2)
+    comma = F.when(F.struct("place", "path") == F.col("first"), "").otherwise(",")
+    items = placed.join(first, "section").select("part", "place", "path", F.concat(comma, quoted).alias("line"))
+
+    n, total = F.col("test_count").cast("string"), F.col("total_tests_analyzed").cast("string")
+    between = [
+        F.lit('{"affected_tests":['),
+        F.concat(
+            F.lit('],"has_affected_tests":'), F.col("has_affected_tests").cast("string"), F.lit(',"test_count":'), n,
+            F.lit(',"summary":{"changed_files":['),
+        ),
+        F.lit('],"source_files":['),
+        F.lit('],"config_files":['),
+        F.concat(F.lit('],"total_tests_analyzed":'), total, F.lit(',"affected_tests_count":'), n, F.lit("}}")),
+    ]
+    frame = [
+        F.struct(F.lit(2 * i).alias("part"), F.lit(0.0).alias("place"), F.lit("").alias("path"), line.alias("line"))
+        for i, line in enumerate(between)
+    ]
+    return items.unionByName(summary.select(F.inline(F.array(*frame))))
+
+
+def write_document(entries: DataFrame, summary: DataFrame, path: str) -> None:
+    """The result as one JSON document in text parts; their concatenation by name is the document.
+
+    One range sort orders the lines, so a result of any length is written
+    by many tasks. :func:`write_report` keeps the lists as rows instead.
     """
-    n = entries.count()
-    if n > limit:
-        raise ValueError(f"{n} entries do not fit one document of {limit}; use write_report")
-    report_document(entries, summary).coalesce(1).write.mode("overwrite").json(path)
+    lines = document_lines(entries, summary).orderBy("part", "place", "path")
+    lines.select("line").write.mode("overwrite").text(path)
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:

@@ -23,6 +23,17 @@ def test_scan_reads_text_and_drops_bad_bytes(spark, tmp_path):
     assert [r.path for r in corpus.scan_files(spark, str(root), glob="*.py").collect()] == ["src/deep/a.py"]
 
 
+def test_scan_reads_no_skipped_folder(spark, tmp_path):
+    root = tmp_path / "my target"
+    for path in ["src/a b.py", "node_modules/x/i.js", "x/target/T.java", "src/c+d.py"]:
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_text(path)
+    found = corpus.corpus_files(corpus.scan_files(spark, str(root), skip=True))
+    assert {r.path: r.content for r in found.collect()} == {"src/a b.py": "src/a b.py", "src/c+d.py": "src/c+d.py"}
+    scan = corpus.scan_files(spark, str(root), skip=True)._jdf.queryExecution().executedPlan()
+    assert "file_path" in scan.toString()
+
+
 def test_bucketed_revisions_join_without_a_shuffle(spark, frame):
     old = corpus.save_bucketed(frame(FILES, *OLD), "bucketed_old", 4)
     new = corpus.save_bucketed(frame(FILES, *changed_repo()), "bucketed_new", 4)
@@ -114,12 +125,24 @@ def test_impact_from_files_to_report(spark, frame, tmp_path):
     assert (summary.n_changed_files, summary.n_source_files, summary.n_config_files) == (3, 1, 1)
 
     reports.write_document(run.entries(), run.summary(), str(tmp_path / "document"))
-    document = reports.read_documents(spark, str(tmp_path / "document")).first()
+    parts = sorted((tmp_path / "document").glob("part-*"))
+    (tmp_path / "whole.json").write_text("".join(p.read_text() for p in parts))
+    document = reports.read_documents(spark, str(tmp_path / "whole.json")).first()
     assert document.affected_tests == ["services/cart-service/tests/test_app.py"]
     assert document.summary.changed_files == ["config/cart.properties", "docs/README.md", "services/cart-service/src/app.py"]
     assert (document.test_count, document.summary.total_tests_analyzed) == (1, 2)
-    with pytest.raises(ValueError):
-        reports.write_document(run.entries(), run.summary(), str(tmp_path / "small"), limit=3)
+
+
+def test_a_long_document(spark, frame, tmp_path):
+    entries = [("affected_tests", f't"{i}', float(i % 7)) for i in range(500)] + [("changed_files", f"c\\{i:03}", None) for i in range(300)]
+    entries = frame(reports.ENTRY_SCHEMA, *entries)
+    summary = reports.report_summary(entries, frame("path string", "a", "b"))
+    reports.write_document(entries, summary, str(tmp_path / "document"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "document").glob("part-*")))
+    found = json.loads(text)
+    assert found["affected_tests"] == sorted((f't"{i}' for i in range(500)), key=lambda t: (-(int(t[2:]) % 7), t))
+    assert found["summary"]["changed_files"] == [f"c\\{i:03}" for i in range(300)]
+    assert (found["test_count"], found["summary"]["config_files"], found["summary"]["total_tests_analyzed"]) == (500, [], 2)
 
 
 def test_impact_without_changes(frame):
