@@ -10,10 +10,11 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from checks.queries import QUERIES
-from ripplemark import build_session
+from ripplemark import build_session, drop_stages
 
 
 def main() -> None:
@@ -25,6 +26,7 @@ def main() -> None:
         master=f"local[{cpus}]",
         **{
             "spark.driver.memory": "16g",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="bench-"),
             "spark.sql.shuffle.partitions": cpus,
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
@@ -40,6 +42,7 @@ def main() -> None:
     for key in ("r2_combined_ranking", "c8_config_facts", "u3_key_union", "s3_changed_lines"):
         run(key)
     seconds = {key: run(key) for key in wanted}
+    drop_stages(spark)
     spark.stop()
     print(
         json.dumps(

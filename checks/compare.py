@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import sys
+import tempfile
 import time
 from decimal import Decimal
 
@@ -12,7 +13,7 @@ import duckdb
 from checks.oracle import ORACLE
 from checks.queries import QUERIES
 from checks.views import TABLES
-from ripplemark import build_session
+from ripplemark import build_session, drop_stages
 
 
 def normal(value: object) -> object:
@@ -60,6 +61,7 @@ def main() -> int:
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.shuffle.partitions": "8",
         "spark.driver.memory": "8g",
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="compare-"),
     }
     spark = build_session(master="local[8]", **conf)
     spark.sparkContext.setLogLevel("ERROR")
@@ -73,6 +75,7 @@ def main() -> int:
             problem = f"{type(e).__name__}: {str(e)[:600]}"
         bad += bool(problem)
         print(f"{'ok  ' if not problem else 'FAIL'} {key} {time.time() - start:.1f}s {problem}", flush=True)
+    drop_stages(spark)
     spark.stop()
     return 1 if bad else 0
 

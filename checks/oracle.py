@@ -634,6 +634,16 @@ _SQL["m6_send_results"] = """
 select seq, user_id, channel, reason, case when reason is null then id end as notification_id,
   case when reason is null then epoch_us(ts) end as sent_at_us, reason is null as is_sent from o_sent
 """
+_SQL["m4_subscription_lookup"] = f"""
+select cast(c.c_custkey as bigint) as user_id, s.plan_name, s.started_at_us, s.cancelled_at_us, s.is_active
+from (select distinct c_custkey from customer) c left join ({_SQL["m4_subscriptions"]}) s on s.user_id = c.c_custkey
+"""
+_SQL["m7_notification_lookup"] = """
+select a.id as notification_id, s.seq, s.channel, s.body, epoch_us(s.ts) as created_at_us
+from (select distinct user_id || '/email' as id from all_users) a
+left join (select *, user_id || '/' || channel as saved_id from o_sent where reason is null
+           qualify row_number() over (partition by user_id, channel order by seq desc) = 1) s on s.saved_id = a.id
+"""
 _SQL["m7_notifications_by_id"] = """
 select id as notification_id, user_id, channel, subject, body, epoch_us(ts) as created_at_us, true as is_sent
 from o_sent where reason is null

@@ -536,6 +536,13 @@ def m4_subscriptions(spark, sf):
     return _subscriptions(folds.subscriptions(view(spark, sf, "sub_commands")))
 
 
+@query
+def m4_subscription_lookup(spark, sf):
+    """Every customer asks, most of them without a subscription."""
+    asked = table(spark, sf, "customer").select(F.col("c_custkey").cast("bigint").alias("user_id"))
+    return _subscriptions(folds.subscription_of(folds.subscriptions(view(spark, sf, "sub_commands")), asked))
+
+
 @query
 def m5_plans(spark, sf):
     plans = folds.plan_preferences(view(spark, sf, "plan_writes"))
@@ -557,6 +564,15 @@ def m7_notifications_by_id(spark, sf):
     )
 
 
+@query
+def m7_notification_lookup(spark, sf):
+    """A notification is saved under the id of its user and channel, so ids repeat; some asked ids were never saved."""
+    sent = folds.notifications(folds.send_results(view(spark, sf, "notify_requests")))
+    saved = sent.withColumn("notification_id", F.concat_ws("/", "user_id", "channel"))
+    asked = view(spark, sf, "all_users").select(F.concat("user_id", F.lit("/email")).alias("notification_id"))
+    return folds.notifications_by_id(saved, asked).select("notification_id", "seq", "channel", "body", _us("created_at"))
+
+
 @query
 def m8_channels(spark, sf):
     channels = folds.channel_preferences(view(spark, sf, "channel_writes"))
