@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from ripplemark.llm.common import kept_by_worker
 
 #: Entries of a worker's piece cache, and nodes at which its trie starts anew.
-CACHED_PIECES = 300_000
-TRIE_NODES = 700_000
+CACHED_PIECES = 200_000
+TRIE_NODES = 500_000
 NEVER = 1 << 40
 
 # The split pattern and white space of byte-level BPE vocabularies.
@@ -51,6 +51,15 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def token_bytes(source: str) -> list[bytes]:
+    """The bytes of every id; unused ids have none."""
+    spec = json.loads(source)
+    letters = byte_letters()
+    special = {t["id"]: t["content"].encode() for t in spec.get("added_tokens", [])}
+    known = {i: bytes(map(letters.__getitem__, t)) for t, i in spec["model"]["vocab"].items() if i not in special} | special
+    return [known.get(i, b"") for i in range(max(known) + 1)]
+
+
 class Vocabulary:
     """Ids, merges and special strings of a tokenizer file."""
 
@@ -69,8 +78,7 @@ class Vocabulary:
             self.rank[a, b] = n
             if made not in self.parts:
                 self.parts[made], self.born[made] = (a, b), n
-        self.bytes = {i: t for t, i in self.ids.items()} | {i: t.encode() for t, i in self.special.items()}
-        self.lengths = {i: len(t) for i, t in self.bytes.items()}
+        self.lengths = {i: len(t) for t, i in self.ids.items()}
         ends: dict[bytes, set[int]] = defaultdict(set)
         for t in self.ids:
             ends[t[-2:]].add(len(t))
@@ -261,7 +269,7 @@ def decode(tokens: DataFrame, source: str) -> DataFrame:
     mark = str(hash(source))
 
     def read(batches):
-        known = kept_by_worker("decoder", mark, lambda: Vocabulary(shared.value).bytes)
+        known = kept_by_worker("decoder", mark, lambda: token_bytes(shared.value))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -270,8 +278,8 @@ def decode(tokens: DataFrame, source: str) -> DataFrame:
                     ids = array("I", packed or b"")
                     try:
                         data = b"".join(map(known.__getitem__, ids))
-                    except KeyError:
-                        data = b"".join([known.get(i, b"") for i in ids])
+                    except IndexError:
+                        data = b"".join([known[i] for i in ids if i < len(known)])
                     texts.append(data.decode("utf-8", "replace"))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 

@@ -55,8 +55,9 @@ NAMES = frozenset(
     "widget widgets pagination pager skip topbar toc replies".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
-# Names that say main text; they outweigh the names above.
-MAIN = frozenset("article content main post entry story body text".split())
+# A header of one of these belongs to the text; a name that begins with one of those speaks of another element.
+TITLED = frozenset("article post entry story page".split())
+ABOUT_OTHERS = frozenset("has with no without hide show".split())
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -90,10 +91,12 @@ def is_furniture(tag: str, attrs: list, in_article: bool) -> bool:
             return True
         if key in ("class", "id"):
             for name in value.split():
-                parts = {p.lower() for p in NAME.findall(name)}
-                if parts & NAMES and not (in_article and parts & {"header"} and tag != "div"):
-                    if not parts & MAIN or parts & {"comment", "comments", "ad", "ads", "sidebar", "footer", "nav", "menu"}:
-                        return True
+                parts = [p.lower() for p in NAME.findall(name)]
+                if not parts or parts[0] in ABOUT_OTHERS:
+                    continue
+                found = NAMES.intersection(parts)
+                if found and not (found == {"header"} and TITLED.intersection(parts) and tag not in ("html", "body")):
+                    return True
     return False
 
 
@@ -251,7 +254,7 @@ def chosen(order: list[Node]) -> list[Node]:
         elif not sibling.chars:
             continue
         elif best.tag == "article":
-            if sibling.tag == "article" and weight(sibling) >= least:
+            if sibling.tag == "article" and weight(sibling) >= least or sibling.tag == "h1" and not has_title(best):
                 kept.append(sibling)
         elif weight(sibling) >= least:
             kept.append(sibling)
@@ -260,6 +263,16 @@ def chosen(order: list[Node]) -> list[Node]:
     return kept
 
 
+def has_title(node: Node) -> bool:
+    todo = [node]
+    while todo:
+        item = todo.pop()
+        if item.tag == "h1":
+            return True
+        todo.extend(c for c in item.children if type(c) is Node)
+    return False
+
+
 def blocks_of(nodes: list[Node]) -> list[str]:
     """Text blocks in page order, white space inside a block as one space."""
     out, held = [], []

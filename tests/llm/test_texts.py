@@ -94,6 +94,9 @@ PAGE = """<html><body><header class="site-header"><h1>Site</h1><p>Welcome, all,
         ("<article><header><h1>Head</h1></header><p>Text of it, here.</p><div class='comments'><p>No, no, no, never</p></div></article>", "Head\nText of it, here."),
         ("<div><p>Text, that is long enough, to be the main one of the page.</p></div><div class=links><ul><li><a href=/a>many words in a link</a><li><a href=/b>more words in a link</a></ul></div>", "Text, that is long enough, to be the main one of the page."),
         ("<table><tr><td>a<td>b<tr><td>c, d</table>", "a\nb\nc, d"),
+        ("<div class='main has-sidebar'><div class='post-header'><h1>T</h1></div><p>One, two.</p><div class='post-comments'>x</div></div><div id='left-sidebar'>s</div>", "T\nOne, two."),
+        ("<div><h1>T</h1><article><p>One, two, three.</p></article><div class='related'><p>More, of, it</p></div></div>", "T\nOne, two, three."),
+        ("<div role=main><p>Text &eacute;&#233;&amp;lt; a&nbsp;b</p><div hidden><p>no</p></div><p style='display:none'>no</p></div>", "Text éé&lt; a b"),
     ],
 )
 def test_main_text(html, text):
