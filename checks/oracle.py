@@ -150,16 +150,17 @@ from (select term, count(*) as df from o_corpus_terms group by term) t,
 
 def diff_lines(files: str) -> str:
     return f"""
-      select path, unnest(string_split(regexp_replace(content, '\\n\\z', ''), chr(10))) as line
+      select path, unnest(string_split(
+        case when ends_with(content, chr(10)) then content[:-2] else content || chr(1) end, chr(10))) as line
       from {files} where content <> '' and path in (select path from o_reviewed)"""
 
 
 DUCK_VIEWS["o_lines"] = f"""
-select path, side, line, count(*) as copies from (
+select path, side, rtrim(line, chr(1)) as line, count(*) as copies from (
   select path, '+' as side, line from ({diff_lines('files_new')} except all {diff_lines('files_old')}) a
   union all
   select path, '-' as side, line from ({diff_lines('files_old')} except all {diff_lines('files_new')}) b
-) group by path, side, line
+) group by path, side, rtrim(line, chr(1))
 """
 DUCK_VIEWS["o_mentions"] = f"""
 select distinct path, unnest(regexp_extract_all(line, {_text(services.MENTION_RE)}, 1)) as service

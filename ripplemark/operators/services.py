@@ -37,7 +37,7 @@ def services_in_keys(keys: DataFrame) -> DataFrame:
 
 
 def affected_services(changes: DataFrame, lines: DataFrame, new_files: DataFrame) -> DataFrame:
-    """Union over paths, changed config lines, and manifests without line changes.
+    """Union over paths, changed config lines, and manifests whose contents are equal.
 
     ``changes`` carries a category, ``lines`` are the changed lines.
     """

@@ -6,11 +6,20 @@ path; two revisions of a repository are two such frames.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+from difflib import SequenceMatcher
+from itertools import islice
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplemark.functions import paths as P
 
+# Lines of one frame that a Python task hands over.
+LINES_AT_ONCE = 10_000
+
 
 def scan_files(
     spark: SparkSession, root: str, glob: str | None = None, listing: DataFrame | None = None, skip: bool = False
@@ -88,38 +97,52 @@ def reviewable(changes: DataFrame) -> DataFrame:
     return changes.filter(~P.is_artifact("path")).withColumn("category", P.category("path"))
 
 
+def _lines(content: str | None) -> list[tuple[str, bool]]:
+    """Lines, each with whether a line feed ends it: a last line with and one without differ."""
+    if not content:
+        return []
+    *ended, last = content.split("\n")
+    return [(line, True) for line in ended] + ([(last, False)] if last else [])
+
+
+def _line_changes(old: str | None, new: str | None) -> Counter[tuple[str, str]]:
+    """(side, line) -> copies, by a diff of two texts."""
+    before, after = _lines(old), _lines(new)
+    found: Counter[tuple[str, str]] = Counter()
+    for kind, a, b, c, d in SequenceMatcher(None, before, after, autojunk=False).get_opcodes():
+        if kind != "equal":
+            found.update(("-", line) for line, _ in before[a:b])
+            found.update(("+", line) for line, _ in after[c:d])
+    return found
+
+
+def _diff_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows = (
+        (path, side, line, n)
+        for batch in batches
+        for path, old, new in zip(batch["path"], batch["old"], batch["new"])
+        for (side, line), n in _line_changes(old, new).items()
+    )
+    while part := list(islice(rows, LINES_AT_ONCE)):
+        yield pd.DataFrame(part, columns=["path", "side", "line", "copies"])
+
+
 def changed_lines(old: DataFrame, new: DataFrame, changes: DataFrame) -> DataFrame:
-    """Added (+) and removed (-) lines of changed files.
+    """Added (+) and removed (-) lines of changed files: ``(path, side, line, copies)``.
 
-    Each line counts +1 in the new and -1 in the old revision; what does not
-    cancel is the bag difference, which equals a line diff up to moved
-    lines. Counting is one partial aggregation on (path, line). ``changes``
-    holds each path once; staged, it is broadcast when small, and contents
-    of unchanged files never leave their scan.
+    A diff of the two texts in order: a line that only moved is removed in
+    one place and added in another, and a last line changes with its line
+    feed. ``changes`` holds each path once; staged, it is broadcast when
+    small, and contents of unchanged files never leave their scan. The two
+    texts of one file meet in one row.
     """
     only = changes.select("path")
-
-    def lines(files: DataFrame, sign: int) -> DataFrame:
-        body = F.regexp_replace("content", "\\n\\z", "")
-        return (
-            files.join(only, "path", "left_semi")
-            .filter(F.col("content") != "")
-            .select("path", F.explode(F.split(body, "\n")).alias("line"), F.lit(sign).alias("sign"))
-        )
-
-    return (
-        lines(old, -1)
-        .unionByName(lines(new, 1))
-        .groupBy("path", "line")
-        .agg(F.sum("sign").alias("net"))
-        .filter("net <> 0")
-        .select(
-            "path",
-            F.when(F.col("net") > 0, "+").otherwise("-").alias("side"),
-            "line",
-            F.abs("net").alias("copies"),
-        )
+    before, after = (
+        files.join(only, "path", "left_semi").select("path", F.col("content").alias(name))
+        for files, name in ((old, "old"), (new, "new"))
     )
+    both = after.join(before, "path", "full_outer").select("path", "old", "new")
+    return both.mapInPandas(_diff_batches, "path string, side string, line string, copies bigint")
 
 
 def save_bucketed(files: DataFrame, table: str, buckets: int) -> DataFrame:

@@ -69,16 +69,24 @@ def test_reviewable(frame):
     assert rows(corpus.reviewable(changes), "path", "category") == [("README", None), ("a.py", "source"), ("x.conf", "config")]
 
 
-def test_changed_lines_are_a_bag_difference(frame):
-    old = frame(FILES, ("f", "a\nb\nb\n-- c\n"), ("g", "x"), ("same", "q"))
-    new = frame(FILES, ("f", "b\na\nd\nd"), ("g", "x\n"), ("h", "new"))
+def test_changed_lines(frame):
+    old = frame(FILES, ("f", "a\nb\nb\n-- c\n"), ("g", "x"), ("same", "q"), ("moved", "a\nname: cartservice\nb\nc\n"))
+    new = frame(FILES, ("f", "b\na\nd\nd"), ("g", "x\n"), ("h", "new"), ("moved", "a\nb\nc\nname: cartservice\n"))
     changes = corpus.changed_files(old, new)
     got = rows(corpus.changed_lines(old, new, changes))
-    assert got == [("f", "+", "d", 2), ("f", "-", "-- c", 1), ("f", "-", "b", 1), ("h", "+", "new", 1)]
+    assert [r for r in got if r[0] == "g"] == [("g", "+", "x", 1), ("g", "-", "x", 1)]  # its line feed is new
+    assert [r for r in got if r[0] == "h"] == [("h", "+", "new", 1)]
+    assert [r for r in got if r[0] == "moved"] == [("moved", "+", "name: cartservice", 1), ("moved", "-", "name: cartservice", 1)]
+    net = {}
+    for _, side, line, n in (r for r in got if r[0] == "f"):
+        net[line] = net.get(line, 0) + (n if side == "+" else -n)
+    assert {line: n for line, n in net.items() if n} == {"d": 2, "-- c": -1, "b": -1}
     blank = corpus.changed_lines(
         frame(FILES, ("f", "a\n\n")), frame(FILES, ("f", "a\n")), frame("path string", "f")
     )
     assert rows(blank) == [("f", "-", "", 1)]
+    empty = corpus.changed_lines(frame(FILES, ("f", None)), frame(FILES, ("f", "")), frame("path string", "f"))
+    assert rows(empty) == []
 
 
 OLD = [
