@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from array import array
 from collections import defaultdict
 
@@ -33,10 +34,12 @@ from pyspark.sql import functions as F
 
 from ripplemark.llm.common import kept_by_worker
 
-#: Entries of a worker's piece cache, and nodes at which its trie starts anew.
-CACHED_PIECES = 200_000
-TRIE_NODES = 500_000
+#: Entries of one generation of a worker's piece cache, nodes at which its trie starts anew, and pairs it remembers.
+CACHED_PIECES = 150_000
+TRIE_NODES = 400_000
+KNOWN_PAIRS = 300_000
 NEVER = 1 << 40
+ROWS_AT_ONCE = 128
 
 # The split pattern and white space of byte-level BPE vocabularies.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -82,10 +85,9 @@ class Vocabulary:
         ends: dict[bytes, set[int]] = defaultdict(set)
         for t in self.ids:
             ends[t[-2:]].add(len(t))
-        for end in [bytes((a, b)) for a in range(256) for b in range(256)]:
-            ends[end].add(1)
-        self.sizes = {end: sorted(n, reverse=True) for end, n in ends.items()}
-        self.known: dict[tuple[int, int], bool] = {}
+        # Sizes of the entries that end with two bytes, longest first; the single byte always ends them.
+        self.sizes = {end: tuple(sorted(n | {1}, reverse=True)) for end, n in ends.items()}
+        self.known: dict[int, bool] = {}
 
     def apart(self, a: int, b: int) -> bool:
         """Whether tokens a and b side by side stay two tokens.
@@ -95,9 +97,7 @@ class Vocabulary:
         rank is below the merges that used them up; of equal merges the
         leftmost comes first.
         """
-        key = (a, b)
-        if key in self.known:
-            return self.known[key]
+        key = a << 20 | b
         end_a = end_b = NEVER
         while True:
             r = self.rank.get((a, b))
@@ -112,7 +112,7 @@ class Vocabulary:
                 end_a, a = young_a, self.parts[a][1]
             else:
                 end_b, b = young_b, self.parts[b][0]
-        if len(self.known) > 1_000_000:
+        if len(self.known) > KNOWN_PAIRS:
             self.known.clear()
         self.known[key] = answer
         return answer
@@ -139,7 +139,7 @@ class Trie:
                 depth -= 1
             while depth < size:
                 depth += 1
-                for n in sizes[data[max(depth - 2, 0) : depth]]:
+                for n in sizes.get(data[max(depth - 2, 0) : depth], (1,)):
                     if n > depth:
                         continue
                     token = ids.get(data[depth - n : depth])
@@ -147,9 +147,9 @@ class Trie:
                         continue
                     if n == depth:
                         break
-                    pair = (last[data[: depth - n]], token)
-                    fits = known.get(pair)
-                    if fits or fits is None and apart(*pair):
+                    before = last[data[: depth - n]]
+                    fits = known.get(before << 20 | token)
+                    if fits or fits is None and apart(before, token):
                         break
                 last[data[:depth]] = token
             coded = []
@@ -184,6 +184,7 @@ class Encoder:
 
     def __init__(self, source: str):
         self.vocabulary = Vocabulary(source)
+        self.bytes = token_bytes(source)
         self.words = regex.compile(WORDS)
         self.trie = Trie(self.vocabulary)
         self.pieces = Pieces()
@@ -230,7 +231,7 @@ class Encoder:
         at = 0
         while at < len(texts):
             step, size = [], 0
-            while at < len(texts) and (not step or size < 2_000_000):
+            while at < len(texts) and (not step or size < 1_000_000):
                 step.append(self.cut(texts[at]))
                 size += len(texts[at])
                 at += 1
@@ -243,44 +244,63 @@ class Encoder:
         return out
 
 
+def encoder_of(shared, mark: str) -> Encoder:
+    return kept_by_worker("encoder", mark, lambda: Encoder(shared.value))
+
+
+def decoder_of(shared, mark: str) -> list[bytes]:
+    return kept_by_worker("decoder", mark, lambda: token_bytes(shared.value))
+
+
+def decoded(known: list[bytes], packed: bytes | None) -> str:
+    """Text of packed ids; bytes that are not UTF-8 become U+FFFD, unknown ids nothing."""
+    ids = array("I", packed or b"")
+    try:
+        data = b"".join(map(known.__getitem__, ids))
+    except IndexError:
+        data = b"".join([known[i] for i in ids if i < len(known)])
+    return data.decode("utf-8", "replace")
+
+
 def encode(docs: DataFrame, source: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, ids``: the ids as little-endian unsigned 32-bit numbers in one binary value.
 
     ``source``: the tokenizer file's JSON text.
     """
+    return round_trip(docs, source, id_col, text_col, back=False)
+
+
+def round_trip(docs: DataFrame, source: str, id_col: str = "doc_id", text_col: str = "text", back: bool = True) -> DataFrame:
+    """``doc_id, ids`` and, with ``back``, ``text`` decoded from the ids; in one pass of one worker."""
     shared = docs.sparkSession.sparkContext.broadcast(source)
-    mark = str(hash(source))
+    mark = uuid.uuid4().hex
 
     def read(batches):
-        encoder = kept_by_worker("encoder", mark, lambda: Encoder(shared.value))
+        encoder = encoder_of(shared, mark)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
                 coded = encoder.encode([t or "" for t in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(coded, pa.binary())], ["doc_id", "ids"])
+                columns = [part.column(0), pa.array(coded, pa.binary())]
+                if back:
+                    columns.append(pa.array([decoded(encoder.bytes, ids) for ids in coded], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "text"][: len(columns)])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("body"))
-    return rows.mapInArrow(read, "doc_id bigint, ids binary")
+    return rows.mapInArrow(read, "doc_id bigint, ids binary" + ", text string" * back)
 
 
 def decode(tokens: DataFrame, source: str) -> DataFrame:
-    """``doc_id, ids, text`` from ``doc_id, ids``; bytes that are not UTF-8 become U+FFFD, unknown ids nothing."""
+    """``doc_id, ids, text`` from ``doc_id, ids``."""
     shared = tokens.sparkSession.sparkContext.broadcast(source)
-    mark = str(hash(source))
+    mark = uuid.uuid4().hex
 
     def read(batches):
-        known = kept_by_worker("decoder", mark, lambda: token_bytes(shared.value))
+        known = decoder_of(shared, mark)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = []
-                for packed in part.column(1).to_pylist():
-                    ids = array("I", packed or b"")
-                    try:
-                        data = b"".join(map(known.__getitem__, ids))
-                    except IndexError:
-                        data = b"".join([known[i] for i in ids if i < len(known)])
-                    texts.append(data.decode("utf-8", "replace"))
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                texts = [decoded(known, ids) for ids in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     return tokens.select("doc_id", "ids").mapInArrow(read, "doc_id bigint, ids binary, text string")
@@ -296,8 +316,7 @@ def ids_array(tokens: DataFrame) -> DataFrame:
 
 def digests(docs: DataFrame, source: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row."""
-    done = decode(encode(docs, source, id_col, text_col), source)
-    return done.select(
+    return round_trip(docs, source, id_col, text_col).select(
         "doc_id",
         (F.length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
