@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplemark.llm.common import kept_by_worker
+from ripplemark.llm.common import kept_by_worker, small_side
 from ripplemark.session import stage
 
 K1, B = 1.2, 0.75
@@ -199,4 +199,4 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     mark = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     hit = leaks(docs.select(mark.alias("doc_id"), "text"), benchmark)
     gone = stage(hit.select(F.col("doc_id").alias("h")).distinct(), "leaking")
-    return docs.select(F.struct("*").alias("row"), mark.alias("h")).join(gone, "h", "left_anti").select("row.*")
+    return docs.select(F.struct("*").alias("row"), mark.alias("h")).join(small_side(gone), "h", "left_anti").select("row.*")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ripplemark.llm.common import kept_by_worker
+from ripplemark.llm.common import kept_by_worker, small_side
 from ripplemark.session import stage
 
 SAMPLE = 400
@@ -222,5 +222,5 @@ def accepted_documents(docs: DataFrame) -> DataFrame:
     marks = [F.xxhash64(F.lit(k), *[F.coalesce(f, F.lit("\x00")) for f in facts]) for k in (1, 2)]
     rows = document_rows(docs, marks[0].alias("h"), marks[1].alias("g"))
     rejected = stage(identify(rows, fit(docs)).where("not accepted").select("h", "g").distinct(), "rejected")
-    rest = docs.select(F.struct("*").alias("row"), marks[0].alias("h"), marks[1].alias("g")).join(rejected, ["h", "g"], "left_anti")
+    rest = docs.select(F.struct("*").alias("row"), marks[0].alias("h"), marks[1].alias("g")).join(small_side(rejected), ["h", "g"], "left_anti")
     return rest.select("row.*")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ripplemark.llm.common import connected
+from ripplemark.llm.common import connected, small_side
 from ripplemark.session import stage
 
 LOW_BITS = 0x5555555555555555
@@ -167,7 +167,8 @@ def one_of_each(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame
 
     A null doc_id comes last, equal ids are told apart by a hash of the
     text, and rows equal in both are one document. Only the names (id and
-    hash) of the rows that go are joined to the texts.
+    hash) of the rows that go are joined to the texts, which stay in place
+    as long as these names may be broadcast.
     """
     body = F.col("text").cast("string")
     name = [
@@ -182,8 +183,9 @@ def one_of_each(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame
     keepers = stage(members.groupBy("root").agg(F.min(F.struct(*keys)).alias("name")).select("name.*"), "keepers")
     gone = stage(members.join(keepers, keys, "left_anti").select(*keys).distinct(), "gone")
     again = stage(members.where("count > 1").join(keepers, keys, "left_semi").select(*keys), "again")
-    left = docs.select(F.struct("*").alias("row"), *name).join(gone, keys, "left_anti")
+    left = docs.select(F.struct("*").alias("row"), *name).join(small_side(gone), keys, "left_anti")
     if not again.isEmpty():
-        once = left.join(again, keys, "left_semi").dropDuplicates(keys)
-        left = left.join(again, keys, "left_anti").union(once)
+        twice = small_side(again)
+        once = left.join(twice, keys, "left_semi").dropDuplicates(keys)
+        left = left.join(twice, keys, "left_anti").union(once)
     return left.select("row.*")
