@@ -14,17 +14,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a few numbers each that may be broadcast: 40 MB at most.
+SMALL_ROWS = 1_000_000
+
+
+def small_side(keys: DataFrame) -> DataFrame:
+    """A written table of a few numbers per row, broadcast if its rows are few enough; counted first."""
+    return F.broadcast(keys) if keys.count() <= SMALL_ROWS else keys
+
+
 def text_of(column: str | Column) -> Column:
     """The text, null read as empty."""
     return F.coalesce((F.col(column) if isinstance(column, str) else column).cast("string"), F.lit(""))
 
 
 def kept_by_worker(kind: str, key: str, make):
-    """An object that outlives the task in a reused worker; the latest of a kind only."""
-    store = sys.__dict__.setdefault("_ripplemark_kept", {})
-    if store.get(kind, (None, None))[0] != key:
-        store[kind] = (key, make())
-    return store[kind][1]
+    """An object that outlives the task in a reused worker; only the latest one, so that stages don't add up."""
+    held = sys.__dict__.setdefault("_ripplemark_kept", [])
+    if not held or held[0][0] != (kind, key):
+        held.clear()
+        held.append(((kind, key), make()))
+    return held[0][1]
 
 
 def connected(edges: DataFrame) -> DataFrame:
