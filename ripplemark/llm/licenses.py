@@ -184,8 +184,15 @@ def weights_of(rows: DataFrame) -> tuple[DataFrame, list[float]]:
     notices = spark.createDataFrame([(n,) for family in NOTICES.values() for n in family], "text string")
     vocabulary = [r["feature"] for r in notices.select(F.explode(features(F.col("text"))).alias("feature")).distinct().orderBy("feature").limit(FEATURES).collect()]
     counted = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="words", outputCol="features")
-    ready = counted.setBinary(True).transform(ready).select("label", "features").coalesce(2)
-    model = LogisticRegression(family="multinomial", regParam=0.002, elasticNetParam=0.3, maxIter=30, standardization=False).fit(ready)
+    sizes = {r["label"]: r["count"] for r in ready.groupBy("label").count().collect()}
+    # Families weigh alike, however many paragraphs stand for unknown.
+    weight = F.lit(0.0)
+    for one, n in sizes.items():
+        weight = F.when(F.col("label") == one, sum(sizes.values()) / (len(sizes) * n)).otherwise(weight)
+    ready = counted.setBinary(True).transform(ready).select("label", "features", weight.alias("weight")).coalesce(2)
+    model = LogisticRegression(
+        family="multinomial", weightCol="weight", regParam=0.001, elasticNetParam=0.3, maxIter=40, standardization=False
+    ).fit(ready)
     matrix = model.coefficientMatrix.toArray()
     table = [(word, [float(x) for x in matrix[:, n]]) for n, word in enumerate(vocabulary) if matrix[:, n].any()]
     return spark.createDataFrame(table, "feature string, w array<double>"), [float(x) for x in model.interceptVector]
