@@ -59,9 +59,10 @@ def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str =
     """
     lines = boilerplate(docs, host_col, text_col, ratio, support)
     sites = stage(lines.groupBy("host").agg(F.collect_set(F.struct("h", "g")).alias("drop")), "sites")
-    rows = docs.select(F.struct("*").alias("row"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("body"))
-    kept = F.filter(F.split("body", "\n"), lambda x: ~F.coalesce(F.array_contains("drop", key_hash(x)), F.lit(False)))
-    cleaned = F.when(F.col("drop").isNull() | F.col("body").isNull(), F.col("body")).otherwise(F.array_join(kept, "\n"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(host_col).cast("string").alias("host"))
+    body = F.col("row")[text_col].cast("string")
+    kept = F.filter(F.split(body, "\n"), lambda x: ~F.coalesce(F.array_contains("drop", key_hash(x)), F.lit(False)))
+    cleaned = F.when(F.col("drop").isNull() | body.isNull(), body).otherwise(F.array_join(kept, "\n"))
     done = rows.join(sites.withColumnRenamed("host", "site"), F.col("host").eqNullSafe(F.col("site")), "left")
     done = done.select("row", cleaned.alias("body"))
     return done.select(*[(F.col("body") if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
