@@ -51,8 +51,9 @@ KINDS = [
     ("person", rf"(?<![\p{{L}}0-9])(?:(?:{_titles})\.?\x20(?:(?:{_given})\x20)?{WORD}|(?:{_given})\x20{WORD})(?![\p{{L}}0-9])"),
 ]
 PATTERN = "|".join(f"(?:{p})" for _, p in KINDS)
-#: A text without any of these has no entity.
-HINT = rf"@|[0-9]{{2}}|[0-9]\.[0-9]|(?:{_titles})\.?\x20|(?:{_given})\x20"
+#: A text without any of these has no entity: all kinds but people have a digit or an at sign.
+SIGNS = "[0-9@]"
+NAMES = rf"(?=\p{{Lu}})(?:(?:{_titles})\.?|(?:{_given}))\x20\p{{Lu}}"
 DRAWS = 64
 
 
@@ -64,11 +65,14 @@ def kind_of(mention: Column) -> Column:
     return kind
 
 
+def may_hold(text: Column) -> Column:
+    """False for texts that surely have no entity; cheap, and never null."""
+    return F.coalesce(F.regexp_like(text, F.lit(SIGNS)) | F.regexp_like(text, F.lit(NAMES)), F.lit(False))
+
+
 def parts(text: Column) -> Column:
     """``found`` and the ``gaps`` around them, one more than there are entities."""
-    none = F.struct(F.array().cast("array<string>").alias("found"), F.array(text).alias("gaps"))
-    some = F.struct(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)).alias("found"), F.split(text, PATTERN, -1).alias("gaps"))
-    return F.when(F.regexp_like(text, F.lit(HINT)), some).otherwise(none)
+    return F.struct(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)).alias("found"), F.split(text, PATTERN, -1).alias("gaps"))
 
 
 def name_parts(mention: Column) -> tuple[Column, Column, Column]:
@@ -185,14 +189,15 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
 
 
 def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """All rows and columns with the text rewritten and ``n_entities`` behind them; and the surrogate table.
+    """All rows and columns with the text rewritten and ``n_entities`` behind them (in place of a column of that name); and the surrogate table.
 
     The distinct mentions of the corpus are pre-aggregated by task. A row's
     mentions travel to the surrogates and back without its text; the text is
-    joined to its own mentions' replacements by a hash of the text, so equal
-    texts are rewritten once.
+    joined to its own mentions' replacements by a hash of the text. Texts
+    that cannot hold an entity stay where they are.
     """
     body = F.col(text_col).cast("string")
+    plain, docs = docs.where(~may_hold(body)), docs.where(may_hold(body))
     mark = F.struct(F.xxhash64(body).alias("h"), F.xxhash64(F.lit(1), body).alias("g"))
     apart = docs.select(mark.alias("mark"), F.array_distinct(parts(body)["found"]).alias("found")).where(F.size("found") > 0)
     apart = stage(apart.select("mark.h", "mark.g", F.explode("found").alias("mention")).distinct(), "mentions")
@@ -205,17 +210,19 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> tuple
         F.map_from_entries(F.collect_list(F.struct("mention", "new"))).alias("news")
     )
     of_text = stage(of_text, "replacements")
-    rows = docs.select(F.struct("*").alias("row"), body.alias("body"), mark.alias("mark")).select("row", "body", "mark.h", "mark.g")
-    joined = rows.join(of_text, ["h", "g"], "left")
+    rows = docs.select(F.struct("*").alias("row"), mark.alias("mark")).select("row", "mark.h", "mark.g")
+    joined = rows.join(of_text, ["h", "g"], "left").select("row", F.col("row")[text_col].cast("string").alias("body"), "news")
     split = F.when(F.col("news").isNotNull(), parts(F.col("body")))
     woven = joined.select("row", "body", "news", split.alias("parts"))
     fresh = F.transform(F.col("parts.found"), lambda m: F.try_element_at("news", m))
     text = F.when(F.col("news").isNull(), F.col("body")).otherwise(
-        F.array_join(F.flatten(F.zip_with("parts.gaps", F.concat(fresh, F.array(F.lit("")))  , lambda g, m: F.array(g, F.coalesce(m, F.lit(""))))), "")
+        F.array_join(F.flatten(F.zip_with("parts.gaps", F.concat(fresh, F.array(F.lit(""))), lambda g, m: F.array(g, F.coalesce(m, F.lit(""))))), "")
     )
     n = F.when(F.col("news").isNull(), F.lit(0)).otherwise(F.size("parts.found")).cast("bigint")
-    columns = [(text if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns]
-    return woven.select(*columns, n.alias("n_entities")), spelled
+    kept = [c for c in docs.columns if c != "n_entities"]
+    done = woven.select(*[(text if c == text_col else F.col("row")[c]).alias(c) for c in kept], n.alias("n_entities"))
+    same = plain.select(*[(body if c == text_col else F.col(c)).alias(c) for c in kept], F.lit(0).cast("bigint").alias("n_entities"))
+    return same.union(done), spelled
 
 
 def pii_report(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
