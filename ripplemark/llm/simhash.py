@@ -162,24 +162,22 @@ def with_hex(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
-    """All columns of the documents that stay: of each component the row with the smallest doc_id.
-
-    A null doc_id comes last, equal ids are told apart by a hash of the
-    text, and rows equal in both are one document. Only the names (id and
-    hash) of the rows that go are joined to the texts, which stay in place
-    as long as these names may be broadcast.
-    """
-    body = F.col("text").cast("string")
-    name = [
+def row_name() -> list[Column]:
+    """What names a row of documents: its id, null last, and a hash of its text."""
+    return [
         F.col("doc_id").isNull().alias("no_id"),
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("id"),
-        F.xxhash64(F.coalesce(body, F.lit(""))).alias("h"),
+        F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("h"),
     ]
-    keys = ["no_id", "id", "h"]
-    rows = stage(fingerprints(docs.select(*name, body.alias("body")), words), "fingerprints")
-    roots = stage(linked(rows.select("fp").distinct(), distance), "roots").select(F.col("node").alias("fp"), "root")
-    members = stage(rows.groupBy(*keys, "fp").count().join(roots, "fp"), "members")
+
+
+def first_of_each(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """All columns of the first row by name of each root. ``members``: names with their ``count`` and ``root``.
+
+    Only the names of the rows that go are joined to the texts, which stay
+    in place as long as these names may be broadcast.
+    """
+    name, keys = row_name(), ["no_id", "id", "h"]
     keepers = stage(members.groupBy("root").agg(F.min(F.struct(*keys)).alias("name")).select("name.*"), "keepers")
     gone = stage(members.join(keepers, keys, "left_anti").select(*keys).distinct(), "gone")
     again = stage(members.where("count > 1").join(keepers, keys, "left_semi").select(*keys), "again")
@@ -189,3 +187,14 @@ def one_of_each(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame
         once = left.join(twice, keys, "left_semi").dropDuplicates(keys)
         left = left.join(twice, keys, "left_anti").union(once)
     return left.select("row.*")
+
+
+def one_of_each(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
+    """All columns of the documents that stay: of each component the row with the smallest doc_id.
+
+    A null doc_id comes last, equal ids are told apart by a hash of the
+    text, and rows equal in both are one document.
+    """
+    rows = stage(fingerprints(docs.select(*row_name(), F.col("text").cast("string").alias("body")), words), "fingerprints")
+    roots = stage(linked(rows.select("fp").distinct(), distance), "roots").select(F.col("node").alias("fp"), "root")
+    return first_of_each(docs, stage(rows.groupBy("no_id", "id", "h", "fp").count().join(roots, "fp"), "members"))

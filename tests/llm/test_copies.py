@@ -8,7 +8,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from ripplemark.llm import exact_dedup, line_dedup, simhash
+import corpus_pipeline
+from ripplemark.llm import exact_dedup, line_dedup, shingles, simhash
 from ripplemark.llm.common import connected
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, h long, fp string, row string"
@@ -204,3 +205,50 @@ def test_ties_at_the_ratio_stay(spark):
     rows = [(i, "seldom" if i < 4 else f"line {i}", "a") for i in range(20)]
     kept = line_dedup.drop_boilerplate(docs_of(spark, rows), ratio=0.2, support=3).where(F.col("text") == "seldom")
     assert kept.count() == 4
+
+
+def plain_near_copies(rows, words=5, similarity=0.8):
+    """Ids that stay, by brute-force Jaccard over all pairs."""
+    sets = []
+    for _, t, _ in rows:
+        parts = (t or "").lower().split()
+        n = min(words, len(parts))
+        sets.append({tuple(parts[i : i + n]) for i in range(len(parts) - n + 1)} if parts else set())
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or a and b and len(a & b) / len(a | b) >= similarity:
+                root[find(i)] = find(j)
+    groups = defaultdict(list)
+    for i, (doc, _, _) in enumerate(rows):
+        groups[find(i)].append(doc)
+    return sorted(map(min, groups.values()))
+
+
+@pytest.mark.parametrize("crowded,often", [(64, 20), (3, 2)])
+def test_pipeline_near_copies(spark, monkeypatch, crowded, often):
+    """Copies with few to many changed words, around the limit of 0.8; small limits force representatives and an order."""
+    monkeypatch.setattr(shingles, "CROWDED", crowded)
+    monkeypatch.setattr(shingles, "OFTEN", often)
+    r = random.Random(21)
+    rows, notice = [], " ".join(f"notice{i}" for i in range(12))
+    for family in range(14):
+        base = [f"f{family}w{r.randrange(900)}" for _ in range(r.choice([4, 9, 40, 120, 300]))]
+        for changed in (0, 0, 1, 2, 3, 4, 5, 7, 9):
+            text = list(base)
+            for at in r.sample(range(len(text)), min(len(text), changed)):
+                text[at] = f"new{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(text) + (" " + notice if family % 3 == 0 else ""), "a"))
+    rows += [(900, None, "a"), (901, "", "a"), (902, " \n", "a"), (903, "One", "a"), (904, "one ", "a"), (905, "a b c d e f g h i", "a"), (906, "a b c d e f g h", "a")]
+    r.shuffle(rows)
+    docs = docs_of(spark, rows)
+    kept = corpus_pipeline.one_of_near_copies(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(x.doc_id for x in kept.collect()) == plain_near_copies(rows)
+    assert corpus_pipeline.one_of_near_copies(spark, docs_of(spark, []), "").count() == 0
