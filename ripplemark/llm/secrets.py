@@ -45,7 +45,7 @@ HINTS = {
     "access": "AKIA",
     "hex": r"[0-9a-f]{16}",
     "jwt": "eyJ",
-    "prefixed": r"[kp_tsou][_-][A-Za-z0-9_-]{16}",
+    "prefixed": r"[abkopstu][_-][A-Za-z0-9_-]{16}",
     "private_key": "PRIVATE KEY-----",
 }
 
