@@ -9,7 +9,7 @@ both have would have ratio 1.
 
 Cases: a null host is a host of its own; a null text stays null; a page
 that repeats a line counts once, and loses all its copies; rows repeated
-with one id are pages of their own; an empty table gives an empty result;
+with one id are pages of their own, unless copies count once; an empty table gives an empty result;
 all other columns of the input are kept as they are.
 """
 
@@ -31,9 +31,11 @@ def key_hash(line: Column) -> Column:
     return F.when(key != "", F.struct(F.xxhash64(key).alias("h"), F.xxhash64(F.lit(1), key).alias("g")))
 
 
-def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, support: int = SUPPORT) -> DataFrame:
+def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, support: int = SUPPORT, copies: bool = True) -> DataFrame:
     """``host, h, g, pages, total``: the lines to drop, by hash.
 
+    Without ``copies``, pages of one host with equal text are one page.
+
     Pages are counted per (host, line) within each task first; the page
     totals ride along as a line without hash, so they come out of the same
     aggregation.
@@ -42,22 +44,26 @@ def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text
     lines = F.array_distinct(F.transform(F.split(text_of(text_col), "\n"), key_hash))
     none = F.struct(F.lit(None).cast("bigint").alias("h"), F.lit(None).cast("bigint").alias("g"))
     marked = F.concat(F.filter(lines, lambda x: x.isNotNull()), F.array(none))
-    each = docs.select(host.alias("host"), F.explode(marked).alias("line")).select("host", "line.h", "line.g")
+    pages = docs.select(host.alias("host"), marked.alias("lines"), *[F.xxhash64(F.lit(k), text_of(text_col)).alias(f"text{k}") for k in (1, 2) if not copies])
+    pages = pages if copies else pages.distinct()
+    each = pages.select("host", F.explode("lines").alias("line")).select("host", "line.h", "line.g")
     counts = stage(each.groupBy("host", "h", "g").agg(F.count(F.lit(1)).alias("pages")).where(f"h is null or pages >= {int(support)}"), "lines")
     totals = counts.where("h is null").select(F.col("host").alias("site"), F.col("pages").alias("total"))
     often = counts.where("h is not null").join(F.broadcast(totals) if totals.count() < 100_000 else totals, F.col("host").eqNullSafe(F.col("site")))
     return often.where(F.col("pages") > F.col("total") * ratio).select("host", "h", "g", "pages", "total")
 
 
-def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, support: int = SUPPORT) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, support: int = SUPPORT, copies: bool = True) -> DataFrame:
     """All rows and columns, the text without its host's boilerplate lines.
 
+    ``copies``: whether equal texts of a host count as pages of their own.
+
     The hashes to drop of one host are at most the lines of an average page
     over ``ratio`` (each is on more than that share of the pages), so they
     travel as one array per host; the planner broadcasts the hosts if their
     size allows and splits a skewed host otherwise.
     """
-    lines = boilerplate(docs, host_col, text_col, ratio, support)
+    lines = boilerplate(docs, host_col, text_col, ratio, support, copies)
     sites = stage(lines.groupBy("host").agg(F.collect_set(F.struct("h", "g")).alias("drop")), "sites")
     rows = docs.select(F.struct("*").alias("row"), F.col(host_col).cast("string").alias("host"))
     body = F.col("row")[text_col].cast("string")

@@ -252,3 +252,11 @@ def test_pipeline_near_copies(spark, monkeypatch, crowded, often):
     assert kept.columns == docs.columns
     assert sorted(x.doc_id for x in kept.collect()) == plain_near_copies(rows)
     assert corpus_pipeline.one_of_near_copies(spark, docs_of(spark, []), "").count() == 0
+
+
+def test_pipeline_copies_are_one_page(spark):
+    """A third of a host's pages are copies, and they keep their lines; lines of different pages go."""
+    rows = [(i, f"Menu\nown line {i}", "a") for i in range(20)] + [(100 + i, "Menu\nof the copies\nand more", "a") for i in range(10)]
+    rows += [(200 + i, "small host", "b") for i in range(3)] + [(300 + i, "no host", None) for i in range(4)] + [(400, None, "a"), (401, "", "a")]
+    done = {x.doc_id: x.text for x in corpus_pipeline.without_boilerplate(spark, docs_of(spark, rows), "").collect()}
+    assert done == {i: None if t is None else t.removeprefix("Menu\n") for i, t, _ in rows}
