@@ -7,8 +7,9 @@ token starts. A node's token is the one vocabulary entry that ends there
 and may stand after the last token of the node where it starts; prefixes
 shared by many words are worked out once. A word's tokens are read by
 walking back from its end. A worker keeps its trie until it has a fixed
-number of nodes; the words of a step are inserted in order, so that nodes
-are made depth first.
+number of nodes, also within a step; the words of a step are inserted in
+order, so that nodes are made depth first. Only the first bytes of a word
+make nodes, so memory grows with the word and not with its square.
 
 Texts are cut before each space that a non-space follows. Such pieces are
 tokenised independently of each other, so their encodings are cached by the
@@ -38,6 +39,8 @@ from ripplemark.llm.common import kept_by_worker
 CACHED_PIECES = 150_000
 TRIE_NODES = 400_000
 KNOWN_PAIRS = 300_000
+#: Bytes of a word down to which its prefixes are nodes.
+DEEP = 64
 NEVER = 1 << 40
 ROWS_AT_ONCE = 128
 
@@ -119,24 +122,42 @@ class Vocabulary:
 
 
 class Trie:
-    """Words seen so far. A node is a prefix, and holds the last token of the prefix's encoding."""
+    """Words seen so far. A node is a prefix, and holds the last token of the prefix's encoding.
+
+    Nodes are numbers, found by the node above and a byte. They are made down
+    to a fixed depth; the rest of a long word has its last tokens in the
+    word's own list only, four bytes for each byte of the word.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.last: dict[bytes, int] = {b"": -1}
+        self.clear()
+
+    def clear(self) -> None:
+        self.below: dict[int, int] = {}
+        self.last = array("i", [-1])
 
     def encode(self, words: list[str]) -> list[bytes]:
         """Ids (little-endian, 32 bits) of words; sorted words make the nodes in depth-first order."""
-        last = self.last
         ids, lengths, sizes = self.vocabulary.ids, self.vocabulary.lengths, self.vocabulary.sizes
         apart, known = self.vocabulary.apart, self.vocabulary.known
         out = []
         for word in words:
+            if len(self.last) > TRIE_NODES:
+                self.clear()
+            below, last = self.below, self.last
             data = word.encode()
             size = len(data)
-            depth = size
-            while data[:depth] not in last:
-                depth -= 1
+            # The last token of each prefix of this word.
+            ends = array("i", [-1])
+            node = depth = 0
+            while depth < size:
+                child = below.get(node << 8 | data[depth])
+                if child is None:
+                    break
+                node = child
+                depth += 1
+                ends.append(last[node])
             while depth < size:
                 depth += 1
                 for n in sizes.get(data[max(depth - 2, 0) : depth], (1,)):
@@ -147,18 +168,22 @@ class Trie:
                         continue
                     if n == depth:
                         break
-                    before = last[data[: depth - n]]
+                    before = ends[depth - n]
                     fits = known.get(before << 20 | token)
                     if fits or fits is None and apart(before, token):
                         break
-                last[data[:depth]] = token
-            coded = []
+                ends.append(token)
+                if depth <= DEEP:
+                    child = below[node << 8 | data[depth - 1]] = len(last)
+                    last.append(token)
+                    node = child
+            coded = array("I")
             while size:
-                token = last[data[:size]]
+                token = ends[size]
                 coded.append(token)
                 size -= lengths[token]
             coded.reverse()
-            out.append(array("I", coded).tobytes())
+            out.append(coded.tobytes())
         return out
 
 
@@ -203,8 +228,6 @@ class Encoder:
         cache = self.pieces
         cache.age(CACHED_PIECES)
         new = [p for p in pieces if p not in cache and p not in cache.old]
-        if len(self.trie.last) > TRIE_NODES:
-            self.trie = Trie(self.vocabulary)
         split = list(map(self.split, new))
         distinct = sorted({w for words in split for w in words})
         coded = dict(zip(distinct, self.trie.encode(distinct)))

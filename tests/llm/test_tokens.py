@@ -52,6 +52,25 @@ def test_small_caches_change_nothing(monkeypatch):
     assert [numbers(small.encode([t])[0]) for t in texts] == [x.ids for x in LIBRARY.encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("sign", ["\n", " ", "=", "a", "é", "xy"])
+def test_a_run_of_a_million(encoder, sign):
+    """The trie keeps the first bytes of the run only; the ids are the library's on a shorter run, and decode to the text on all of it."""
+    nodes = len(encoder.trie.last)
+    long = "word" + sign * (1_000_000 // len(sign))
+    assert bpe.decoded(encoder.bytes, encoder.encode([long])[0]) == long
+    assert len(encoder.trie.last) <= nodes + 2 * bpe.DEEP
+    assert numbers(encoder.encode([long[:20_000]])[0]) == LIBRARY.encode(long[:20_000], add_special_tokens=False).ids
+
+
+def test_the_trie_starts_anew_within_a_step(monkeypatch):
+    monkeypatch.setattr(bpe, "TRIE_NODES", 500)
+    r = random.Random(6)
+    text = " ".join("".join(r.choice("abcdefgh") for _ in range(r.choice([3, 9, 200]))) for _ in range(2000))
+    small = bpe.Encoder(bpe.tokenizer_source(PATH))
+    assert numbers(small.encode([text])[0]) == LIBRARY.encode(text, add_special_tokens=False).ids
+    assert len(small.trie.last) <= 500 + bpe.DEEP + 1
+
+
 def test_frames(spark):
     texts = [None, *TEXTS, TEXTS[3], TEXTS[3]]
     rows = [(i if i != 2 else None, t, 1) for i, t in enumerate(texts)]
