@@ -57,9 +57,12 @@ def grams(words: list[bytes]) -> set[bytes]:
 
 
 class Index:
-    """One shard: impacts scaled so that an item's own text scores 1, and their largest per block."""
+    """One shard: impacts scaled so that an item's own text scores 1, and their largest per block.
 
-    def __init__(self, items: list[tuple[int, bytes]], frequency: dict[bytes, int], n_items: int, mean_length: float):
+    ``longest``: words of the longest item of all shards, so that a text has the same passages in each.
+    """
+
+    def __init__(self, items: list[tuple[int, bytes]], frequency: dict[bytes, int], n_items: int, mean_length: float, longest: int):
         items = [(i, t, w) for i, t in items if (w := words_of(t))]
         self.ids = [i for i, _, _ in items]
         self.parts = [question_and_answer(t) for _, t, _ in items]
@@ -79,7 +82,7 @@ class Index:
         for term, at, v in entries:
             self.impact[term, at] = v
         self.most = self.impact.reshape(len(self.terms) + 1, max(blocks, 1), BLOCK).max(axis=2)
-        self.longest = max([len(w) for _, _, w in items], default=0)
+        self.longest = longest
 
     def search(self, data: bytes, score: float = SCORE) -> list[tuple[int, float, float, float]]:
         """(item, score, question share, answer share) of the items that leaked into a text."""
@@ -125,9 +128,10 @@ class Index:
                 have = inside if width == GRAM else grams_of(passage, width)
                 q = len(self.grams[at] & have) / len(self.grams[at])
                 a = sum(w in held for w in answer) / len(answer) if answer else 1.0
-                old = found.get(at, (0.0, 0.0, 0.0))
-                found[at] = max(old, (q, a, round(float(scores[h]), 4)))
-        return [(self.ids[at], s, q, a) for at, (q, a, s) in sorted(found.items()) if q >= QUESTION and a >= ANSWER]
+                # Each passage is judged by itself: one that holds more of the question must not hide one that holds both.
+                if q >= QUESTION and a >= ANSWER:
+                    found[at] = max(found.get(at, (0.0, 0.0, 0.0)), (q, a, round(float(scores[h]), 4)))
+        return [(self.ids[at], s, q, a) for at, (q, a, s) in sorted(found.items())]
 
 
 def grams_of(words: list[bytes], n: int) -> set[bytes]:
@@ -139,28 +143,31 @@ def grams_in(words: list[bytes]) -> set[bytes]:
 
 
 def index_shards(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", shard: int = SHARD):
-    """The index's contents, one shard of at most ``shard`` items after the other.
+    """The index's contents, one shard of about ``shard`` items at most after the other.
 
-    Frequencies are counted over all items, on the cluster. A shard's items
-    and their terms are bounded by ``shard`` times the length of an item; it
-    is the query set that is cut, never the passages.
+    Frequencies, the mean and the longest length are taken over all items, on
+    the cluster. Repeated items are counted there, and searched for once. A
+    shard's items and their terms are bounded by ``shard`` times the length
+    of an item; it is the query set that is cut, never the passages.
     """
     clean = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "".join(map(chr, range(65, 91))), "".join(map(chr, range(97, 123))))
     bare = F.split(F.trim(F.regexp_replace(clean, r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", " ")), " ")
     numbered = benchmark.select(F.col(id_col).cast("bigint").alias("item_id"), F.col(text_col).cast("string").alias("body"), F.filter(bare, lambda w: w != "").alias("words"))
     items = stage(numbered, "items")
-    n, mean = items.where(F.size("words") > 0).agg(F.count(F.lit(1)), F.avg(F.size("words"))).first()
+    n, mean, longest = items.where(F.size("words") > 0).agg(F.count(F.lit(1)), F.avg(F.size("words")), F.max(F.size("words"))).first()
     if not n:
         return
     frequency = stage(items.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").count(), "frequency")
-    shards = -(-n // max(shard // 2, 1)) if n > shard else 1
+    items = stage(items.groupBy("item_id", "body").agg(F.first("words").alias("words")), "distinct_items")
+    several = items.where(F.size("words") > 0).count()
+    shards = -(-several // max(shard // 2, 1)) if several > shard else 1
     mine = F.pmod(F.xxhash64("item_id", "body"), F.lit(shards))
     for k in range(shards):
         part = items.where(mine == k)
         used = part.select(F.explode(F.array_distinct("words")).alias("word")).distinct().join(frequency, "word")
         counts = {r["word"].encode(): r["count"] for r in used.toLocalIterator()}
         texts = [(r["item_id"], (r["body"] or "").encode()) for r in part.orderBy("item_id", "body").toLocalIterator()]
-        yield texts, counts, n, mean
+        yield texts, counts, n, mean, longest
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", score: float = SCORE, shard: int = SHARD) -> DataFrame:
@@ -182,7 +189,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-        part = rows.mapInArrow(read, schema)
+        # Written shard by shard, so that one shard at a time is held by the driver and the workers.
+        part = stage(rows.mapInArrow(read, schema), "hits")
+        shared.destroy()
         found = part if found is None else found.union(part)
     if found is None:
         return rows.limit(0).select("doc_id", *[F.lit(None).cast(t).alias(c) for c, t in [("item_id", "bigint"), ("score", "double"), ("question_overlap", "double"), ("answer_overlap", "double")]])

@@ -164,6 +164,35 @@ def test_leaks(spark):
     assert decontamination.leaks(docs.where("false"), bench(items)).count() == 0
 
 
+def test_each_passage_is_judged_by_itself(spark):
+    """The question alone in one place does not hide question and answer, a little changed, in another."""
+    question, answer = [f"q{i}" for i in range(20)], ["alpha", "beta", "gamma", "delta"]
+    item = " ".join(question) + "? " + " ".join(answer) + "."
+    changed = " ".join([*question[:16], "x1", "x2", "x3", "x4", *answer])
+    filler = lambda n: " ".join(f"other{i % 50}" for i in range(n))
+    docs = spark.createDataFrame([(1, f"{' '.join(question)} {filler(400)} {changed}"), (2, f"{' '.join(question)} {filler(400)}")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item), (8, "something else of a few words? yes.")], "item_id long, text string")
+    assert [(x.doc_id, x.item_id, x.answer_overlap) for x in decontamination.leaks(docs, bench).collect()] == [(1, 7, 1.0)]
+
+
+def test_passages_do_not_depend_on_shards(spark):
+    """A long item widens the passages of all items, whichever shard they are in."""
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(10)) + f"? answer{i} of{i}.") for i in range(30)] + [(90, " ".join(f"long{k}" for k in range(300)) + "? end.")]
+    # The answer stands 150 words behind its question: within a passage of 600 words, not within one of 128.
+    gap = " ".join(f"gap{k % 40}" for k in range(150))
+    docs = spark.createDataFrame([(i, items[i][1].replace("? ", f" {gap} ")) for i in range(30)], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one, many = (sorted(map(tuple, decontamination.leaks(docs, bench, shard=n).collect())) for n in (2048, 8))
+    assert one == many and [x[:2] for x in one] == [(i, i) for i in range(30)]
+
+
+def test_repeated_items_are_searched_once(spark):
+    items = spark.createDataFrame([(1, "the same item again")] * 100 + [(2, "another one")], "item_id long, text string")
+    shards = list(decontamination.index_shards(items, shard=10))
+    assert [texts for texts, *_ in shards] == [[(1, b"the same item again"), (2, b"another one")]]
+    assert [x[2] for x in shards] == [101] and shards[0][1][b"same"] == 100
+
+
 def test_shards_hold_all_items(spark):
     items = spark.createDataFrame([(i, f"word{i} and others") for i in range(100)], "item_id long, text string")
     seen = [i for texts, *_ in decontamination.index_shards(items, shard=10) for i, _ in texts]
