@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ripplemark.llm import (
-    bpe, decontamination, exact_dedup, html_extract, language_id, licenses, line_dedup, pii, secrets, simhash,
+    bpe, conversations, decontamination, exact_dedup, html_extract, language_id, licenses, line_dedup, pii, secrets, simhash,
 )
 from ripplemark.llm.common import table
 
@@ -65,11 +65,15 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digests(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_report(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language_id, page_languages, op2_html_extraction, op3_bpe, op4_pii_surrogates, op5_license_scan,
-        op6_exact_dedup, op7_line_dedup, op8_simhash, op9_decontamination, op10_secret_scan,
+        op6_exact_dedup, op7_line_dedup, op8_simhash, op9_decontamination, op10_secret_scan, op13_conversation_repair,
     )
 }
 
