@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ripplemark.llm import (
     bpe, conversations, decontamination, exact_dedup, html_extract, language_id, licenses, line_dedup, pii, secrets, simhash,
+    spelling,
 )
 from ripplemark.llm.common import table
 
@@ -65,6 +66,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digests(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants_report(table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_report(table(spark, sf_dir, "conversations"))
 
@@ -73,7 +78,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language_id, page_languages, op2_html_extraction, op3_bpe, op4_pii_surrogates, op5_license_scan,
-        op6_exact_dedup, op7_line_dedup, op8_simhash, op9_decontamination, op10_secret_scan, op13_conversation_repair,
+        op6_exact_dedup, op7_line_dedup, op8_simhash, op9_decontamination, op10_secret_scan, op11_spelling_variants,
+        op13_conversation_repair,
     )
 }
 
