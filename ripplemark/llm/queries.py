@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ripplemark.llm import (
-    bpe, conversations, decontamination, exact_dedup, html_extract, language_id, licenses, line_dedup, pii, secrets, simhash,
-    spelling,
+    bpe, conversations, decontamination, exact_dedup, fingerprints, html_extract, language_id, licenses, line_dedup, pii,
+    secrets, simhash, spelling,
 )
 from ripplemark.llm.common import table
 
@@ -70,6 +70,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants_report(table(spark, sf_dir, "documents"))
 
 
+def op12_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_report(table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_report(table(spark, sf_dir, "conversations"))
 
@@ -79,7 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_language_id, page_languages, op2_html_extraction, op3_bpe, op4_pii_surrogates, op5_license_scan,
         op6_exact_dedup, op7_line_dedup, op8_simhash, op9_decontamination, op10_secret_scan, op11_spelling_variants,
-        op13_conversation_repair,
+        op12_syncmer_fingerprints, op13_conversation_repair,
     )
 }
 
