@@ -260,3 +260,41 @@ def test_pipeline_copies_are_one_page(spark):
     rows += [(200 + i, "small host", "b") for i in range(3)] + [(300 + i, "no host", None) for i in range(4)] + [(400, None, "a"), (401, "", "a")]
     done = {x.doc_id: x.text for x in corpus_pipeline.without_boilerplate(spark, docs_of(spark, rows), "").collect()}
     assert done == {i: None if t is None else t.removeprefix("Menu\n") for i, t, _ in rows}
+
+
+def joined_rows(spark, texts, monkeypatch):
+    """Rows of all pairs that near_copies looks at, counted where they are verified, and its result."""
+    seen = []
+    both_ends = shingles.both_ends
+    monkeypatch.setattr(shingles, "both_ends", lambda pairs, sets: (seen.append(pairs.count()), both_ends(pairs, sets))[1])
+    docs = docs_of(spark, [(i, t, "a") for i, t in enumerate(texts)])
+    kept = sorted(r.doc_id for r in shingles.one_of_each(docs).collect())
+    return sum(seen), kept
+
+
+def test_candidates_of_a_large_group(spark, monkeypatch):
+    """Copies of one text with one word changed: as many comparisons for each, however many they are."""
+    r = random.Random(3)
+    base = [f"w{i}" for i in range(60)]
+    rates = []
+    for n in (400, 1600):
+        texts = []
+        for _ in range(n):
+            text = list(base)
+            text[r.randrange(60)] = f"new{r.randrange(10**9)}"
+            texts.append(" ".join(text))
+        looked, kept = joined_rows(spark, texts, monkeypatch)
+        monkeypatch.undo()
+        rates.append(looked / n)
+        if n == 400:
+            assert kept == plain_near_copies([(i, t, "a") for i, t in enumerate(texts)])
+    assert rates[1] <= 1.3 * rates[0] + 0.5
+
+
+def test_pages_of_one_template(spark, monkeypatch):
+    """Pages that share most of their words but are no near copies are hardly ever compared."""
+    r = random.Random(4)
+    template = [f"t{i}" for i in range(200)]
+    texts = [" ".join([*template[:100], *(f"own{r.randrange(10**9)}" for _ in range(32)), *template[100:]]) for _ in range(600)]
+    looked, kept = joined_rows(spark, texts, monkeypatch)
+    assert kept == list(range(600)) and looked <= 3 * 600
