@@ -11,8 +11,9 @@ so a declaration counts as much as it has proved right. ``und`` (no known
 language) is a class of its own with uniform trigrams. A row is accepted if
 its best language is a known one and its posterior reaches a limit.
 
-The trigram model is fitted on a bounded sample of labelled rows (about
-``SAMPLE`` per language); all rows are counted in the tables.
+The trigram model is fitted on a bounded sample of distinct labelled texts
+(about ``SAMPLE`` per language); all rows are counted in the tables. Every
+label is a class of the model, which takes 256 KB for each.
 
 Cases: a null or empty text, or one without letters, has no text evidence
 and is rejected (``und``); null declarations, addresses and hosts are no
@@ -30,9 +31,8 @@ from pyspark.sql import functions as F
 from ripplemark.llm.common import kept_by_worker, small_side
 from ripplemark.session import stage
 
+#: Distinct texts of a language, about, from which its trigrams are counted.
 SAMPLE = 400
-#: Languages of the model at most: those with most labelled rows.
-LANGUAGES = 64
 BUCKETS = 1 << 16
 #: Trigrams that count in full; evidence of longer texts grows no further.
 ENOUGH = 60.0
@@ -82,21 +82,22 @@ def gram_counts(rows: DataFrame) -> DataFrame:
 def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages by name and their log-probabilities of a trigram.
 
-    The sample takes rows by a hash of the text, at a share per language
-    that makes about ``sample`` of them; the model has a fixed size.
+    The sample takes texts by a hash, at a share per language that makes
+    about ``sample`` distinct ones; copies of a text count once.
     """
-    rows = labelled.select(F.lower(F.col(lang_col).cast("string")).alias("lang"), F.col(text_col).cast("string").alias("body")).where("lang is not null and body is not null")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    rows = labelled.select(F.lower(F.col(lang_col).cast("string")).alias("lang"), F.col(text_col).cast("string").alias("body"))
+    rows = rows.where("lang is not null and body is not null").withColumn("h", F.xxhash64(F.lit("fit"), "body"))
+    sizes = [tuple(r) for r in rows.select("lang", "h").distinct().groupBy("lang").count().collect()]
     if not sizes:
         return [], np.zeros((BUCKETS, 0), dtype=np.float32)
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], sample / r["count"]).otherwise(share)
-    picked = rows.where((F.xxhash64(F.lit("fit"), "body") / F.lit(2.0**64) + 0.5) < share)
-    names = sorted(r["lang"] for r in sizes)
+    shares = labelled.sparkSession.createDataFrame([(lang, sample / n) for lang, n in sizes], "lang string, share double")
+    picked = rows.join(F.broadcast(shares), "lang").where((F.col("h") / F.lit(2.0**64) + 0.5) < F.col("share"))
+    picked = picked.select("lang", "h", "body").dropDuplicates(["lang", "h"])
+    names = sorted(lang for lang, _ in sizes)
+    column = {lang: n for n, lang in enumerate(names)}
     counts = np.full((BUCKETS, len(names)), 0.05)
     for lang, gram, n in gram_counts(picked).toLocalIterator():
-        counts[gram, names.index(lang)] += n
+        counts[gram, column[lang]] += n
     return names, np.log(counts / counts.sum(axis=0)).astype(np.float32)
 
 

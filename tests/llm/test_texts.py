@@ -225,3 +225,26 @@ def test_pipeline_keeps_and_drops(spark, tmp_path):
 def test_every_operator_has_a_query():
     numbers = sorted(int(k[2:].split("_")[0]) for k in QUERIES if k.startswith("op"))
     assert numbers == list(range(1, 11))
+
+
+def test_many_languages(spark):
+    """Seventy languages, the smallest of five documents: each is known."""
+    import random
+
+    r = random.Random(12)
+    rows = []
+    for n in range(70):
+        syllables = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(12)]
+        for _ in range(5 if n < 4 else 9):
+            text = " ".join("".join(r.choice(syllables) for _ in range(r.randint(1, 3))) for _ in range(80))
+            rows.append((len(rows), text, chr(97 + n // 26) + chr(97 + n % 26)))
+    docs = spark.createDataFrame([(i, t, lang, f"host{i % 7}") for i, t, lang in rows], "doc_id long, text string, lang string, source string")
+    got = {x.doc_id: (x.language, x.accepted) for x in language_id.identify_documents(docs).collect()}
+    assert got == {i: (lang, True) for i, _, lang in rows}
+
+
+def test_sample_of_distinct_texts(spark):
+    """A text with most of a language's rows is one text of the model."""
+    once = [(f"aa bb {i}", "xx") for i in range(5)] + [("zz yy", "xx")]
+    model = [language_id.fit(spark.createDataFrame(rows, "text string, lang string")) for rows in (once, once + [("zz yy", "xx")] * 300)]
+    assert model[0][0] == model[1][0] == ["xx"] and (model[0][1] == model[1][1]).all()
