@@ -229,8 +229,6 @@ def test_every_operator_has_a_query():
 
 def test_many_languages(spark):
     """Seventy languages, the smallest of five documents: each is known."""
-    import random
-
     r = random.Random(12)
     rows = []
     for n in range(70):
