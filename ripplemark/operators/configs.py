@@ -127,19 +127,46 @@ def _check_cycles(tree: object) -> None:
             todo.extend((v, False) for v in (node.values() if isinstance(node, dict) else node))
 
 
-def _canonical(value: object) -> object:
-    """A list's contents with sorted members and one form of whole numbers, so that equal lists print alike."""
-    if isinstance(value, dict):
-        return {k: _canonical(v) for k, v in sorted((str(k), v) for k, v in value.items())}
-    if isinstance(value, (list, tuple)):
-        return [_canonical(v) for v in value]
-    if isinstance(value, (set, frozenset)):
-        return sorted((_canonical(v) for v in value), key=str)
+class _Piece(str):
+    """Text that is printed as it is."""
+
+
+def _scalar(value: object) -> object:
+    """One form of whole numbers; what JSON does not know is its text."""
     if isinstance(value, float) and value.is_integer():
         return int(value)
     return value if value is None or isinstance(value, (str, bool, int, float)) else str(value)
 
 
+def _printed(value: object) -> str:
+    """A list as JSON with sorted members, so that equal lists print alike; of any depth."""
+    out: list[str] = []
+    todo: list[object] = [value]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, _Piece):
+            out.append(node)
+            continue
+        if isinstance(node, dict):
+            named = sorted({str(k): v for k, v in node.items()}.items())
+            parts = [(_Piece(json.dumps(k, ensure_ascii=False) + ":"), v) for k, v in named]
+            begin, end = "{", "}"
+        elif isinstance(node, (list, tuple, set, frozenset)):
+            ordered = sorted(node, key=lambda v: str(_scalar(v))) if isinstance(node, (set, frozenset)) else node
+            parts = [(v,) for v in ordered]
+            begin, end = "[", "]"
+        else:
+            out.append(json.dumps(_scalar(node), ensure_ascii=False))
+            continue
+        out.append(begin)
+        todo.append(_Piece(end))
+        for n in range(len(parts) - 1, -1, -1):
+            todo.extend(reversed(parts[n]))
+            if n:
+                todo.append(_Piece(","))
+    return "".join(out)
+
+
 def _text(value: str) -> str:
     """The text with lone surrogates replaced, which UTF-8 cannot hold."""
     return value if value.isascii() else value.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
@@ -153,7 +180,7 @@ def _typed(value: object) -> tuple[str | None, str]:
     if isinstance(value, (int, float)):
         return str(value), type(value).__name__
     if isinstance(value, (list, set, tuple)):
-        return _text(json.dumps(_canonical(list(value)), separators=(",", ":"), ensure_ascii=False)), "list"
+        return _text(_printed(value)), "list"
     # a date is not the text that looks like it
     return _text(str(value)), "string" if isinstance(value, str) else type(value).__name__
 

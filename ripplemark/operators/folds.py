@@ -224,9 +224,8 @@ def notifications(results: DataFrame) -> DataFrame:
 
 def notifications_by_id(saved: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """Latest save of each id; with ``ids``, a lookup with NULLs for misses."""
-    last = saved.groupBy("notification_id").agg(F.max("seq").alias("seq"))
-    latest = saved.join(last, ["notification_id", "seq"], "left_semi")
-    latest = latest.select("notification_id", "seq", *[c for c in saved.columns if c not in ("notification_id", "seq")])
+    last = saved.groupBy("notification_id").agg(F.max_by(F.struct(*saved.columns), "seq").alias("last"))
+    latest = last.select("last.*").select("notification_id", "seq", *[c for c in saved.columns if c not in ("notification_id", "seq")])
     if ids is None:
         return latest
     return ids.select("notification_id").distinct().join(latest, "notification_id", "left")

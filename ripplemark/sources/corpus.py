@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 from itertools import islice
 
 import pandas as pd
@@ -16,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplemark.functions import paths as P
+from ripplemark.functions.linediff import kept
 
 # Lines of one frame that a Python task hands over.
 LINES_AT_ONCE = 10_000
@@ -109,10 +109,9 @@ def _line_changes(old: str | None, new: str | None) -> Counter[tuple[str, str]]:
     """(side, line) -> copies, by a diff of two texts."""
     before, after = _lines(old), _lines(new)
     found: Counter[tuple[str, str]] = Counter()
-    for kind, a, b, c, d in SequenceMatcher(None, before, after, autojunk=False).get_opcodes():
-        if kind != "equal":
-            found.update(("-", line) for line, _ in before[a:b])
-            found.update(("+", line) for line, _ in after[c:d])
+    stay, come = kept(before, after)
+    found.update(("-", line) for (line, _), same in zip(before, stay) if not same)
+    found.update(("+", line) for (line, _), same in zip(after, come) if not same)
     return found
 
 
@@ -130,7 +129,7 @@ def _diff_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def changed_lines(old: DataFrame, new: DataFrame, changes: DataFrame) -> DataFrame:
     """Added (+) and removed (-) lines of changed files: ``(path, side, line, copies)``.
 
-    A diff of the two texts in order: a line that only moved is removed in
+    A least diff of the two texts in order: a line that only moved is removed in
     one place and added in another, and a last line changes with its line
     feed. ``changes`` holds each path once; staged, it is broadcast when
     small, and contents of unchanged files never leave their scan. The two

@@ -244,3 +244,13 @@ def test_tests_of_a_config_change(frame):
     new = frame(FILES, ("a.json", '{"server":{"timeout":60},"retry":3}'), ("b.env", "HOST=a"))
     access = frame("test_id string, config_key string", ("T1", "server.timeout"), ("T1", "retry"), ("T2", "HOST"))
     assert rows(tests_of_config_change(old, new, access)) == [("T1", "server.timeout")]
+
+
+def test_deep_lists_lose_no_settings(frame):
+    """A list of any depth that the reader takes is one setting; none of its neighbours is lost."""
+    for depth in (500, 1500):
+        text = '{"a":1,"b":' + "[" * depth + "]" * depth + ',"c":2}'
+        got = {r.key: r.value for r in configs.flatten_json(frame("path string, content string", ("f.json", text))).collect()}
+        assert got in ({}, {"a": "1", "b": "[" * depth + "]" * depth, "c": "2"})
+        assert depth > 500 or got
+    assert configs._printed([{"b": {2: 1.0}, "a": {"y", "x"}}, [None, True, (1.5, "é")]]) == '[{"a":["x","y"],"b":{"2":1}},[null,true,[1.5,"é"]]]'
