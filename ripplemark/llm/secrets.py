@@ -11,8 +11,10 @@ and the matches in order, and running sums of their lengths (code points)
 give the places.
 
 Cases: a null text is empty and has no spans; a null owner or repository is
-one owner or repository of its own; rows repeated with one id are each
-reported, and count once per owner; an empty table gives an empty result.
+one owner or repository of its own; a document is its own repository unless a
+column is named; rows of one id, or without id, are each judged by their own
+spans, and those repeated whole count once per owner; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -85,7 +87,7 @@ def joined(spans: Column) -> Column:
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id") -> DataFrame:
-    """Every row with its spans: ``doc_id, owner, repo, base, more``."""
+    """Every row with its spans, to be staged at once: ``row`` (a number of its own), ``doc_id, owner, repo, base, more``."""
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         text_of(text_col).alias("body"),
@@ -95,7 +97,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kinds = [(kind, n, *rest) for n, (kind, *rest) in enumerate(BASE + MORE)]
     found = rows.select("doc_id", "owner", "repo", *[matches(F.col("body"), *k).cast(SPANS).alias(k[0]) for k in kinds])
     base, more = ([k[0] for k in part] for part in (BASE, MORE))
-    return found.select("doc_id", "owner", "repo", *base, F.concat(*base).alias("base"), F.concat(*more).alias("more"))
+    return found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "owner", "repo", *base, F.concat(*base).alias("base"), F.concat(*more).alias("more"))
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -121,30 +123,30 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     have and ``live`` otherwise.
     """
     found = stage(candidates(docs, id_col, text_col, owner_col, repo_col), "candidates")
-    return judged(found, shared_by)
+    return judged(found, shared_by).drop("row")
 
 
 def judged(found: DataFrame, shared_by: int = SHARED_BY) -> DataFrame:
     owned = stage(ownership(found), "ownership")
-    spans = found.select("doc_id", F.explode(F.concat("base", "more")).alias("span")).select(
-        "doc_id", "span.kind", "span.start", "span.end", F.sha2("span.value", 256).alias("value_hash")
+    spans = found.select("row", "doc_id", F.explode(F.concat("base", "more")).alias("span")).select(
+        "row", "doc_id", "span.kind", "span.start", "span.end", F.sha2("span.value", 256).alias("value_hash")
     )
     verdict = F.when(F.col("owners") >= shared_by, "example").otherwise("live")
-    return spans.join(owned, "value_hash").select("doc_id", "kind", "start", "end", "value_hash", "repos", "owners", verdict.alias("verdict"))
+    return spans.join(owned, "value_hash").select("row", "doc_id", "kind", "start", "end", "value_hash", "repos", "owners", verdict.alias("verdict"))
 
 
 def secret_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", shared_by: int = SHARED_BY) -> DataFrame:
     """Per row: counts and digest of the base spans, all spans, and how many values look live or copied."""
     found = stage(candidates(docs, id_col, text_col, owner_col, repo_col), "candidates")
-    verdicts = judged(found, shared_by).distinct().groupBy("doc_id").agg(
+    verdicts = judged(found, shared_by).groupBy("row").agg(
         F.count_if(F.col("verdict") == "live").alias("n_live"), F.count_if(F.col("verdict") == "example").alias("n_example")
     )
     verdicts = stage(verdicts, "verdicts")
     counted = found.select(
-        "doc_id",
+        "row", "doc_id",
         *[F.size(kind).cast("bigint").alias(f"n_{kind}") for kind, *_ in BASE],
         F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
         joined(F.concat("base", "more")).alias("spans"),
     )
     zero = F.lit(0).cast("bigint")
-    return counted.join(verdicts, "doc_id", "left").withColumns({c: F.coalesce(c, zero) for c in ("n_live", "n_example")})
+    return counted.join(verdicts, "row", "left").drop("row").withColumns({c: F.coalesce(c, zero) for c in ("n_live", "n_example")})

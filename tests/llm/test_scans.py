@@ -183,3 +183,10 @@ def test_notices_are_told_apart(spark):
     found = {r.doc_id: r.family for r in licenses.license_paragraphs(docs, probability=0.0).collect()}
     right = sum(found.get(i) == family for i, family in enumerate(held))
     assert right >= len(held) - 1, found
+
+
+def test_verdicts_by_row(spark):
+    """Rows of one id, or of none, are judged by their own spans."""
+    rows = [(None, "password = abcdefgh12345678", "s"), (None, "nothing here", "s"), (7, "token: zyxwvuts98765432", "s"), (7, None, "s"), (7, "token: zyxwvuts98765432", "s")]
+    got = secrets.secret_digests(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted((str(r.doc_id), r.n_assign, r.n_live, r.n_example) for r in got) == [("7", 0, 0, 0), ("7", 1, 1, 0), ("7", 1, 1, 0), ("None", 0, 0, 0), ("None", 1, 1, 0)]
