@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,10 +31,15 @@ def text_of(column: str | Column) -> Column:
 
 
 def kept_by_worker(kind: str, key: str, make):
-    """An object that outlives the task in a reused worker; only the latest one, so that stages don't add up."""
+    """An object that outlives the task in a reused worker; only the latest one, so that stages don't add up.
+
+    What earlier stages have used and freed goes back to the system first.
+    """
     held = sys.__dict__.setdefault("_ripplemark_kept", [])
     if not held or held[0][0] != (kind, key):
         held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
         held.append(((kind, key), make()))
     return held[0][1]
 
