@@ -4,9 +4,12 @@ A small tree is built from the tags. Paragraphs give points for their
 length and commas to their ancestors, half as many with each level; points
 count less the more of an element's text is inside links. The element with
 the most points is the container; siblings with enough points, or that read
-like prose, are kept beside it. Menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles and reader comments never enter the tree's
-text.
+like prose, are kept beside it. Menus, headers, footers, scripts, styles and
+other parts that their tag, role or state names are left out as they are
+read, as are reader comments and consent notices. Class names and ids are
+evidence only: they often tell of a layout ("content-with-sidebar"), so an
+element named like a sidebar, notice or advert, and a form, stays if it holds
+the page's ``main`` element or most of its prose, and goes otherwise.
 
 Cases: a null or empty page has an empty text, as has a page without any
 text outside the parts named above; markup that is not closed, or closed
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 # Elements by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset(
-    "script style noscript template head title nav footer aside form button select textarea option iframe object svg "
+    "script style noscript template head title nav footer aside button select textarea option iframe object svg "
     "canvas audio video map dialog menu".split()
 )
 BLOCKS = frozenset(
@@ -54,50 +57,68 @@ NAMES = frozenset(
     "share sharing sidebar sidebars social sponsor sponsored sponsors subscribe subscription paywall signup login toolbar "
     "widget widgets pagination pager skip topbar toc replies".split()
 )
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
+# Of these, names of what readers write and of consent; and words that make a name tell of a page's state.
+ALWAYS = frozenset("comment comments commentlist disqus respond replies cookie cookies consent gdpr".split())
+STATES = frozenset("open opened closed on off enabled disabled allowed free".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
 # A header of one of these belongs to the text; a name that begins with one of those speaks of another element.
 TITLED = frozenset("article post entry story page".split())
 ABOUT_OTHERS = frozenset("has with no without hide show".split())
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Share of the page's unlinked text, and characters of it, with which an element named like furniture is a wrapper.
+MOST = 0.75
+LEAST = 200
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "points", "chars", "linked", "main")
+    __slots__ = ("tag", "parent", "children", "points", "chars", "linked", "main", "doubtful")
 
-    def __init__(self, tag, parent, main=False):
-        self.tag, self.parent, self.main = tag, parent, main
+    def __init__(self, tag, parent, main=False, doubtful=False):
+        self.tag, self.parent, self.main, self.doubtful = tag, parent, main, doubtful
         self.children: list = []
         self.points = 0.0
         self.chars = self.linked = 0
 
 
-def is_furniture(tag: str, attrs: list, in_article: bool) -> bool:
-    """Whether an element is no part of the main text."""
+def furniture(tag: str, attrs: list, in_article: bool) -> float:
+    """1 for an element that is no part of the main text, 0.5 for one that looks like it, 0 for others."""
     if tag in SILENT:
-        return True
+        return 1
     if tag == "header":
-        return not in_article
+        return 0 if in_article else 1
     if tag in ("html", "body", "article", "main"):
-        return False
+        return 0
+    doubt = 0.5 if tag == "form" else 0
     for key, value in attrs:
         if key == "hidden":
-            return True
+            return 1
         if not value:
             continue
         if key == "aria-hidden" and value.strip().lower() == "true" or key == "style" and HIDDEN.search(value):
-            return True
-        if key == "role" and value.strip().lower() in ROLES:
-            return True
+            return 1
+        if key == "role":
+            role = value.strip().lower()
+            if role in ROLES:
+                return 1
+            doubt = max(doubt, 0.5 if role == "form" else 0)
         if key in ("class", "id"):
-            for name in value.split():
-                parts = [p.lower() for p in NAME.findall(name)]
-                if not parts or parts[0] in ABOUT_OTHERS:
-                    continue
-                found = NAMES.intersection(parts)
-                if found and not (found == {"header"} and TITLED.intersection(parts) and tag not in ("html", "body")):
-                    return True
-    return False
+            doubt = max([doubt, *map(doubt_of, value.split())])
+            if doubt == 1:
+                return 1
+    return doubt
+
+
+def doubt_of(name: str) -> float:
+    """How far one class name or id speaks of furniture."""
+    parts = [p.lower() for p in NAME.findall(name)]
+    if not parts or parts[0] in ABOUT_OTHERS:
+        return 0
+    found = NAMES.intersection(parts)
+    if not found or found == {"header"} and TITLED.intersection(parts):
+        return 0
+    told = not ABOUT_OTHERS.intersection(parts) and parts[-1] not in STATES
+    return 1 if told and ALWAYS.intersection((parts[0], parts[-1])) else 0.5
 
 
 class Tree(HTMLParser):
@@ -107,7 +128,7 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("#root", None)
         self.skip: list[str] = []  # open elements within furniture
-        self.articles = 0
+        self.articles = self.doubts = 0
         self.open: Counter[str] = Counter()
 
     def handle_starttag(self, tag, attrs):
@@ -134,11 +155,14 @@ class Tree(HTMLParser):
             self.close_any(*ENDS[tag])
         if tag in CLOSES_P:
             self.close_any({"p"}, {"table", "td", "th", "button", "object"})
-        if is_furniture(tag, attrs, self.articles > 0):
+        doubt = furniture(tag, attrs, self.articles > 0)
+        if doubt == 1:
             self.skip = [tag]
-            self.at.children.append(Node("hr" if tag in BLOCKS else "#gap", self.at))
+            self.at.children.append(gap(tag, self.at))
             return
-        node = Node(tag, self.at, tag in ("article", "main") or any(k == "role" and v in ("main", "article") for k, v in attrs))
+        main = tag in ("article", "main") or any(k == "role" and v in ("main", "article") for k, v in attrs)
+        node = Node(tag, self.at, main, doubt > 0)
+        self.doubts += doubt > 0
         self.at.children.append(node)
         self.at = node
         self.open[tag] += 1
@@ -199,6 +223,43 @@ class Tree(HTMLParser):
             node = node.parent
 
 
+def gap(tag: str, parent: Node) -> Node:
+    """What is left in the place of furniture."""
+    return Node("hr" if tag in BLOCKS else "#gap", parent)
+
+
+def without_doubtful(root: Node) -> None:
+    """Takes out elements that look like furniture and are no wrappers of the main text."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo.extend(c for c in node.children if type(c) is Node)
+    prose: dict[int, int] = {}
+    mains: set[int] = set()
+    for node in reversed(order):
+        own = 0
+        for child in node.children:
+            if type(child) is str:
+                own += len(" ".join(child.split()))
+            else:
+                own += prose[id(child)]
+                if child.tag == "main" or id(child) in mains:
+                    mains.add(id(node))
+        prose[id(node)] = 0 if node.tag == "a" else own
+    wanted = max(LEAST, MOST * prose[id(root)])
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        for n, child in enumerate(node.children):
+            if type(child) is not Node:
+                continue
+            if child.doubtful and id(child) not in mains and prose[id(child)] < wanted:
+                node.children[n] = gap(child.tag, node)
+            else:
+                todo.append(child)
+
+
 def measured(root: Node) -> list[Node]:
     """All elements, each before its children; text lengths and points are filled in."""
     order, todo = [], [root]
@@ -305,6 +366,8 @@ def main_text(html: str) -> str:
     tree = Tree()
     tree.feed(html)
     tree.close()
+    if tree.doubts:
+        without_doubtful(tree.root)
     return "\n".join(blocks_of(chosen(measured(tree.root))))
 
 

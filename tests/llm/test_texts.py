@@ -103,6 +103,31 @@ def test_main_text(html, text):
     assert html_extract.main_text(html) == text
 
 
+SIX = [f"Paragraph {n} of the story, with commas, words and a length that prose has on any page of news." for n in range(6)]
+STORY = "".join(f"<p>{p}</p>" for p in SIX)
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["content-with-sidebar", "layout-right-sidebar", "post-widget-area", "story-promo", "menu-open", "related-article-body", "ad-free",
+     "main-content social-layout", "article-with-comments", "comments-open"],
+)
+def test_names_of_wrappers(name):
+    """A wrapper named after furniture keeps the article; furniture within and beside it goes."""
+    inner = f"<div class='{name}'>{STORY}<div class='ad'><p>Buy it, now, here.</p></div></div>"
+    assert html_extract.main_text(inner) == "\n".join(SIX)
+    beside = "<div class='sidebar'><p>Also, of interest, to you.</p></div><section id='comments'>" + "<p>I, for one, do not agree with any of it, at all.</p>" * 40 + "</section>"
+    assert html_extract.main_text(inner + beside) == "\n".join(SIX)
+
+
+def test_forms_and_furniture_alone():
+    form = "<form id='aspnetForm'><input name=x><div class='menu'><p>One, two</p></div>{}<select><option>a</select></form>"
+    assert html_extract.main_text("<body>" + form.format(STORY)) == "\n".join(SIX)
+    assert html_extract.main_text(f"<div>{STORY}</div>" + form.format("<p>Your name, your mail.</p>")) == "\n".join(SIX)
+    assert html_extract.main_text("<form><p>Name, mail</p></form>") == html_extract.main_text("<div class=banner><p>Buy, now</p></div>") == ""
+    assert html_extract.main_text("<div class='page-sidebar'><main><p>Short, but main.</p></main><p>x</p></div>") == "Short, but main."
+
+
 def test_extract(spark):
     rows = [(1, "u", PAGE, "x", 5), (2, None, None, "x", 5), (3, "v", "", "x", 5), (1, "u", PAGE, "x", 5)]
     done = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int"))
