@@ -312,6 +312,32 @@ union all select 'affected_tests', path, score from o_ranked
 
 _SQL["s1_corpus_scan"] = "select path, length(content) as n_chars, sha256(content) as digest from o_corpus"
 _SQL["s2_change_set"] = "select path, change_kind from o_changes"
+_SQL["s2_renames"] = """
+with come as (select *, row_number() over (partition by content order by path) as r from files_moved
+    where path not in (select path from files_new)),
+gone as (select *, row_number() over (partition by content order by path) as r from files_new
+    where path not in (select path from files_moved)),
+moved as (select c.path, g.path as old_path from come c join gone g on c.content = g.content and c.r = g.r),
+left_new as (select path, content, regexp_extract(path, '[^/]*$') as name from come where path not in (select path from moved)),
+left_old as (select path, content, regexp_extract(path, '[^/]*$') as name from gone where path not in (select old_path from moved)),
+lines_new as (select path, line, count(*) as n from (select path, unnest(string_split(content, NL)) as line from left_new) group by all),
+lines_old as (select path, line, count(*) as n from (select path, unnest(string_split(content, NL)) as line from left_old) group by all),
+shared as (select a.path, b.path as old_path, sum(least(a.n, b.n) * (length(a.line) + 1)) as w
+    from lines_new a join lines_old b on a.line = b.line group by a.path, b.path),
+near as (select s.path, s.old_path, w / greatest(length(a.content) + 1, length(b.content) + 1) as share, a.name = b.name as same, a.name
+    from shared s join left_new a on s.path = a.path join left_old b on s.old_path = b.path
+    where w / greatest(length(a.content) + 1, length(b.content) + 1) >= 0.5),
+named as (select path, old_path from near where same and (select count(*) from left_new x where x.name = near.name) = 1
+    and (select count(*) from left_old x where x.name = near.name) = 1),
+placed as (select path, old_path, row_number() over (partition by path order by share desc, old_path) as p,
+    row_number() over (partition by old_path order by share desc, path) as q
+    from near where path not in (select path from named) and old_path not in (select old_path from named)),
+renames as (select path, old_path from moved union all select path, old_path from named
+    union all select path, old_path from placed where p = 1 and q = 1)
+select n.path, case when r.old_path is not null then 'renamed' when o.path is null then 'added' else 'modified' end as change_kind, r.old_path
+from files_moved n left join files_new o on n.path = o.path left join renames r on n.path = r.path
+where o.path is null or o.content <> n.content
+"""
 _SQL["s3_changed_lines"] = "select path, side, line, copies from o_lines"
 _SQL["s4_result_entries"] = "select section, path, score from o_entries"
 _SQL["s5_result_summary"] = """

@@ -75,6 +75,11 @@ def s2_change_set(spark, sf):
     return corpus.changed_files(*_revisions(spark, sf))
 
 
+@query
+def s2_renames(spark, sf):
+    return corpus.change_set(view(spark, sf, "files_new"), view(spark, sf, "files_moved"))
+
+
 @query
 def s3_changed_lines(spark, sf):
     old, new = _revisions(spark, sf)

@@ -74,6 +74,13 @@ select path,
        else body end as content
 from corpus_base
 """
+# A later revision that moves files: some as they are, some with a new line, some with a new name too.
+VIEWS["files_moved"] = """
+select case when path like '%.py' then replace(path, '/src/doc', '/lib/module')
+       else replace(replace(path, '/src/test/java/', '/src/it/java/'), '/src/main/java/', '/src/java/') end as path,
+  case when path like '%/src/main/java/%' or path like '%/src/doc%.py' then 'moved = 1' || NL || content else content end as content
+from files_new
+"""
 # A directory of every source with a marker file of some kind, and the root.
 VIEWS["marker_files"] = """
 select distinct case when source = 'src9' then '' else 'services/' || source || '-service/' end ||
@@ -266,7 +273,7 @@ def _closure(name: str) -> tuple[str, ...]:
 
 # Corpora are tables in their own right: written once per session and input,
 # then read like any stored corpus, with columns and sizes known to the planner.
-STORED = ("files_old", "files_new", "config_old", "config_new")
+STORED = ("files_old", "files_new", "files_moved", "config_old", "config_new")
 _stored: dict[tuple[str, str, str], DataFrame] = {}
 
 

@@ -12,13 +12,18 @@ from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as Wd
 from pyspark.sql import functions as F
 
 from ripplemark.functions import paths as P
 from ripplemark.functions.linediff import kept
+from ripplemark.operators.folds import positions
+from ripplemark.session import stage
 
 # Lines of one frame that a Python task hands over.
 LINES_AT_ONCE = 10_000
+# Share of its lines, by length, that a renamed file keeps at least.
+SIMILAR = 0.5
 
 
 def scan_files(
@@ -92,6 +97,106 @@ def changed_files(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
+def _moved(gone: DataFrame, come: DataFrame) -> DataFrame:
+    """Files of equal content, the n-th vanished path with the n-th new one in path order: ``(path, old_path)``.
+
+    Ranks are taken in ranges of (digest, path), so thousands of equal files, such as empty ones, are many tasks' work.
+    """
+    after, before = (
+        positions(side.select("digest", F.col("path").alias("seq")), "digest").select("digest", "pos", F.col("seq").alias(name))
+        for side, name in ((come, "path"), (gone, "old_path"))
+    )
+    return after.join(before, ["digest", "pos"]).select("path", "old_path")
+
+
+def _weighed_lines(files: DataFrame, name: str) -> DataFrame:
+    """Distinct lines of each file with their copies; a line counts by its characters and its end."""
+    total = F.length("content") + 1
+    lines = files.select(F.col("path").alias(name), total.alias(f"{name}_total"), F.explode(F.split("content", "\n")).alias("line"))
+    key = F.xxhash64("line").alias("line"), (F.length("line") + 1).alias("size")
+    return lines.groupBy(name, f"{name}_total", *key).agg(F.count("*").alias(f"{name}_copies"))
+
+
+def _leading_lines(lines: DataFrame, counts: DataFrame, name: str, least: float) -> DataFrame:
+    """The rarest lines of each file, without a tail of common ones that weighs less than ``least`` of it.
+
+    Two files that share ``least`` of the longer one share a line that leads in both.
+    """
+    rest = Wd.partitionBy(name).orderBy("files", "line", "size").rowsBetween(0, Wd.unboundedFollowing)
+    return (
+        lines.join(counts, ["line", "size"])
+        .withColumn("rest", F.sum(F.col(f"{name}_copies") * F.col("size")).over(rest))
+        .filter(F.col("rest") >= F.col(f"{name}_total") * least)
+        .select("line", "size", name, f"{name}_total")
+    )
+
+
+def _unique_names(files: DataFrame, name: str) -> DataFrame:
+    """Paths by file name, for names that occur once."""
+    named = files.groupBy(F.substring_index("path", "/", -1).alias("name"))
+    return named.agg(F.min("path").alias(name), F.count("*").alias("n")).filter("n = 1").drop("n")
+
+
+def _similar(pairs: DataFrame, after: DataFrame, before: DataFrame, least: float) -> DataFrame:
+    """The pairs that share ``least`` of the longer file, with that share."""
+    longer = F.greatest("path_total", "old_path_total")
+    shared = F.sum(F.least("path_copies", "old_path_copies") * F.col("size"))
+    return (
+        pairs.join(after, "path")
+        .join(before, ["old_path", "line", "size"])
+        .groupBy("path", "old_path", longer.alias("longer"))
+        .agg(shared.alias("shared"))
+        .select("path", "old_path", (F.col("shared") / F.col("longer")).alias("share"))
+        .filter(F.col("share") >= least)
+    )
+
+
+def _edited_moves(gone: DataFrame, come: DataFrame, least: float) -> DataFrame:
+    """Files that moved and changed: those of one name first, then each other's most similar."""
+    after, before = stage(_weighed_lines(come, "path"), "lines"), stage(_weighed_lines(gone, "old_path"), "lines")
+    namesakes = _unique_names(come, "path").join(_unique_names(gone, "old_path"), "name").select("path", "old_path")
+    named = stage(_similar(namesakes, after, before, least).select("path", "old_path"), "namesakes")
+
+    after, before = after.join(named, "path", "left_anti"), before.join(named, "old_path", "left_anti")
+    key = ["line", "size"]
+    counts = after.select(*key).unionByName(before.select(*key)).groupBy(*key).agg(F.count("*").alias("files"))
+    leading = _leading_lines(after, counts, "path", least).join(_leading_lines(before, counts, "old_path", least), key)
+    fits = F.least("path_total", "old_path_total") >= F.greatest("path_total", "old_path_total") * least
+    pairs = leading.filter(fits).select("path", "old_path").distinct()
+    similar = stage(_similar(pairs, after, before, least), "similar")
+    best = similar.groupBy("path").agg(F.min(F.struct(-F.col("share"), "old_path")).alias("best"))
+    best_old = similar.groupBy("old_path").agg(F.min(F.struct(-F.col("share"), "path")).alias("best"))
+    mutual = best.select("path", "best.old_path").join(best_old.select("old_path", "best.path"), ["path", "old_path"])
+    return named.unionByName(mutual)
+
+
+def change_set(old: DataFrame, new: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """Added, modified and renamed files: ``(path, change_kind, old_path)``, the last NULL unless renamed.
+
+    A new path is renamed from a vanished one in three steps, each among the
+    files that the earlier ones left, and each path is used once:
+
+    1. equal contents, paired in path order;
+    2. equal file names that occur once on either side, if the files share ``least`` of the longer one;
+    3. files that share that much, each the other's most similar (ties: the smaller path).
+
+    The share is that of equal lines, copies counted, by characters. Only
+    vanished and new files are compared line by line, and only pairs that
+    share one of the lines rare enough to lead in both; files of mere common
+    lines meet by their names or all of their kind.
+    """
+    after, before = _digests(new), _digests(old)
+    come = stage(after.join(before.select("path"), "path", "left_anti"), "come")
+    gone = stage(before.join(after.select("path"), "path", "left_anti"), "gone")
+    moved = stage(_moved(gone, come), "moved")
+    left = stage(come.join(moved, "path", "left_anti").select("path"), "left")
+    lost = stage(gone.join(moved, gone["path"] == moved["old_path"], "left_anti").select("path"), "lost")
+    edited = _edited_moves(old.join(lost, "path", "left_semi"), new.join(left, "path", "left_semi"), least)
+    renames = stage(moved.unionByName(edited), "renames")
+    kind = F.when(F.col("old_path").isNotNull(), "renamed").otherwise(F.col("change_kind"))
+    return changed_files(old, new).join(renames, "path", "left").select("path", kind.alias("change_kind"), "old_path")
+
+
 def reviewable(changes: DataFrame) -> DataFrame:
     """Changes without generated artifacts, with their category."""
     return changes.filter(~P.is_artifact("path")).withColumn("category", P.category("path"))

@@ -1,4 +1,6 @@
 import json
+import random
+from collections import Counter
 
 import pytest
 
@@ -181,3 +183,53 @@ def test_result_documents_have_defaults(spark, tmp_path):
     (tmp_path / "d3.json").write_text("{}")
     got = rows(reports.summarize_documents(reports.read_documents(spark, str(tmp_path))))
     assert got == [(False, 0, 0, 0, 0, 0, 0), (False, 0, 0, 0, 0, 0, 0), (True, 1, 2, 1, 0, 9, 1)]
+
+
+def test_renames_in_three_steps(spark, frame):
+    """Equal contents in path order, then namesakes, then each other's most similar; what is left was added."""
+    text = "".join(f"line {i} of the file\n" for i in range(20))
+    other = "".join(f"entry {i} of another\n" for i in range(20))
+    old = frame(
+        FILES, ("a/x.py", "same"), ("b/x.py", "same"), ("c/x.py", "same"), ("lib/tool.py", text), ("lib/core.py", other),
+        ("kept.py", "1"), ("gone.py", "nothing like it"),
+    )
+    new = frame(
+        FILES, ("m/1.py", "same"), ("m/2.py", "same"), ("src/tool.py", "new head\n" + text), ("src/kernel.py", other + "new tail\n"),
+        ("src/nucleus.py", other + "a much longer new tail than the other one has\n"), ("kept.py", "2"), ("fresh.py", "quite new"),
+    )
+    assert rows(corpus.change_set(old, new)) == [
+        ("fresh.py", "added", None), ("kept.py", "modified", None), ("m/1.py", "renamed", "a/x.py"), ("m/2.py", "renamed", "b/x.py"),
+        ("src/kernel.py", "renamed", "lib/core.py"), ("src/nucleus.py", "added", None), ("src/tool.py", "renamed", "lib/tool.py"),
+    ]
+    assert rows(corpus.change_set(old, old)) == []
+
+
+def test_similar_renames_equal_brute_force(spark, frame):
+    """No pair that shares half of the longer file is lost by the leading lines."""
+    draw = random.Random(5)
+    words = [f"w{i}" for i in range(12)] + ["", "}"]
+
+    def text():
+        return "\n".join(draw.choices(words, weights=[1] * 12 + [9, 9], k=draw.randint(1, 9)))
+
+    old, new = {f"o{i:02}": text() for i in range(40)}, {f"n{i:02}": text() for i in range(40)}
+    found = dict((r.path, r.old_path) for r in corpus.change_set(frame(FILES, *old.items()), frame(FILES, *new.items())).collect())
+
+    pool_old, want = dict(old), dict.fromkeys(new)
+    for path in sorted(new):
+        same = sorted(p for p in pool_old if pool_old[p] == new[path])
+        if same:
+            want[path] = same[0]
+            del pool_old[same[0]]
+
+    def share(a, b):
+        both = Counter(a.split("\n")) & Counter(b.split("\n"))
+        return sum(n * (len(line) + 1) for line, n in both.items()) / (max(len(a), len(b)) + 1)
+
+    open_new = [p for p in new if want[p] is None]
+    near = {(p, q): share(new[p], pool_old[q]) for p in open_new for q in pool_old}
+    near = {pair: s for pair, s in near.items() if s >= corpus.SIMILAR}
+    best = {p: min((-s, q) for (x, q), s in near.items() if x == p)[1] for p in {x for x, _ in near}}
+    best_old = {q: min((-s, p) for (p, y), s in near.items() if y == q)[1] for q in {y for _, y in near}}
+    want.update({p: q for p, q in best.items() if best_old[q] == p})
+    assert found == want and sum(v is not None for v in want.values()) > 10
