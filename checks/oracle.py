@@ -690,6 +690,7 @@ from (select *, count(*) filter (op = 'create' and plan <> 'Unknown')
 # ---------------------------------------------------------------- streams --
 
 _SQL["st1_subscription_stream"] = _SQL["m4_subscriptions"]
+_SQL["st1_command_results"] = _SQL["m9_command_results"]
 _SQL["st2_dependency_edge_stream"] = _SQL["a3_dependency_edges"]
 _SQL["st3_plan_stream"] = _last_write("plan_writes", "plan", "basic")
 _SQL["st3_channel_stream"] = _last_write("channel_writes", "channel", "email")

@@ -600,16 +600,24 @@ def _event_stream(spark: SparkSession, sf: str, columns: str, where: str = "true
     return stream.filter(where).selectExpr(*[c.strip().replace("{K}", number) for c in columns.split(";")])
 
 
-@query
-def st1_subscription_stream(spark, sf):
-    commands = _event_stream(
+def _command_stream(spark: SparkSession, sf: str) -> DataFrame:
+    return _event_stream(
         spark, sf,
         "event_id as seq; ts; user_id;"
         "case event_type when 'signup' then 'create' when 'purchase' then 'upgrade' else 'cancel' end as op;"
         "case {K} % 4 when 0 then 'Basic' when 1 then 'Premium' when 2 then 'Enterprise' else 'Unknown' end as plan",
         "event_type in ('signup', 'purchase', 'error')",
     )
-    return _subscriptions(streams.subscription_stream(commands))
+
+
+@query
+def st1_subscription_stream(spark, sf):
+    return _subscriptions(streams.subscription_stream(_command_stream(spark, sf)))
+
+
+@query
+def st1_command_results(spark, sf):
+    return streams.command_result_stream(_command_stream(spark, sf))
 
 
 @query

@@ -22,6 +22,7 @@ PLANS = ["Basic", "Premium", "Enterprise"]
 CHANNELS = ["email", "sms", "push"]
 DEFAULT_PLAN = "basic"
 DEFAULT_CHANNEL = "email"
+NO_SUBSCRIPTION = "No subscription found for user: "
 # ---- end of fixed values ----
 
 
@@ -149,28 +150,31 @@ def subscription_of(current: DataFrame, users: DataFrame) -> DataFrame:
     return users.select("user_id").distinct().join(current, "user_id", "left")
 
 
-def command_results(commands: DataFrame) -> DataFrame:
-    """Each command with its rejection reason, NULL when accepted.
+def first_creates(commands: DataFrame) -> DataFrame:
+    """First valid create per user: ``(user_id, first_create)``."""
+    creates = commands.filter(_is_create())
+    return creates.groupBy("user_id").agg(F.min("seq").alias("first_create"))
 
-    Whether a subscription exists at a command depends only on the user's
-    first valid create, one small row per user.
-    """
-    is_create = (F.col("op") == "create") & is_known_plan()
-    first_create = (
-        commands.groupBy("user_id")
-        .agg(F.min(F.when(is_create, F.col("seq"))).alias("first_create"))
-        .filter(F.col("first_create").isNotNull())
-    )
+
+def judged(commands: DataFrame, creates: DataFrame) -> DataFrame:
+    """Each command with its rejection reason, given the first valid create of each user."""
     missing = F.col("first_create").isNull() | (F.col("first_create") > F.col("seq"))
     reason = F.when(
         F.col("op").isin("create", "upgrade") & ~is_known_plan(), F.concat(F.lit("Unknown plan: "), F.coalesce("plan", F.lit("")))
     ).when(
         F.col("op").isin("cancel", "upgrade") & missing,
-        F.concat(F.lit("No subscription found for user: "), F.col("user_id").cast("string")),
-    )
-    return commands.join(first_create, "user_id", "left").select(
-        "seq", "user_id", "op", "plan", reason.alias("reason")
+        F.concat(F.lit(NO_SUBSCRIPTION), F.col("user_id").cast("string")),
     )
+    return commands.join(creates, "user_id", "left").select("seq", "user_id", "op", "plan", reason.alias("reason"))
+
+
+def command_results(commands: DataFrame) -> DataFrame:
+    """Each command with its rejection reason, NULL when accepted.
+
+    Whether a subscription exists at a command depends only on the user's
+    first valid create, one small row per user.
+    """
+    return judged(commands, first_creates(commands))
 
 
 def latest_value(events: DataFrame, key: str, value: str, default: str | None = None) -> DataFrame:

@@ -47,8 +47,32 @@ def test_streams_go_on_where_they_stopped(spark, tmp_path):
         got = streams.subscription_stream(stream, **kept)
     assert rows(got) == rows(folds.subscriptions(spark.createDataFrame(commands, COMMANDS)))
     # Every file was read once: six batches, numbered on through the calls.
-    assert sorted(p.name for p in (tmp_path / "table" / "kind=batch").glob("id=*")) == [f"id={i}" for i in range(6)]
-    assert sorted(p.name for p in (tmp_path / "table" / "kind=folded").glob("id=*")) == ["id=1", "id=3", "id=5"]
+    assert sorted(p.name for p in (tmp_path / "checkpoint" / "commits").glob("[0-9]*")) == [str(i) for i in range(6)]
+    # The last fold has deleted what the one before it had covered.
+    assert sorted(p.name for p in (tmp_path / "table" / "kind=batch").glob("id=*")) == ["id=4", "id=5"]
+    assert sorted(p.name for p in (tmp_path / "table" / "kind=folded").glob("id=*")) == ["id=3", "id=5"]
+
+
+def test_command_result_stream_equals_batch(spark, tmp_path):
+    """Late creates change what earlier batches had to reject."""
+    commands = random_commands(400)
+    random.Random(8).shuffle(commands)
+    kept = {"path": str(tmp_path / "table"), "checkpoint": str(tmp_path / "checkpoint"), "compact_every": 2}
+    for part in (commands[300:], commands[:300]):
+        got = streams.command_result_stream(as_stream(spark, tmp_path, part, COMMANDS, batches=3), **kept)
+    want = rows(folds.command_results(spark.createDataFrame(commands, COMMANDS)))
+    assert rows(got) == want and {None, "Unknown plan: "} < {r[4] and r[4][:14] for r in want}
+
+
+def test_late_create_accepts_a_rejected_command(spark, tmp_path):
+    at = datetime(2024, 1, 1)
+    kept = {"path": str(tmp_path / "table"), "checkpoint": str(tmp_path / "checkpoint")}
+    reasons = []
+    for command in ((5, at, 1, "cancel", None), (7, at, 1, "create", "Basic"), (3, at, 1, "create", "Basic")):
+        got = streams.command_result_stream(as_stream(spark, tmp_path, [command], COMMANDS, batches=1), **kept)
+        reasons.append({r.seq: r.reason for r in got.collect()})
+    rejected = "No subscription found for user: 1"
+    assert reasons == [{5: rejected}, {5: rejected, 7: None}, {3: None, 5: None, 7: None}]
 
 
 def test_edge_stream_equals_distinct(spark, tmp_path):
