@@ -177,11 +177,16 @@ def command_results(commands: DataFrame) -> DataFrame:
     return judged(commands, first_creates(commands))
 
 
+def last_writes(events: DataFrame, key: str, value: str) -> DataFrame:
+    """Last write per key by ``seq``, with its number: ``(key, seq, value)``. One aggregation, merged within tasks first."""
+    last = events.groupBy(key).agg(F.max("seq").alias("seq"), F.max_by(value, "seq").alias(value))
+    return last.select(key, "seq", value)
+
+
 def latest_value(events: DataFrame, key: str, value: str, default: str | None = None) -> DataFrame:
     """Last write per key by ``seq``; a missing value takes the default."""
     written = F.col(value) if default is None else F.coalesce(F.col(value), F.lit(default))
-    last = events.groupBy(key).agg(F.max("seq").alias("seq"))
-    return events.select(key, "seq", written.alias(value)).join(last, [key, "seq"], "left_semi").select(key, value)
+    return last_writes(events, key, value).select(key, written.alias(value))
 
 
 def plan_preferences(events: DataFrame) -> DataFrame:

@@ -69,7 +69,7 @@ class Updates:
 
 
 def _run(stream: DataFrame, updates: Updates | CommandResults, checkpoint: str, trigger: dict | None, every: int):
-    writer = stream.writeStream.foreachBatch(lambda batch, number: updates.save(batch, number, every))
+    writer = stream.writeStream.outputMode("update").foreachBatch(lambda batch, number: updates.save(batch, number, every))
     return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
@@ -189,12 +189,14 @@ def last_write_stream(
     events: DataFrame, key: str, value: str, default: str | None = None, path: str | None = None,
     checkpoint: str | None = None, trigger: dict | None = None, compact_every: int = COMPACT_EVERY,
 ) -> DataFrame:
-    """Last write per key of a stream, equal to :func:`folds.latest_value`."""
+    """Last write per key of a stream, equal to :func:`folds.latest_value`.
 
-    def last(rows: DataFrame) -> DataFrame:
-        top = rows.groupBy(key).agg(F.max("seq").alias("seq"))
-        return rows.join(top, [key, "seq"], "left_semi").select(key, "seq", value)
-
-    chosen = events.select(key, "seq", value)
-    updates = _kept(chosen, last, f"last_{value}_stream", path, checkpoint, trigger, compact_every)
+    A streaming aggregation: the state store holds one write per key, merged
+    within tasks before the shuffle, and a batch hands on only the keys it
+    changed.
+    """
+    updates = _kept(
+        folds.last_writes(events, key, value), lambda rows: folds.last_writes(rows, key, value), f"last_{value}_stream",
+        path, checkpoint, trigger, compact_every,
+    )
     return folds.latest_value(updates.rows(), key, value, default)

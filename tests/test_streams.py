@@ -88,3 +88,13 @@ def test_last_write_stream_equals_batch(spark, tmp_path):
     stream = as_stream(spark, tmp_path, writes, schema)
     got = streams.last_write_stream(stream, "user_id", "plan", folds.DEFAULT_PLAN)
     assert rows(got) == rows(folds.plan_preferences(spark.createDataFrame(writes, schema)))
+
+
+def test_last_writes_come_late_and_twice(spark, tmp_path):
+    """State goes on through calls; an older write that comes late changes nothing, a NULL is a write."""
+    schema = "seq long, user_id string, plan string"
+    kept = {"path": str(tmp_path / "table"), "checkpoint": str(tmp_path / "checkpoint"), "compact_every": 2}
+    for part in ([(5, "a", "p5"), (4, "b", "p4")], [(3, "a", "p3"), (6, "b", None)], [(5, "a", "p5")]):
+        stream = as_stream(spark, tmp_path, part, schema, batches=1)
+        got = streams.last_write_stream(stream, "user_id", "plan", "basic", **kept)
+    assert rows(got) == [("a", "p5"), ("b", "basic")]
