@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ripplemark.functions import facts as X
 from ripplemark.functions import paths as P
+from ripplemark.session import stage
 
 FACT_ROWS = "path string, key string, value string, value_type string"
 SERVICE_ROWS = "path string, service string"
@@ -261,7 +262,10 @@ def _arrow_facts(files: DataFrame) -> DataFrame:
 
 def config_facts(files: DataFrame) -> DataFrame:
     """Settings of all files: ``(path, key, value, value_type)``."""
-    known = files.withColumn("format", config_format("path")).filter(F.col("format").isNotNull())
+    return _facts_of_known(files.withColumn("format", config_format("path")).filter(F.col("format").isNotNull()))
+
+
+def _facts_of_known(known: DataFrame) -> DataFrame:
     return _native_facts(known).unionByName(_arrow_facts(known))
 
 
@@ -294,6 +298,46 @@ def config_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
+def _changed_texts(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Configuration files whose texts differ: ``(path, format, old, new)``; a missing file has no text."""
+    before, after = (
+        files.filter(config_format("path").isNotNull()).select("path", F.col("content").alias(name))
+        for files, name in ((old, "old"), (new, "new"))
+    )
+    both = before.join(after, "path", "full_outer").filter(~F.col("old").eqNullSafe(F.col("new")))
+    return both.select("path", config_format("path").alias("format"), "old", "new")
+
+
+def _pair_id() -> Column:
+    """Digest of a format and two texts, each with its length."""
+    parts = [F.concat(F.coalesce(F.length(c).cast("string"), F.lit("-")), F.lit(":"), F.coalesce(c, F.lit(""))) for c in ("format", "old", "new")]
+    return F.sha2(F.concat(*parts), 256)
+
+
+def _changes_of_pairs(texts: DataFrame) -> DataFrame:
+    """Changes by pair of texts, each distinct pair read once: as :func:`config_changes`, with the pair's id as ``path``."""
+    pairs = stage(texts.select("format", "old", "new").distinct().select(_pair_id().alias("path"), "*"), "pairs")
+    old, new = (_facts_of_known(pairs.select("path", "format", F.col(c).alias("content"))) for c in ("old", "new"))
+    return config_changes(old, new)
+
+
+def distinct_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Settings that differ between two revisions ``(path, content)``, once for all files of equal texts: ``(key, old_value, ...)``.
+
+    What asks for keys and values only needs no path. Files of equal texts
+    in both revisions are not read.
+    """
+    return _changes_of_pairs(_changed_texts(old, new)).drop("path")
+
+
+def file_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """:func:`config_changes` of two revisions ``(path, content)``, which reads each distinct pair of differing texts once."""
+    texts = stage(_changed_texts(old, new), "changed_texts")
+    changes = stage(_changes_of_pairs(texts).withColumnRenamed("path", "pair"), "pair_changes")
+    paths = texts.select("path", _pair_id().alias("pair"))
+    return paths.join(changes, "pair").select("path", "key", "old_value", "old_type", "new_value", "new_type")
+
+
 def key_union(old: DataFrame, new: DataFrame) -> DataFrame:
     """All keys of two revisions, per file."""
     return old.select("path", "key").union(new.select("path", "key")).distinct()

@@ -15,6 +15,5 @@ def tests_of_config_change(old: DataFrame, new: DataFrame, access: DataFrame) ->
     ``(test_id, config_key)``. The changed keys are staged, so the access
     log is shuffled by key only when they are too many to broadcast.
     """
-    changes = configs.config_changes(configs.config_facts(old), configs.config_facts(new))
-    keys = stage(changes.selectExpr("key as config_key").distinct(), "changed_keys")
+    keys = stage(configs.distinct_changes(old, new).selectExpr("key as config_key").distinct(), "changed_keys")
     return selection.select_by_config(selection.dependency_edges(access), keys)

@@ -254,3 +254,19 @@ def test_deep_lists_lose_no_settings(frame):
         assert got in ({}, {"a": "1", "b": "[" * depth + "]" * depth, "c": "2"})
         assert depth > 500 or got
     assert configs._printed([{"b": {2: 1.0}, "a": {"y", "x"}}, [None, True, (1.5, "é")]]) == '[{"a":["x","y"],"b":{"2":1}},[null,true,[1.5,"é"]]]'
+
+
+def test_changes_of_files_read_each_pair_of_texts_once(frame, monkeypatch):
+    """Equal to the comparison of all settings; files of equal texts are not read, copies of a pair are read once."""
+    old = [(f"a{i}.json", '{"x": 1, "y": 2}') for i in range(50)] + [("same.yaml", "k: 1"), ("gone.env", "A=1"), ("none.json", None)]
+    new = [(f"a{i}.json", '{"x": 1, "y": 3}') for i in range(50)] + [("same.yaml", "k: 1"), ("come.properties", "a=1\nb=2"), ("none.json", '{"z": 0}')]
+    old += [("b.yaml", "kind: K\nv: 1"), ("b.xml", "<r><a>1</a></r>"), ("b.json", '{"x": 1, "y": 2}'), ("b.js", "x = {y: 2}"), ("b.txt", "A=1")]
+    new += [("b.yaml", "kind: K\nv: 1.0"), ("b.xml", "<r><a>2</a></r>"), ("b.json", '{"x": 1}'), ("b.js", "x = {y: 3}"), ("b.txt", "A=2")]
+    before, after = (frame("path string, content string", *rows_) for rows_ in (old, new))
+    want = rows(configs.config_changes(configs.config_facts(before), configs.config_facts(after)))
+    read = []
+    known = configs._facts_of_known
+    monkeypatch.setattr(configs, "_facts_of_known", lambda files: (read.append(files.count()), known(files))[1])
+    assert rows(configs.file_changes(before, after)) == want and len(want) == 57
+    assert read == [8, 8]
+    assert set(rows(configs.distinct_changes(before, after))) == {r[1:] for r in want}
