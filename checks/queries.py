@@ -56,6 +56,10 @@ def _config_changes(spark: SparkSession, sf: str) -> DataFrame:
     return configs.config_changes(_facts(spark, sf, "config_old"), _facts(spark, sf, "config_new"))
 
 
+def _config_revisions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return view(spark, sf, "config_old"), view(spark, sf, "config_new")
+
+
 def _impact(spark: SparkSession, sf: str) -> impact.ImpactRun:
     return impact.analyze(*_revisions(spark, sf))
 
@@ -218,7 +222,7 @@ def t4_config_terms(spark, sf):
 
 @query
 def t5_change_terms(spark, sf):
-    return terms.change_terms(_config_changes(spark, sf))
+    return terms.change_terms(configs.distinct_changes(*_config_revisions(spark, sf)))
 
 
 @query
