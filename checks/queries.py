@@ -232,7 +232,7 @@ def t6_service_mentions(spark, sf):
 
 @query
 def t7_services_in_keys(spark, sf):
-    return services.services_in_keys(_config_changes(spark, sf))
+    return services.services_in_keys(configs.distinct_changes(*_config_revisions(spark, sf)))
 
 
 @query
