@@ -52,10 +52,6 @@ def _facts_of(spark: SparkSession, sf: str, suffix: str) -> DataFrame:
     return configs.config_facts(files)
 
 
-def _config_changes(spark: SparkSession, sf: str) -> DataFrame:
-    return configs.config_changes(_facts(spark, sf, "config_old"), _facts(spark, sf, "config_new"))
-
-
 def _config_revisions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return view(spark, sf, "config_old"), view(spark, sf, "config_new")
 
@@ -292,7 +288,7 @@ def c8_config_facts(spark, sf):
 
 @query
 def c9_config_changes(spark, sf):
-    return _config_changes(spark, sf)
+    return configs.file_changes(*_config_revisions(spark, sf))
 
 
 @query
