@@ -274,6 +274,9 @@ def _closure(name: str) -> tuple[str, ...]:
 # Corpora are tables in their own right: written once per session and input,
 # then read like any stored corpus, with columns and sizes known to the planner.
 STORED = ("files_old", "files_new", "files_moved", "config_old", "config_new")
+# The corpora of texts are as large as their table and cost one concatenation a file, so they are read from it directly
+# where its scan has a task for every core; no text is then shuffled or written again.
+TEXTS = ("files_old", "files_new", "files_moved")
 _stored: dict[tuple[str, str, str], DataFrame] = {}
 
 
@@ -283,10 +286,15 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return _build(spark, sf_dir, name)
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _stored:
-        _stored[key] = stage(_build(spark, sf_dir, name).repartition("path"), name)
+        built = _build(spark, sf_dir, name)
+        _stored[key] = built if name in TEXTS and _in_enough_tasks(spark, sf_dir) else stage(built.repartition("path"), name)
     return _stored[key]
 
 
+def _in_enough_tasks(spark: SparkSession, sf_dir: str) -> bool:
+    return table(spark, sf_dir, "documents")._jdf.queryExecution().toRdd().getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def _build(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = _render(VIEWS[name], SPARK)
     used: dict[str, DataFrame] = {}

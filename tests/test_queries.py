@@ -8,6 +8,7 @@ import pytest
 from checks.compare import compare, connect
 from checks.oracle import ORACLE
 from checks.queries import QUERIES
+from checks.views import view
 
 SF_DIR = "/root/testdata/sf0.001"
 ROOT = Path(__file__).resolve().parents[1]
@@ -41,3 +42,16 @@ def test_sources_keep_to_the_rules():
     core = "\n".join(p.read_text() for p in files if "llm" not in p.parts)
     for banned in ("broadcast(", "toLocalIterator"):
         assert banned not in core
+
+
+def test_texts_are_neither_shuffled_nor_written_again(spark, tmp_path):
+    """A table in enough files is read where it lies; one in a single file is dealt out first, with the same rows."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    many, one = str(tmp_path / "many"), str(tmp_path / "one")
+    docs.repartition(16).write.parquet(f"{many}/documents.parquet")
+    docs.coalesce(1).write.parquet(f"{one}/documents.parquet")
+    for name in ("files_old", "files_new", "files_moved"):
+        near, dealt = view(spark, many, name), view(spark, one, name)
+        assert "documents.parquet" in near.inputFiles()[0] and "Exchange" not in near._jdf.queryExecution().toString()
+        assert "documents.parquet" not in dealt.inputFiles()[0]
+        assert near.count() == dealt.count() and near.exceptAll(dealt).isEmpty()
