@@ -17,6 +17,8 @@ from ripplemark.session import stage
 #: Bytes of an Arrow batch. Rows of documents are long, and both sides of a Python stage hold a batch or two per task.
 BATCH = "4m"
 BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Steps are tables, so what a step has shuffled is of no use once its table is written.
+CLEANUP_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def in_small_batches(spark: SparkSession) -> None:
@@ -25,6 +27,11 @@ def in_small_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_SETTING, BATCH)
 
 
+def without_old_shuffles(spark: SparkSession) -> None:
+    """Lets the session delete shuffled files when their query is done; results do not depend on it."""
+    spark.conf.set(CLEANUP_SETTING, "true")
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a known language go."""
     in_small_batches(spark)
@@ -37,7 +44,7 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8) the document with the smallest id stays."""
+    """Of each group of near copies (SimHash, then the rest; five-word shingles, similarity 0.8) the smallest id stays."""
     in_small_batches(spark)
     return shingles.one_of_each(docs)
 
@@ -67,6 +74,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to ``documents``."""
+    without_old_shuffles(spark)
     docs = table(spark, sf_dir, "documents")
     for name, function in STAGES[:-1]:
         docs = stage(function(spark, docs, sf_dir), name)

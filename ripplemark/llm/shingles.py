@@ -1,9 +1,15 @@
-"""Near copies by the similarity of their word shingles.
+"""Near copies by SimHash, verified on word shingles, and an exact way for the rest.
 
 Two texts are near copies if the Jaccard similarity of their sets of word
-shingles reaches a limit t. A 64-bit fingerprint cannot promise that: texts of
-similarity 0.8 differ by about 10 of 64 bits and some by twice that. So
-candidates come from a prefix filter, which loses none: put in one order,
+shingles reaches a limit t. First comes SimHash: each set has a 64-bit
+fingerprint, the segment-popcount grid of ``simhash`` links fingerprints of
+few differing bits, and each node of a linked family is verified on whole
+sets against the family's first. What is verified is one family in all that
+follows, and shingles that only one family has are not looked at again.
+
+A fingerprint cannot promise all pairs: texts of similarity 0.8 differ by
+about 10 of 64 bits and some by twice that. So the rest of the candidates
+come from a prefix filter, which loses none: put in one order,
 two sets of similarity t share one of their first n - ceil(t n) + 1 shingles
 each, and what follows a shared shingle bounds the overlap still possible.
 Shingles that a sample shows to be frequent come last in the order, so they
@@ -38,10 +44,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ripplemark.llm.common import connected, small_side
-from ripplemark.llm.simhash import first_of_each, row_name
-from ripplemark.session import stage
+from ripplemark.llm.simhash import byte_bits, first_of_each, linked, row_name, set_fingerprint
+from ripplemark.session import passing_stages, stage
 
 WORDS, SIMILARITY = 5, 0.8
+#: Bits by which fingerprints of one SimHash family may differ.
+DISTANCE = 4
 #: Texts whose shingles are counted for the order, in how many of them a shingle is frequent, and how many such shingles
 #: the order knows at most (16 bytes each; it is an order only, so that nothing depends on it but the time).
 SAMPLE, OFTEN, ORDERED = 8_000, 6, 200_000
@@ -88,18 +96,23 @@ def frequent(bodies: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(rows: DataFrame, order: tuple[np.ndarray, np.ndarray], words: int, similarity: float) -> DataFrame:
-    """The rows with ``node, n, rare, prefix`` in place of ``body``; ``rare`` counts shingles that the order does not know."""
+    """The rows with ``node, n, rare, fp, prefix`` in place of ``body``.
+
+    ``rare`` counts shingles that the order does not know, ``fp`` is the SimHash of the set.
+    """
     kept = [c for c in rows.columns if c != "body"]
     shared = rows.sparkSession.sparkContext.broadcast(order)
 
     def read(batches):
         common, counts = shared.value
+        bits = byte_bits()
         for batch in batches:
-            nodes, sizes, rare, found = [], [], [], []
+            nodes, sizes, rare, prints, found = [], [], [], [], []
             for text in batch.column("body").cast(pa.large_binary()):
                 own = shingle_set(text.as_py() or b"", words)
                 nodes.append(node_of(own))
                 sizes.append(len(own))
+                prints.append(set_fingerprint(own, bits))
                 # The allowance keeps a product like 0.8 * 5 from being rounded up.
                 length = len(own) - math.ceil(similarity * len(own) - 1e-9) + 1 if len(own) else 0
                 unknown = len(own)
@@ -109,11 +122,11 @@ def prefixes(rows: DataFrame, order: tuple[np.ndarray, np.ndarray], words: int,
                     own, unknown = own[np.lexsort((own, known))], int((known == 0).sum())
                 rare.append(unknown)
                 found.append(own[:length])
-            columns = [pa.array(x, pa.int64()) for x in (nodes, sizes, rare)] + [pa.array(found, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), *columns], [*kept, "node", "n", "rare", "prefix"])
+            columns = [pa.array(x, pa.int64()) for x in (nodes, sizes, rare, prints)] + [pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), *columns], [*kept, "node", "n", "rare", "fp", "prefix"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "body")
-    return rows.select(*kept, "body").mapInArrow(read, f"{schema}, node bigint, n bigint, rare bigint, prefix array<bigint>")
+    return rows.select(*kept, "body").mapInArrow(read, f"{schema}, node bigint, n bigint, rare bigint, fp bigint, prefix array<bigint>")
 
 
 def shingle_sets(rows: DataFrame, words: int) -> DataFrame:
@@ -262,11 +275,33 @@ def in_clusters(close: DataFrame, sets: DataFrame, similarity: float) -> DataFra
     return edges_of(known).union(stage(similar(pairs, sets, similarity), "verified"))
 
 
+def simhash_links(rows: DataFrame, bodies: DataFrame, words: int, similarity: float, distance: int = DISTANCE) -> DataFrame:
+    """``a, b``: nodes and the first node of their SimHash family, where their sets are similar. ``rows``: names with ``node, fp``."""
+    keys = [c for c in bodies.columns if c != "body"]
+    roots = stage(linked(rows.select("fp").distinct(), distance), "fingerprints")
+    placed = rows.join(roots.select(F.col("node").alias("fp"), "root"), "fp").groupBy("node", "root")
+    placed = stage(placed.agg(F.min(F.struct(*keys)).alias("name")).select("node", "root", "name.*"), "nodes")
+    first = placed.groupBy("root").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("nodes")).where("nodes > 1").select("root", "b")
+    pairs = stage(placed.join(first, "root").where("node <> b").select(F.col("node").alias("a"), "b"), "likely")
+    sets = sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), bodies, placed.drop("root"), words)
+    return similar(pairs, sets, similarity)
+
+
 def near_copies(rows: DataFrame, bodies: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """``node, root`` of the nodes that reach another one. ``rows``: names with ``node, n, rare, prefix``."""
+    """``node, root`` of the nodes that reach another one. ``rows``: names with ``node, n, rare, fp, prefix``."""
+    with passing_stages(rows.sparkSession) as keep:
+        alike = keep(simhash_links(rows, bodies, words, similarity), "alike")
+    with passing_stages(rows.sparkSession) as keep:
+        return keep(exact_rest(rows, bodies, alike, words, similarity), "roots")
+
+
+def exact_rest(rows: DataFrame, bodies: DataFrame, alike: DataFrame, words: int, similarity: float) -> DataFrame:
+    """``node, root`` of the nodes that reach another one, by the links ``alike`` and all others there are."""
     keys = [c for c in bodies.columns if c != "body"]
+    of_family = small_side(stage(connected(alike), "families"))
     each = rows.select("node", "n", "rare", F.posexplode("prefix").alias("place", "s"))
-    shared = stage(each.groupBy("s").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("s"), "shared")
+    held = with_family(rows.select("node", "prefix"), of_family).select("family", F.explode("prefix").alias("s"))
+    shared = stage(held.groupBy("s").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).where("lo <> hi").select("s"), "shared")
     posts = stage(each.join(small_side(shared), "s", "left_semi").distinct(), "postings")
     name = F.min(F.struct(*keys)).alias("name")
     names = rows.join(posts.select("node").distinct(), "node", "left_semi").groupBy("node").agg(name).select("node", "name.*")
@@ -280,7 +315,7 @@ def near_copies(rows: DataFrame, bodies: DataFrame, words: int = WORDS, similari
     central = stage(central.select(F.col("node").alias("a"), F.col("pick.node").alias("b")), "central")
     sets = sets_of(central.select(F.col("a").alias("node")).union(central.select("b")), bodies, names, words)
     close = stage(deltas(central, sets, similarity), "deltas")
-    inside = stage(in_clusters(close, sets, similarity), "inside")
+    inside = stage(in_clusters(close, sets, similarity).union(alike), "inside")
     known = stage(connected(inside), "families")
     member = close.select("node", "centre")
     centres = close.select(F.col("centre").alias("node")).distinct().join(member, "node", "left_anti")
@@ -306,7 +341,9 @@ def one_of_each(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     """All columns of the documents that stay: of each group of near copies the row with the smallest doc_id."""
     name = row_name()
     bodies = docs.select(*name, F.col("text").cast("string").alias("body"))
-    rows = stage(prefixes(bodies, frequent(bodies, words), words, similarity), "shingles")
-    roots = stage(near_copies(rows, bodies, words, similarity), "roots")
-    members = rows.groupBy("no_id", "id", "h", "node").count().join(roots, "node", "left")
-    return first_of_each(docs, stage(members.withColumn("root", F.coalesce("root", "node")), "members"))
+    with passing_stages(docs.sparkSession) as keep:
+        rows = stage(prefixes(bodies, frequent(bodies, words), words, similarity), "shingles")
+        roots = near_copies(rows, bodies, words, similarity)
+        members = rows.groupBy("no_id", "id", "h", "node").count().join(roots, "node", "left")
+        members = keep(members.withColumn("root", F.coalesce("root", "node")), "members")
+    return first_of_each(docs, members)

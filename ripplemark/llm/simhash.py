@@ -41,6 +41,26 @@ def byte_bits() -> np.ndarray:
     return np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
+def octet_counts(hashes: np.ndarray) -> np.ndarray:
+    """How often each octet stands at each of the eight places of the 64-bit hashes."""
+    octets = hashes.view(np.uint8).reshape(-1, 8)
+    return np.bincount((octets + np.arange(8, dtype=np.int64) * 256).ravel(), minlength=2048).reshape(8, 256)
+
+
+def majority(counts: np.ndarray, total: int, bits: np.ndarray) -> int:
+    """The bits set in over half of ``total`` hashes, as a signed number."""
+    ones = (counts @ bits).ravel()
+    return int(np.packbits(2 * ones > total, bitorder="little").view("<i8")[0])
+
+
+def set_fingerprint(hashes: np.ndarray, bits: np.ndarray) -> int:
+    """SimHash of distinct 64-bit hashes; zero of none."""
+    counts = np.zeros((8, 256), dtype=np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        counts += octet_counts(np.ascontiguousarray(hashes[at : at + CHUNK], dtype="<i8"))
+    return majority(counts, len(hashes), bits)
+
+
 def fingerprint(data: bytes, words: int = 4, bits: np.ndarray | None = None) -> int:
     """64-bit SimHash as a signed number: majority of the shingles' XXH64 (seed 42)."""
     bits = byte_bits() if bits is None else bits
@@ -55,13 +75,10 @@ def fingerprint(data: bytes, words: int = 4, bits: np.ndarray | None = None) ->
     stops = ends[width - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
     counts = np.zeros((8, 256), dtype=np.int64)
-    places = np.arange(8, dtype=np.int64) * 256
     for at in range(0, total, CHUNK):
         hashes = [digest(joined[a:b], 42) for a, b in zip(starts[at : at + CHUNK], stops[at : at + CHUNK])]
-        octets = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
-        counts += np.bincount((octets + places).ravel(), minlength=2048).reshape(8, 256)
-    ones = (counts @ bits).ravel()
-    return int(np.packbits(2 * ones > total, bitorder="little").view("<i8")[0])
+        counts += octet_counts(np.array(hashes, dtype="<u8"))
+    return majority(counts, total, bits)
 
 
 def fingerprints(rows: DataFrame, words: int = 4) -> DataFrame:

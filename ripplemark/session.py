@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,9 +53,34 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Sub-folder of the stage tables that are being made.
+_within: ContextVar[str] = ContextVar("within", default="")
+
+
 def stage_path(spark: SparkSession, label: str) -> str:
     """A fresh folder below the shared one."""
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{_within.get()}{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def passing_stages(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Deletes the stage tables made inside at its end; the function it gives stages what is to stay."""
+    outer = _within.get()
+    inner = f"{outer}passing-{uuid.uuid4().hex}/"
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        _within.set(outer)
+        try:
+            return stage(df, label)
+        finally:
+            _within.set(inner)
+
+    _within.set(inner)
+    try:
+        yield keep
+    finally:
+        _within.set(outer)
+        delete(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{inner}")
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

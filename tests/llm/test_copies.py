@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from pathlib import Path
 from collections import Counter, defaultdict
 
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from ripplemark.llm import exact_dedup, line_dedup, shingles, simhash
 from ripplemark.llm.common import connected
+from ripplemark.session import shared_dir
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, h long, fp string, row string"
 
@@ -272,6 +274,23 @@ def joined_rows(spark, texts, monkeypatch):
     return sum(seen), kept
 
 
+def test_near_copies_come_by_simhash_and_its_tables_go(spark, monkeypatch):
+    """Links of the grid, verified; only similar ones, and with the exact rest all; tables on the way are deleted."""
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    texts = [" ".join(base), " ".join([*base[:149], "new"]), " ".join(base[::-1]), " ".join([*base[:75], "x", "y", *base[77:]])]
+    texts += [" ".join(f"v{r.randrange(10**6)}" for _ in range(40)) for _ in range(30)]
+    found, exact = [], shingles.exact_rest
+    monkeypatch.setattr(shingles, "exact_rest", lambda rows, bodies, alike, *a: (found.extend(map(tuple, alike.collect())), exact(rows, bodies, alike, *a))[1])
+    kept = sorted(x.doc_id for x in corpus_pipeline.one_of_near_copies(spark, docs_of(spark, [(i, t, "a") for i, t in enumerate(texts)]), "").collect())
+    assert kept == plain_near_copies([(i, t, "a") for i, t in enumerate(texts)]) == [0, 2, *range(4, 34)]
+    nodes = [shingles.node_of(shingles.shingle_set(t.encode())) for t in texts]
+    prints = [simhash.set_fingerprint(shingles.shingle_set(t.encode()), simhash.byte_bits()) for t in texts]
+    assert (prints[0] ^ prints[1]).bit_count() <= 4 and {nodes[0], nodes[1]} in [set(pair) for pair in found]
+    folder = Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+    assert not list(folder.glob("passing-*"))
+
+
 def test_candidates_of_a_large_group(spark, monkeypatch):
     """Copies of one text with one word changed: as many comparisons for each, however many they are."""
     r = random.Random(3)
