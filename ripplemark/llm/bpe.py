@@ -37,10 +37,12 @@ from ripplemark.llm.common import kept_by_worker
 
 #: Entries of one generation of a worker's piece cache, nodes at which its trie starts anew, and pairs it remembers.
 CACHED_PIECES = 150_000
-TRIE_NODES = 400_000
-KNOWN_PAIRS = 300_000
+TRIE_NODES = 100_000
+KNOWN_PAIRS = 170_000
 #: Bytes of a word down to which its prefixes are nodes.
 DEEP = 64
+#: Last bytes of a prefix by which the sizes of its possible last tokens are known.
+TAIL = 4
 NEVER = 1 << 40
 ROWS_AT_ONCE = 128
 
@@ -48,6 +50,7 @@ ROWS_AT_ONCE = 128
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 PIECE = re.compile(f" (?=[^{SPACES}])")
+LINE = re.compile(f"\n(?=[^{SPACES}])")
 
 
 def byte_letters() -> dict[str, int]:
@@ -76,20 +79,34 @@ class Vocabulary:
         ids = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.ids = {raw(t): i for t, i in ids.items() if t not in self.special}
-        self.rank, self.parts, self.born = {}, {}, dict.fromkeys(self.ids.values(), -1)
+        top = max([*self.ids.values(), *self.special.values()])
+        # Bytes, length, the parts of its first merge and that merge's rank, by id.
+        self.bytes, self.lengths, self.parts, self.born = [b""] * (top + 1), [0] * (top + 1), [None] * (top + 1), [-1] * (top + 1)
+        for t, i in self.ids.items():
+            self.bytes[i], self.lengths[i] = t, len(t)
+        for t, i in self.special.items():
+            self.bytes[i] = t.encode()
+        self.rank: dict[tuple[int, int], int] = {}
         for n, merge in enumerate(spec["model"]["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
-            a, b = ids[left], ids[right]
+            pair = ids[left], ids[right]
             made = ids[left + right]
-            self.rank[a, b] = n
-            if made not in self.parts:
-                self.parts[made], self.born[made] = (a, b), n
-        self.lengths = {i: len(t) for t, i in self.ids.items()}
+            self.rank[pair] = n
+            if self.parts[made] is None:
+                self.parts[made], self.born[made] = pair, n
         ends: dict[bytes, set[int]] = defaultdict(set)
         for t in self.ids:
-            ends[t[-2:]].add(len(t))
-        # Sizes of the entries that end with two bytes, longest first; the single byte always ends them.
-        self.sizes = {end: tuple(sorted(n | {1}, reverse=True)) for end, n in ends.items()}
+            ends[t[-TAIL:]].add(len(t))
+        # Sizes of the entries that end a text whose last bytes are the key, longest first. A shorter key is a text of its
+        # own or stands for longer ones that no entry as long as TAIL ends.
+        keys = {end[k:] for end in ends for k in range(len(end))}
+        shared: dict[tuple[int, ...], tuple[int, ...]] = {}
+        self.sizes: dict[bytes, tuple[int, ...]] = {}
+        for key in keys:
+            found = {n for n in range(2, len(key) + 1) if key[-n:] in self.ids} | {1}
+            found |= ends[key] if len(key) == TAIL else set()
+            sizes = tuple(sorted(found, reverse=True))
+            self.sizes[key] = shared.setdefault(sizes, sizes)
         self.known: dict[int, bool] = {}
 
     def apart(self, a: int, b: int) -> bool:
@@ -139,8 +156,8 @@ class Trie:
 
     def encode(self, words: list[str]) -> list[bytes]:
         """Ids (little-endian, 32 bits) of words; sorted words make the nodes in depth-first order."""
-        ids, lengths, sizes = self.vocabulary.ids, self.vocabulary.lengths, self.vocabulary.sizes
-        apart, known = self.vocabulary.apart, self.vocabulary.known
+        ids, lengths, sizes = self.vocabulary.ids, self.vocabulary.lengths, self.vocabulary.sizes.get
+        apart, known = self.vocabulary.apart, self.vocabulary.known.get
         out = []
         for word in words:
             if len(self.last) > TRIE_NODES:
@@ -149,34 +166,35 @@ class Trie:
             data = word.encode()
             size = len(data)
             # The last token of each prefix of this word.
-            ends = array("i", [-1])
-            node = depth = 0
-            while depth < size:
-                child = below.get(node << 8 | data[depth])
+            ends = [-1] if size <= DEEP else array("i", [-1])
+            node = 0
+            for byte in data:
+                child = below.get(node << 8 | byte)
                 if child is None:
                     break
                 node = child
-                depth += 1
                 ends.append(last[node])
-            while depth < size:
-                depth += 1
-                for n in sizes.get(data[max(depth - 2, 0) : depth], (1,)):
-                    if n > depth:
-                        continue
+            for depth in range(len(ends), size + 1):
+                tail = data[depth - TAIL : depth] if depth > TAIL else data[:depth]
+                for n in sizes(tail) or sizes(tail[-3:]) or sizes(tail[-2:]) or (1,):
+                    if n >= depth:
+                        if n > depth:
+                            continue
+                        token = ids.get(data[:depth])
+                        if token is None:
+                            continue
+                        break
                     token = ids.get(data[depth - n : depth])
                     if token is None:
                         continue
-                    if n == depth:
-                        break
                     before = ends[depth - n]
-                    fits = known.get(before << 20 | token)
+                    fits = known(before << 20 | token)
                     if fits or fits is None and apart(before, token):
                         break
                 ends.append(token)
                 if depth <= DEEP:
-                    child = below[node << 8 | data[depth - 1]] = len(last)
+                    below[node << 8 | data[depth - 1]] = node = len(last)
                     last.append(token)
-                    node = child
             coded = array("I")
             while size:
                 token = ends[size]
@@ -187,21 +205,24 @@ class Trie:
         return out
 
 
-class Pieces(dict):
+class Pieces:
     """A cache of two generations: what is used again moves to the newer one."""
 
     def __init__(self):
-        super().__init__()
+        self.recent: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def __missing__(self, piece):
-        self[piece] = found = self.old[piece]
-        return found
+    def unknown(self, pieces: set[str]) -> set[str]:
+        """Those not held; the others are in the newer generation then."""
+        absent = pieces.difference(self.recent)
+        new = absent.difference(self.old)
+        for piece in absent - new:
+            self.recent[piece] = self.old[piece]
+        return new
 
     def age(self, most: int) -> None:
-        if len(self) > most:
-            self.old = dict(self)
-            self.clear()
+        if len(self.recent) > most:
+            self.old, self.recent = self.recent, {}
 
 
 class Encoder:
@@ -209,7 +230,7 @@ class Encoder:
 
     def __init__(self, source: str):
         self.vocabulary = Vocabulary(source)
-        self.bytes = token_bytes(source)
+        self.bytes = self.vocabulary.bytes
         self.words = regex.compile(WORDS)
         self.trie = Trie(self.vocabulary)
         self.pieces = Pieces()
@@ -225,14 +246,15 @@ class Encoder:
         return self.words.findall(piece)
 
     def learn(self, pieces: set[str]) -> None:
-        cache = self.pieces
-        cache.age(CACHED_PIECES)
-        new = [p for p in pieces if p not in cache and p not in cache.old]
-        split = list(map(self.split, new))
-        distinct = sorted({w for words in split for w in words})
-        coded = dict(zip(distinct, self.trie.encode(distinct)))
-        for p, words in zip(new, split):
-            cache[p] = coded[words[0]] if len(words) == 1 else b"".join([coded[w] for w in words])
+        """Encodes pieces not held; a word that is a piece of its own, or was one, is not worked out again."""
+        self.pieces.age(CACHED_PIECES)
+        split = {p: self.split(p) for p in self.pieces.unknown(pieces)}
+        distinct = sorted(self.pieces.unknown({w for words in split.values() for w in words}))
+        coded = self.pieces.recent
+        coded.update(zip(distinct, self.trie.encode(distinct)))
+        for p, words in split.items():
+            if len(words) > 1:
+                coded[p] = b"".join([coded[w] for w in words])
 
     def cut(self, text: str) -> list[str]:
         """Pieces of a text; a special string is a piece of its own, marked by its id."""
@@ -245,8 +267,15 @@ class Encoder:
 
     @staticmethod
     def plain(text: str) -> list[str]:
-        head, *rest = PIECE.split(text)
-        return ([head] if head else []) + [" " + p for p in rest]
+        out: list[str] = []
+        for n, line in enumerate(LINE.split(text)):
+            head, *rest = PIECE.split(line)
+            if n:
+                out.append("\n")
+            if head:
+                out.append(head)
+            out += [" " + p for p in rest]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Works through the texts in steps, so that the pieces at hand stay few."""
@@ -258,12 +287,15 @@ class Encoder:
                 step.append(self.cut(texts[at]))
                 size += len(texts[at])
                 at += 1
-            self.learn({p for pieces in step for p in pieces if type(p) is str})
+            distinct = set().union(*step)
+            marks = {p: p.to_bytes(4, "little") for p in distinct if type(p) is int} if self.special else {}
+            self.learn(distinct.difference(marks))
+            known = self.pieces.recent.__getitem__
             for pieces in step:
                 try:
-                    out.append(b"".join(map(self.pieces.__getitem__, pieces)))
+                    out.append(b"".join(map(known, pieces)))
                 except KeyError:
-                    out.append(b"".join([self.pieces[p] if type(p) is str else p.to_bytes(4, "little") for p in pieces]))
+                    out.append(b"".join([marks[p] if type(p) is int else known(p) for p in pieces]))
         return out
 
 

@@ -71,6 +71,27 @@ def test_the_trie_starts_anew_within_a_step(monkeypatch):
     assert len(small.trie.last) <= 500 + bpe.DEEP + 1
 
 
+def test_words_met_before_are_not_worked_out_again(monkeypatch):
+    encoder = bpe.Encoder(bpe.tokenizer_source(PATH))
+    asked, encode = [], encoder.trie.encode
+    monkeypatch.setattr(encoder.trie, "encode", lambda words: asked.append(words) or encode(words))
+    texts = ["Häuser vergeber erone", "Häuser vergeber, erone.\nvergeber\n\n  \nHäuser erone!", "\nerone \n vergeber,"]
+    assert [numbers(encoder.encode([t])[0]) for t in texts] == [x.ids for x in LIBRARY.encode_batch(texts, add_special_tokens=False)]
+    assert sorted(asked[1]) == ["\n", "\n\n  ", "!", ",", ".", "vergeber"]
+    assert sorted(asked[2]) == [" \n", "erone"]
+
+
+def test_a_worker_knows_each_entry_once():
+    """Vocabulary and decoder share their bytes, and nodes are few: executors hold two workers beside their heap."""
+    encoder = bpe.Encoder(bpe.tokenizer_source(PATH))
+    assert all(encoder.bytes[i] is t for t, i in encoder.vocabulary.ids.items())
+    assert encoder.bytes == bpe.token_bytes(bpe.tokenizer_source(PATH))
+    r = random.Random(3)
+    for _ in range(4):
+        encoder.encode([" ".join("".join(r.choices("abcdefghij", k=12)) for _ in range(6000))])
+        assert len(encoder.trie.last) <= 100_000 + bpe.DEEP + 1
+
+
 def test_frames(spark):
     texts = [None, *TEXTS, TEXTS[3], TEXTS[3]]
     rows = [(i if i != 2 else None, t, 1) for i, t in enumerate(texts)]
