@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import sys
 
@@ -38,12 +39,20 @@ def kept_by_worker(kind: str, key: str, make):
     held = sys.__dict__.setdefault("_ripplemark_kept", [])
     if not held or held[0][0] != (kind, key):
         held.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
+        give_back()
         held.append(((kind, key), make()))
     return held[0][1]
 
 
+def give_back() -> None:
+    """Freed memory of this worker goes back to the system; glibc keeps what lies below memory in use unless it is told."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """Smallest reachable node of every node that has an edge.
 
