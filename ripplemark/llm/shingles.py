@@ -28,6 +28,12 @@ node that shares a crowded piece of its delta; then all nodes of different
 families that may be similar are compared. Nodes of different clusters, or of
 none, meet by their shingles. No list is cut or skipped.
 
+Pairs that meet are first held against sketches: 256 places of which a set
+changes one with each of its shingles, within the join, so that pairs that
+share a passage and no more are not shuffled; then as many places as there
+are shingles; then the whole sets. Sketches differ at no more places than
+the sets have shingles apart, so that no similar pair is lost.
+
 Cases: words are runs of non-space bytes in lower case (A-Z), as in
 ``simhash``; a text of fewer words is one shingle; null and texts without
 words are copies of each other; rows and ids as in ``simhash.one_of_each``.
@@ -59,6 +65,8 @@ CROWDED = 64
 FLOOR, ROUNDS = 0.5, 3
 #: Pieces of deltas that a task holds before it hands them on.
 HELD = 200_000
+#: Columns of the short sketch, 64 places each.
+SKETCH = [f"odd{i}" for i in range(4)]
 
 
 def shingle_set(data: bytes, words: int = WORDS) -> np.ndarray:
@@ -79,6 +87,22 @@ def node_of(shingles: np.ndarray) -> int:
     return found - (1 << 64) if found >> 63 else found
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Which of as many places as there are shingles, a power of two, an odd number of them falls on; as signed numbers.
+
+    A shingle that only one of two sets has changes one place, so sketches
+    never differ at more places than the sets have shingles apart.
+    """
+    places = max(64 * len(SKETCH), 1 << (len(shingles) - 1).bit_length())
+    odd = np.bincount(shingles & (places - 1), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def folded(odd: np.ndarray, length: int) -> np.ndarray:
+    """The sketch of the same set in ``length`` numbers."""
+    return np.bitwise_xor.reduce(odd.reshape(-1, length), axis=0)
+
+
 def frequent(bodies: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles of a sample of distinct texts, sorted, and their counts."""
     n = bodies.count()
@@ -96,7 +120,7 @@ def frequent(bodies: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(rows: DataFrame, order: tuple[np.ndarray, np.ndarray], words: int, similarity: float) -> DataFrame:
-    """The rows with ``node, n, rare, fp, prefix`` in place of ``body``.
+    """The rows with ``node, n, rare, fp, prefix, sketch`` and the columns of the short sketch in place of ``body``.
 
     ``rare`` counts shingles that the order does not know, ``fp`` is the SimHash of the set.
     """
@@ -107,12 +131,14 @@ def prefixes(rows: DataFrame, order: tuple[np.ndarray, np.ndarray], words: int,
         common, counts = shared.value
         bits = byte_bits()
         for batch in batches:
-            nodes, sizes, rare, prints, found = [], [], [], [], []
+            nodes, sizes, rare, prints, found, sketches, short = [], [], [], [], [], [], []
             for text in batch.column("body").cast(pa.large_binary()):
                 own = shingle_set(text.as_py() or b"", words)
                 nodes.append(node_of(own))
                 sizes.append(len(own))
                 prints.append(set_fingerprint(own, bits))
+                sketches.append(sketch(own))
+                short.append(folded(sketches[-1], len(SKETCH)))
                 # The allowance keeps a product like 0.8 * 5 from being rounded up.
                 length = len(own) - math.ceil(similarity * len(own) - 1e-9) + 1 if len(own) else 0
                 unknown = len(own)
@@ -123,10 +149,14 @@ def prefixes(rows: DataFrame, order: tuple[np.ndarray, np.ndarray], words: int,
                 rare.append(unknown)
                 found.append(own[:length])
             columns = [pa.array(x, pa.int64()) for x in (nodes, sizes, rare, prints)] + [pa.array(found, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), *columns], [*kept, "node", "n", "rare", "fp", "prefix"])
+            columns.append(pa.array([x.tobytes() for x in sketches], pa.binary()))
+            columns += [pa.array(x, pa.int64()) for x in np.array(short, dtype=np.int64).reshape(-1, len(SKETCH)).T]
+            names = [*kept, "node", "n", "rare", "fp", "prefix", "sketch", *SKETCH]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), *columns], names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "body")
-    return rows.select(*kept, "body").mapInArrow(read, f"{schema}, node bigint, n bigint, rare bigint, fp bigint, prefix array<bigint>")
+    schema += ", node bigint, n bigint, rare bigint, fp bigint, prefix array<bigint>, sketch binary"
+    return rows.select(*kept, "body").mapInArrow(read, schema + "".join(f", {c} bigint" for c in SKETCH))
 
 
 def shingle_sets(rows: DataFrame, words: int) -> DataFrame:
@@ -205,22 +235,39 @@ def up(x: Column) -> Column:
     return F.ceil(x - F.lit(1e-9))
 
 
-def overlap_wanted(similarity: float) -> Column:
+def overlap_wanted(similarity: float, n: str = "n", n2: str = "n2") -> Column:
     """Shingles that sets of sizes ``n`` and ``n2`` must share."""
-    return up((F.col("n") + F.col("n2")) * F.lit(similarity / (1 + similarity)))
+    return up((F.col(n) + F.col(n2)) * F.lit(similarity / (1 + similarity)))
 
 
-def promising(pairs: DataFrame, prefixes: DataFrame, similarity: float) -> DataFrame:
-    """``a, b`` of the pairs that may be similar, by what the ``prefixes`` (``node, n, prefix``) of both share.
+def most_apart(similarity: float, n: str = "n", n2: str = "n2") -> Column:
+    """Shingles that similar sets of sizes ``n`` and ``n2`` may have that the other lacks, on both sides together."""
+    return F.col(n) + F.col(n2) - 2 * overlap_wanted(similarity, n, n2)
 
-    Of a set of n shingles at most n - c are outside the other, where c is
-    the overlap that the two sizes ask for; the prefix that ends first in
-    the order has the rest of its shingles in the other prefix, too.
-    """
-    one = prefixes.select(F.col("node").alias("a"), "n", "prefix")
-    two = prefixes.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("prefix").alias("prefix2"))
-    least = F.lit(1) - up(F.greatest("n", "n2") * F.lit(similarity)) + overlap_wanted(similarity)
-    return pairs.join(one, "a").join(two, "b").where(F.size(F.array_intersect("prefix", "prefix2")) >= least).select("a", "b")
+
+def sketches_fit(similarity: float, a: str, b: str) -> Column:
+    """Whether rows ``a`` and ``b`` may be similar by their sizes and short sketches; false for no similar ones."""
+    apart = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in SKETCH), F.lit(0))
+    return apart <= most_apart(similarity, f"{a}.n", f"{b}.n")
+
+
+def promising(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """``a, b`` of the pairs that may be similar by their ``sketches`` (``node, n, sketch``); no similar one is lost."""
+
+    def read(batches):
+        for batch in batches:
+            keep = []
+            for one, other, most in zip(batch.column(2), batch.column(3), batch.column(4).to_pylist()):
+                # Unsigned, for of a negative number numpy counts the bits of its absolute value.
+                p, q = (np.frombuffer(x.as_py(), dtype=np.uint64) for x in (one, other))
+                length = min(len(p), len(q))
+                keep.append(int(np.bitwise_count(folded(p, length) ^ folded(q, length)).sum()) <= most)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    one = sketches.select(F.col("node").alias("a"), "n", "sketch")
+    two = sketches.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2"))
+    both = pairs.join(one, "a").join(two, "b")
+    return both.select("a", "b", "sketch", "sketch2", most_apart(similarity).alias("most")).mapInArrow(read, "a bigint, b bigint")
 
 
 def with_family(rows: DataFrame, known: DataFrame) -> DataFrame:
@@ -288,7 +335,7 @@ def simhash_links(rows: DataFrame, bodies: DataFrame, words: int, similarity: fl
 
 
 def near_copies(rows: DataFrame, bodies: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """``node, root`` of the nodes that reach another one. ``rows``: names with ``node, n, rare, fp, prefix``."""
+    """``node, root`` of the nodes that reach another one. ``rows``: names with what ``prefixes`` gives."""
     with passing_stages(rows.sparkSession) as keep:
         alike = keep(simhash_links(rows, bodies, words, similarity), "alike")
     with passing_stages(rows.sparkSession) as keep:
@@ -299,13 +346,16 @@ def exact_rest(rows: DataFrame, bodies: DataFrame, alike: DataFrame, words: int,
     """``node, root`` of the nodes that reach another one, by the links ``alike`` and all others there are."""
     keys = [c for c in bodies.columns if c != "body"]
     of_family = small_side(stage(connected(alike), "families"))
-    each = rows.select("node", "n", "rare", F.posexplode("prefix").alias("place", "s"))
-    held = with_family(rows.select("node", "prefix"), of_family).select("family", F.explode("prefix").alias("s"))
-    shared = stage(held.groupBy("s").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).where("lo <> hi").select("s"), "shared")
-    posts = stage(each.join(small_side(shared), "s", "left_semi").distinct(), "postings")
-    name = F.min(F.struct(*keys)).alias("name")
-    names = rows.join(posts.select("node").distinct(), "node", "left_semi").groupBy("node").agg(name).select("node", "name.*")
-    names = stage(names, "names")
+    # Each shingle of a prefix is dealt out once, for the count of its families and for the choice by that count.
+    held = with_family(rows.select("node", "n", "rare", "prefix"), of_family)
+    held = held.select("node", "family", "n", "rare", F.posexplode("prefix").alias("place", "s"))
+    of_shingle = Window.partitionBy("s")
+    held = held.withColumns({"lo": F.min("family").over(of_shingle), "hi": F.max("family").over(of_shingle)}).where("lo <> hi")
+    posts = stage(held.select("node", "n", "rare", "place", "s").distinct(), "postings")
+    named = [F.min(F.struct(*keys)).alias("name"), *(F.min(c).alias(c) for c in SKETCH)]
+    names = rows.select(*keys, "node", *SKETCH).join(posts.select("node").distinct(), "node", "left_semi")
+    names = stage(names.groupBy("node").agg(*named).select("node", "name.*", *SKETCH), "names")
+    sketches, names = names.select("node", *SKETCH), names.drop(*SKETCH)
     fits = lambda m, n, limit: F.least(m, n) / F.greatest(m, n) >= limit
     pick = F.min(F.struct("rare", F.xxhash64("node").alias("h"), "node", "n")).alias("pick")
     crowded = posts.groupBy("s").agg(F.count(F.lit(1)).alias("nodes"), pick).where(F.col("nodes") > CROWDED)
@@ -323,15 +373,18 @@ def exact_rest(rows: DataFrame, bodies: DataFrame, alike: DataFrame, words: int,
     grouped = stage(with_family(posts, known).join(member, "node", "left"), "placed")
     mixed = stage(grouped.groupBy("s").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).where("lo <> hi").select("s"), "mixed")
     a = stage(grouped.join(small_side(mixed), "s", "left_semi").drop("rare"), "left")
-    b = a.select("s", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "place", "family", "centre")])
-    # Nodes of one cluster have met; others may be similar if enough shingles follow the shared one.
-    apart = (F.col("family") < F.col("family2")) & ~F.coalesce(F.col("centre") == F.col("centre2"), F.lit(False))
-    follow = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) >= overlap_wanted(similarity)
-    pairs = a.join(b, (a["s"] == b["s"]) & apart & fits(F.col("n"), F.col("n2"), similarity) & follow)
-    pairs = stage(pairs.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct(), "meeting")
+    # Both sides are one table, so that it is shuffled once.
+    a = a.join(small_side(sketches), "node")
+    # Nodes of one cluster have met; others may be similar if enough shingles follow the shared one and the sketches agree.
+    apart = (F.col("a.family") < F.col("b.family")) & ~F.coalesce(F.col("a.centre") == F.col("b.centre"), F.lit(False))
+    left = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
+    follow = left >= overlap_wanted(similarity, "a.n", "b.n")
+    likely = fits(F.col("a.n"), F.col("b.n"), similarity) & follow & sketches_fit(similarity, "a", "b")
+    pairs = a.alias("a").join(a.alias("b"), (F.col("a.s") == F.col("b.s")) & apart & likely)
+    pairs = stage(pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "meeting")
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     own = rows.join(small_side(stage(names.join(ends, "node", "left_semi"), "ends")), [*keys, "node"])
-    own = stage(own.select("node", "n", "prefix").dropDuplicates(["node"]), "prefixes")
+    own = stage(own.select("node", "n", "sketch").dropDuplicates(["node"]), "sketches")
     pairs = stage(promising(pairs, own, similarity), "candidates")
     sets = sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), bodies, names, words)
     return connected(inside.union(stage(similar(pairs, sets, similarity), "verified")))

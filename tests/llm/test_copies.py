@@ -5,6 +5,7 @@ import random
 from pathlib import Path
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -317,3 +318,30 @@ def test_pages_of_one_template(spark, monkeypatch):
     texts = [" ".join([*template[:100], *(f"own{r.randrange(10**9)}" for _ in range(32)), *template[100:]]) for _ in range(600)]
     looked, kept = joined_rows(spark, texts, monkeypatch)
     assert kept == list(range(600)) and looked <= 3 * 600
+
+
+def test_sketches_lose_no_similar_pair():
+    """Sketches of any two lengths differ at no more places than the sets have shingles apart."""
+    r = random.Random(12)
+    for n in (0, 1, 5, 255, 256, 257, 1020, 1030, 3000):
+        full = np.unique(np.array([r.getrandbits(64) - (1 << 63) for _ in range(n)], dtype=np.int64))
+        some = full[[r.random() < 0.9 for _ in full]] if n else full
+        own, other = shingles.sketch(full), shingles.sketch(some)
+        for length in (4, min(len(own), len(other))):
+            p, q = (shingles.folded(x, length).tobytes() for x in (own, other))
+            assert sum((a ^ b).bit_count() for a, b in zip(p, q)) <= len(full) - len(some)
+
+
+def test_pages_with_a_common_passage_do_not_meet(spark, monkeypatch):
+    """Pairs that share a rare passage and no more are dropped in the join, before they are shuffled; long texts right after."""
+    r = random.Random(13)
+    passage = [f"p{i}" for i in range(12)]
+    own = lambda n: " ".join([*passage, *(f"own{r.randrange(10**9)}" for _ in range(n))])
+    texts = [own(200) for _ in range(30)] + [own(1500) for _ in range(8)]
+    texts += [f"{texts[0]} end", f"{texts[33]} end"]
+    counts, written = {}, shingles.stage
+    monkeypatch.setattr(shingles, "stage", lambda df, label: (df := written(df, label), counts.update({label: df.count()}))[0])
+    monkeypatch.setattr(shingles, "simhash_links", lambda rows, *a: rows.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
+    docs = docs_of(spark, [(i, t, "a") for i, t in enumerate(texts)])
+    assert sorted(x.doc_id for x in shingles.one_of_each(docs).collect()) == list(range(38))
+    assert 2 <= counts["meeting"] <= 2 + 9 * 8 / 2 and counts["candidates"] == 2
