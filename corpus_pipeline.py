@@ -14,17 +14,20 @@ from ripplemark.llm.common import table
 from ripplemark.llm.queries import tokenizer
 from ripplemark.session import stage
 
-#: Bytes of an Arrow batch. Rows of documents are long, and both sides of a Python stage hold a batch or two per task.
-BATCH = "4m"
-BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of an Arrow batch and rows of a Parquet reader's. Rows of documents are long; both sides of a Python stage hold an
+#: Arrow batch or two per task, and a reader's batch of texts is one array of the heap.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "1m", "spark.sql.parquet.columnarReaderBatchSize": "512"}
+#: Share of its fixed sizes that a BPE worker may fill here, where executors still hold what the stages before have used.
+CACHES = 1 / 3
 #: Steps are tables, so what a step has shuffled is of no use once its table is written.
 CLEANUP_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def in_small_batches(spark: SparkSession) -> None:
-    """Sets the session's Arrow batch size in bytes, unless it is set; results do not depend on it."""
-    if spark.conf.get(BATCH_SETTING, None) is None:
-        spark.conf.set(BATCH_SETTING, BATCH)
+    """Sets the session's sizes of batches, unless they are set; results do not depend on them."""
+    for setting, size in SMALL_BATCHES.items():
+        if spark.conf.get(setting, None) is None:
+            spark.conf.set(setting, size)
 
 
 def without_old_shuffles(spark: SparkSession) -> None:
@@ -58,7 +61,7 @@ def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokens of the documents that are left, as digests."""
     in_small_batches(spark)
-    return bpe.digests(docs, tokenizer())
+    return bpe.digests(docs, tokenizer(), share=CACHES)
 
 
 STAGES = [

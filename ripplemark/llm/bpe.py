@@ -70,9 +70,10 @@ def token_bytes(source: str) -> list[bytes]:
 
 
 class Vocabulary:
-    """Ids, merges and special strings of a tokenizer file."""
+    """Ids, merges and special strings of a tokenizer file; remembers ``share`` of ``KNOWN_PAIRS``."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, share: float = 1.0):
+        self.share = share
         spec = json.loads(source)
         letters = byte_letters()
         raw = lambda token: bytes(letters[c] for c in token)
@@ -132,7 +133,7 @@ class Vocabulary:
                 end_a, a = young_a, self.parts[a][1]
             else:
                 end_b, b = young_b, self.parts[b][0]
-        if len(self.known) > KNOWN_PAIRS:
+        if len(self.known) > KNOWN_PAIRS * self.share:
             self.known.clear()
         self.known[key] = answer
         return answer
@@ -157,10 +158,11 @@ class Trie:
     def encode(self, words: list[str]) -> list[bytes]:
         """Ids (little-endian, 32 bits) of words; sorted words make the nodes in depth-first order."""
         ids, lengths, sizes = self.vocabulary.ids, self.vocabulary.lengths, self.vocabulary.sizes.get
+        most = TRIE_NODES * self.vocabulary.share
         apart, known = self.vocabulary.apart, self.vocabulary.known.get
         out = []
         for word in words:
-            if len(self.last) > TRIE_NODES:
+            if len(self.last) > most:
                 self.clear()
             below, last = self.below, self.last
             data = word.encode()
@@ -220,16 +222,19 @@ class Pieces:
             self.recent[piece] = self.old[piece]
         return new
 
-    def age(self, most: int) -> None:
+    def age(self, most: float) -> None:
         if len(self.recent) > most:
             self.old, self.recent = self.recent, {}
 
 
 class Encoder:
-    """Texts to packed ids, with a cache of pieces."""
+    """Texts to packed ids, with a cache of pieces.
 
-    def __init__(self, source: str):
-        self.vocabulary = Vocabulary(source)
+    ``share``: of the fixed sizes that it may fill; less of them is less memory and more work, with the same ids.
+    """
+
+    def __init__(self, source: str, share: float = 1.0):
+        self.vocabulary = Vocabulary(source, share)
         self.bytes = self.vocabulary.bytes
         self.words = regex.compile(WORDS)
         self.trie = Trie(self.vocabulary)
@@ -247,7 +252,7 @@ class Encoder:
 
     def learn(self, pieces: set[str]) -> None:
         """Encodes pieces not held; a word that is a piece of its own, or was one, is not worked out again."""
-        self.pieces.age(CACHED_PIECES)
+        self.pieces.age(CACHED_PIECES * self.vocabulary.share)
         split = {p: self.split(p) for p in self.pieces.unknown(pieces)}
         distinct = sorted(self.pieces.unknown({w for words in split.values() for w in words}))
         coded = self.pieces.recent
@@ -299,8 +304,8 @@ class Encoder:
         return out
 
 
-def encoder_of(shared, mark: str) -> Encoder:
-    return kept_by_worker("encoder", mark, lambda: Encoder(shared.value))
+def encoder_of(shared, mark: str, share: float = 1.0) -> Encoder:
+    return kept_by_worker("encoder", mark, lambda: Encoder(shared.value, share))
 
 
 def decoder_of(shared, mark: str) -> list[bytes]:
@@ -325,13 +330,13 @@ def encode(docs: DataFrame, source: str, id_col: str = "doc_id", text_col: str =
     return round_trip(docs, source, id_col, text_col, back=False)
 
 
-def round_trip(docs: DataFrame, source: str, id_col: str = "doc_id", text_col: str = "text", back: bool = True) -> DataFrame:
-    """``doc_id, ids`` and, with ``back``, ``text`` decoded from the ids; in one pass of one worker."""
+def round_trip(docs: DataFrame, source: str, id_col: str = "doc_id", text_col: str = "text", back: bool = True, share: float = 1.0) -> DataFrame:
+    """``doc_id, ids`` and, with ``back``, ``text`` decoded from the ids; in one pass of one worker. ``share``: see ``Encoder``."""
     shared = docs.sparkSession.sparkContext.broadcast(source)
     mark = uuid.uuid4().hex
 
     def read(batches):
-        encoder = encoder_of(shared, mark)
+        encoder = encoder_of(shared, mark, share)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(at, ROWS_AT_ONCE)
@@ -369,9 +374,9 @@ def ids_array(tokens: DataFrame) -> DataFrame:
     return tokens.select("doc_id", F.when(F.length("ids") == 0, F.array().cast("array<bigint>")).otherwise(F.transform(place, number)).alias("ids"))
 
 
-def digests(docs: DataFrame, source: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row."""
-    return round_trip(docs, source, id_col, text_col).select(
+def digests(docs: DataFrame, source: str, id_col: str = "doc_id", text_col: str = "text", share: float = 1.0) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row. ``share``: see ``Encoder``."""
+    return round_trip(docs, source, id_col, text_col, share=share).select(
         "doc_id",
         (F.length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -34,13 +34,14 @@ def text_of(column: str | Column) -> Column:
 def kept_by_worker(kind: str, key: str, make):
     """An object that outlives the task in a reused worker; only the latest one, so that stages don't add up.
 
-    What earlier stages have used and freed goes back to the system first.
+    What earlier stages have used and freed goes back to the system first, what making the object has used goes back then.
     """
     held = sys.__dict__.setdefault("_ripplemark_kept", [])
     if not held or held[0][0] != (kind, key):
         held.clear()
         give_back()
         held.append(((kind, key), make()))
+        give_back()
     return held[0][1]
 
 

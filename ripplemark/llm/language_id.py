@@ -87,13 +87,14 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", sam
     """
     rows = labelled.select(F.lower(F.col(lang_col).cast("string")).alias("lang"), F.col(text_col).cast("string").alias("body"))
     rows = rows.where("lang is not null and body is not null").withColumn("h", F.xxhash64(F.lit("fit"), "body"))
-    sizes = [tuple(r) for r in rows.select("lang", "h").distinct().groupBy("lang").count().collect()]
-    if not sizes:
+    sizes = stage(rows.select("lang", "h").distinct().groupBy("lang").count(), "sizes")
+    names = sorted(r["lang"] for r in sizes.select("lang").collect())
+    if not names:
         return [], np.zeros((BUCKETS, 0), dtype=np.float32)
-    shares = labelled.sparkSession.createDataFrame([(lang, sample / n) for lang, n in sizes], "lang string, share double")
+    # Not made from Python rows: that would start Python workers of another kind on the executors, which stay beside ours.
+    shares = sizes.select("lang", (F.lit(float(sample)) / F.col("count")).alias("share"))
     picked = rows.join(F.broadcast(shares), "lang").where((F.col("h") / F.lit(2.0**64) + 0.5) < F.col("share"))
     picked = picked.select("lang", "h", "body").dropDuplicates(["lang", "h"])
-    names = sorted(lang for lang, _ in sizes)
     column = {lang: n for n, lang in enumerate(names)}
     counts = np.full((BUCKETS, len(names)), 0.05)
     for lang, gram, n in gram_counts(picked).toLocalIterator():

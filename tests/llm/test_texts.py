@@ -271,3 +271,28 @@ def test_sample_of_distinct_texts(spark):
     once = [(f"aa bb {i}", "xx") for i in range(5)] + [("zz yy", "xx")]
     model = [language_id.fit(spark.createDataFrame(rows, "text string, lang string")) for rows in (once, once + [("zz yy", "xx")] * 300)]
     assert model[0][0] == model[1][0] == ["xx"] and (model[0][1] == model[1][1]).all()
+
+
+def test_a_fit_starts_no_other_python_workers(spark, monkeypatch):
+    """Rows that the driver makes in Python are unpickled by workers of another kind, which stay beside those of the stages."""
+    docs = docs_of(spark, [(1, "das ist ein Haus", "de", "a"), (2, "this is a house", "en", "a"), (3, "that is a tree", "en", "b")])
+    wanted = language_id.fit(docs)
+
+    def refuse(*args, **kwargs):
+        raise AssertionError("rows made in Python")
+
+    monkeypatch.setattr(type(spark), "createDataFrame", refuse)
+    names, table = language_id.fit(docs)
+    assert names == ["de", "en"] and (table == wanted[1]).all()
+
+
+def test_batches_of_the_pipeline_are_small(spark):
+    class Conf:
+        held = {"spark.sql.parquet.columnarReaderBatchSize": "64"}
+        get, set = held.get, held.__setitem__
+
+    class Session:
+        conf = Conf
+
+    corpus_pipeline.in_small_batches(Session)
+    assert Conf.held == {"spark.sql.parquet.columnarReaderBatchSize": "64", "spark.sql.execution.arrow.maxBytesPerBatch": "1m"}

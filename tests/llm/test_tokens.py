@@ -52,6 +52,23 @@ def test_small_caches_change_nothing(monkeypatch):
     assert [numbers(small.encode([t])[0]) for t in texts] == [x.ids for x in LIBRARY.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_a_share_of_the_caches(monkeypatch):
+    """Less is held, and the ids are the library's."""
+    for name, most in (("CACHED_PIECES", 400), ("TRIE_NODES", 400), ("KNOWN_PAIRS", 400)):
+        monkeypatch.setattr(bpe, name, most)
+    r = random.Random(3)
+    texts = [" ".join("".join(r.choice("abcdeé") for _ in range(r.randint(1, 6))) for _ in range(40)) for _ in range(60)]
+    held = {}
+    for share in (1.0, 0.1):
+        encoder = bpe.Encoder(bpe.tokenizer_source(PATH), share)
+        most = [0, 0, 0]
+        for text, wanted in zip(texts, LIBRARY.encode_batch(texts, add_special_tokens=False)):
+            assert numbers(encoder.encode([text])[0]) == wanted.ids
+            most = list(map(max, most, [len(encoder.pieces.recent), len(encoder.trie.last), len(encoder.vocabulary.known)]))
+        held[share] = most
+    assert all(small < large / 2 for small, large in zip(held[0.1], held[1.0]))
+
+
 @pytest.mark.parametrize("sign", ["\n", " ", "=", "a", "é", "xy"])
 def test_a_run_of_a_million(encoder, sign):
     """The trie keeps the first bytes of the run only; the ids are the library's on a shorter run, and decode to the text on all of it."""
